@@ -259,6 +259,6 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay when one document of each group does; all columns as they were."""
     kept = near_duplicates(df, doc_id, text).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = df.select(F.struct("*").alias("row"), col(doc_id).cast("long").alias("kept_id"))
+    rows = df.select(F.struct("*").alias("row"), col(doc_id).cast("long").alias("kept_id"), F.when(col(doc_id).isNull(), F.sha1(col(text).cast("binary"))).alias("no_id"))
     joined = rows.join(kept, rows["kept_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return joined.groupBy("kept_id").agg(F.first("row").alias("row")).select("row.*")
+    return joined.groupBy("kept_id", "no_id").agg(F.first("row").alias("row")).select("row.*")
