@@ -9,12 +9,14 @@ a region the longest-common-prefix neighbours and the region's first document be
 document keeps its best and its smallest one, are confirmed on full sets, and components form.  This
 is linear, however large a group of near copies is.  Round 2 loses nothing that shares a region: in each
 region at minimum depth that still holds several components, all pairs across components whose sketches
-agree are confirmed as well.  Such regions above ``DENSE`` rows are compared in tiles of that size.
+agree are confirmed on full sets in the region's task, and only links that merge components leave it, so
+output stays linear.  Such regions above ``DENSE`` rows are compared in tiles of that size.
 
 Recall at similarity s is 1 - (1 - s^DEPTH)^TREES: 0.99998 at 0.75 and above 0.999999 at 0.8.
 
-Scale: texts are shuffled at most once (for documents with candidates), sets of candidates once or twice;
-everything else is narrow rows.  Nothing is collected; nothing is broadcast by hand.
+Scale: sets are made and shuffled for documents with candidates only; everything else is narrow rows.  Ids of
+candidates are broadcast up to ``BROADCAST_NODES`` (counted first), beyond that texts meet them by a
+shuffled join.  Nothing else is broadcast by hand and nothing is collected.
 
 Nulls: null texts, empty ones and ones without words have empty sets and stay alone.  Repeated rows and rows
 of one id are one node.  Rows with a null id link by equal sets only through others; their component is null
@@ -36,10 +38,10 @@ from .components import components
 from .hashing import _mixed, mix, window_hashes
 
 SHINGLE, PERCENT = 5, 75
-TREES, DEPTH, VALUES = 20, 3, 64
-#: Rows of a region compared as one tile; agreeing sketch values (of VALUES) a candidate needs (4.8 standard
-#: deviations below the mean at the threshold).
-DENSE, AGREE = 2048, 32
+TREES, DEPTH, VALUES = 20, 3, 128
+#: Rows of a region compared as one tile; agreeing sketch values (of VALUES) a candidate needs (4.9 standard
+#: deviations below the mean at the threshold); ids that may be broadcast.
+DENSE, AGREE, BROADCAST_NODES = 2048, 72, 200_000
 _MULT, _ADD = _mixed(VALUES, 11) | np.uint64(1), _mixed(VALUES, 12)
 
 
@@ -125,46 +127,90 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in range(3)], ["node", "other", "agree"])
 
 
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part, as batches that hold whole parts."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = b.column(0).to_numpy()
+        cutoff = int(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))[-1])
+        if held and (cutoff or held[-1].column(0)[-1].as_py() != part[0]):
+            yield pa.concat_batches([*held, b.slice(0, cutoff)])
+            held = []
+        elif cutoff:
+            yield b.slice(0, cutoff)
+        held.append(b.slice(cutoff))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _parts(b: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    part = b.column(0).to_numpy()
+    bounds = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))).tolist()
+    return zip(bounds[:-1], bounds[1:], strict=True)
+
+
+def _candidates(i: int, hi: int, n: np.ndarray, comp: np.ndarray, rot: np.ndarray, side: np.ndarray, two: bool) -> np.ndarray:
+    """Later rows of the part, in another component, that may link with row ``i``."""
+    rest = slice(i + 1, hi)
+    ok = (comp[rest] != comp[i]) & _near(n[rest], n[i])
+    if two:
+        ok &= side[rest] == 1
+    js = np.flatnonzero(ok) + i + 1
+    return js[(rot[js] == rot[i]).sum(axis=1) >= AGREE] if len(js) else js
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (part, node, n, comp, rot, side) to pairs across components.
+    """Of rows (part, node, n, comp, rot, side) by part, those with a candidate in another component.
 
     A part is a region (side 0 throughout), or a tile of a dense one (pairs of side 0 with side 1).
     """
-    held: list[tuple] = []
-
-    def flush() -> pa.RecordBatch:
-        part, node, n, comp, rot, side = (np.concatenate([h[i] for h in held]) for i in range(6))
-        held.clear()
-        left, right = [], []
-        bounds = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+    for b in _regions(batches):
+        _, _, n, comp, rot = _columns(b)
+        side = b.column(5).to_numpy()
+        flag = np.zeros(b.num_rows, bool)
+        for lo, hi in _parts(b):
             if hi - lo == 1 or (comp[lo:hi] == comp[lo]).all():
                 continue
-            two = side[lo:hi].any()
+            two = bool(side[lo:hi].any())
             for i in range(lo, hi - 1):
                 if two and side[i]:
                     break
-                ok = ((rot[i + 1 : hi] == rot[i]).sum(axis=1) >= AGREE) & (comp[i + 1 : hi] != comp[i]) & _near(n[i + 1 : hi], n[i])
-                if two:
-                    ok &= side[i + 1 : hi] == 1
-                js = np.flatnonzero(ok) + i + 1
-                left.append(np.full(len(js), node[i]))
-                right.append(node[js])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64))], ["a", "b"])
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = (*_columns(b), b.column(5).to_numpy(zero_copy_only=False))
-        cutoff = len(cols[0]) - int(np.argmax((cols[0] != cols[0][-1])[::-1])) if (cols[0] != cols[0][-1]).any() else 0
-        if cutoff or (held and held[-1][0][-1] != cols[0][0]):
-            held.append(tuple(c[:cutoff] for c in cols))
-            yield flush()
-            cols = tuple(c[cutoff:] for c in cols)
-        held.append(cols)
-    if held:
-        yield flush()
+                js = _candidates(i, hi, n, comp, rot, side, two)
+                if len(js):
+                    flag[i] = True
+                    flag[js] = True
+        yield b.filter(pa.array(flag))
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those rows with full sets, by part, to confirmed links that merge components (a, b)."""
+    for b in _regions(batches):
+        _, node, n, comp, rot = _columns(b)
+        side, comp = b.column(5).to_numpy(), comp.copy()
+        raw = b.column(6)
+        links: list[tuple[int, int]] = []
+        for lo, hi in _parts(b):
+            two = bool(side[lo:hi].any())
+            sets = [np.frombuffer(raw[i].as_py(), np.uint64) for i in range(lo, hi)]
+            for i in range(lo, hi - 1):
+                if two and side[i]:
+                    break
+                js = _candidates(i, hi, n, comp, rot, side, two)
+                if not len(js):
+                    continue
+                x, ys = sets[i - lo], [sets[j - lo] for j in js.tolist()]
+                sizes = np.array([len(y) for y in ys])
+                every = np.concatenate(ys)
+                hit = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+                shared = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
+                for j in js[100 * shared >= PERCENT * (len(x) + sizes - shared)].tolist():
+                    if comp[j] != comp[i]:
+                        links.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+                        view = comp[lo:hi]
+                        view[view == comp[j]] = comp[i]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,14 +269,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     block = apart.where(F.col("rows") > DENSE).withColumn("tiles", tiles).withColumn("own", own)
     block = block.select("key", "node", "n", "comp", "rot", "own", F.explode(F.expr("sequence(0, tiles - 1)")).alias("to"))
     block = block.select(F.xxhash64("key", F.least("own", "to"), F.greatest("own", "to")).alias("part"), "node", "n", "comp", "rot", F.when(F.col("own") > F.col("to"), 1).otherwise(0).alias("side"))
-    ordered = whole.union(block).repartition("part").sortWithinPartitions("part", "side", "node")
-    more = ordered.mapInArrow(_across, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-    more = cut(more)
-    if more.take(1):
-        known = sets
-        fresh_nodes = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct().join(known.select("node"), "node", "left_anti")
-        all_sets = known.union(cut(_sets_of(docs, fresh_nodes)))
-        comp = cut(components(links.union(_linked(more, all_sets))))
+    by_part = lambda x: x.repartition("part").sortWithinPartitions("part", "side", "node")
+    close = cut(by_part(whole.union(block)).mapInArrow(_across, "part long, node long, n long, comp long, rot binary, side int"))
+    missing = close.select("node").distinct().join(sets.select("node"), "node", "left_anti")
+    more = cut(_sets_of(docs, missing))
+    merged = cut(by_part(close.join(sets.union(more), "node").select(*close.columns, "set")).mapInArrow(_merge, "a long, b long").distinct())
+    if merged.take(1):
+        comp = cut(components(links.union(merged)))
 
     groups = classes.select("set_key", "node").join(comp, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")
@@ -245,7 +290,9 @@ def _full_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Full sets of the given nodes.  An id with several texts is decided by its first by code point."""
-    texts = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi")
+    nodes = cut(nodes)
+    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    texts = docs.join(F.broadcast(nodes) if few else nodes, docs["doc_id"] == nodes["node"], "left_semi")
     return texts.groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")).mapInArrow(_sets, "node long, set binary")
 
 
