@@ -88,10 +88,10 @@ def _mix(rows: DataFrame) -> DataFrame:
     order = Window.orderBy("f", "key", "tag", "doc_id", "crc", "p")
     edge = turns.where(F.col("bin") == last["bin"]).withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.lit(last["before"]))
     stop = edge.where(F.col("upto") <= total).agg(F.max(F.struct("f", "key", "tag", "doc_id", "crc", "p")).alias("x")).first()["x"]
-    taken = F.lit(0)
+    taken, types = F.lit(0), dict(edge.dtypes)
     for p in range(PASSES):
         at = F.struct(F.col(f"f{p}").alias("f"), "key", "tag", "doc_id", "crc", F.lit(p).alias("p"))
-        inside_edge = F.lit(False) if stop is None else at <= F.struct(F.lit(stop["f"]), F.lit(stop["key"]), F.lit(stop["tag"]), F.lit(stop["doc_id"]), F.lit(stop["crc"]), F.lit(stop["p"]))
+        inside_edge = F.lit(False) if stop is None else at <= F.struct(*[F.lit(stop[k]).cast(types[k]).alias(k) for k in ("f", "key", "tag", "doc_id", "crc", "p")])
         takes = (bin_of(f"f{p}") < last["bin"]) | ((bin_of(f"f{p}") == last["bin"]) & inside_edge)
         taken = taken + F.when(F.coalesce(takes, F.lit(False)), F.col("size")).otherwise(0)
     return _result(queue, taken)
