@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, shared_folder, small_batches
+from .common import col, cut, shared_folder, small_batches
 
-#: Bytes of payload aimed at in each file.
-FILE_BYTES = 16 << 20
+#: Bytes of payload aimed at in each file, and revisit records whose ids may be broadcast.
+FILE_BYTES, BROADCAST_REVISITS = 16 << 20, 200_000
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "kind string, file string, offset long, length long, page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, reason string"
 _CHUNK = 1 << 16
@@ -156,7 +156,8 @@ def rows_of(file: str, content: bytes, with_payload: bool = True) -> list[tuple]
 def write_warc(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES) -> str:
     """Write the archives; returns their folder (a new one in the shared folder by default).
 
-    Equal payloads meet as narrow (checksum, id) rows; html is shuffled once, by page id, into files of bounded size.
+    Equal payloads meet as narrow (checksum, id) rows.  The revisits among them are broadcast up to
+    ``BROADCAST_REVISITS`` (counted first), so html is written where it is read; beyond that it is shuffled once.
     """
     spark = pages.sparkSession
     small_batches(spark, 64)
@@ -165,15 +166,14 @@ def write_warc(pages: DataFrame, path: str | None = None, page_id: str = "page_i
     sha = F.concat(F.sha1(body.cast("binary")), F.lit(":"), F.octet_length(body).cast("string"))
     rows = pages.select(col(page_id).cast("long").alias("page_id"), col(url).alias("url"), body.alias("html"), sha.alias("sha"))
     keys = rows.select("page_id", "sha").distinct()
-    first = keys.groupBy("sha").agg(F.min("page_id").alias("first"))
-    keys = keys.join(first, "sha").select(F.col("page_id").alias("k_id"), F.col("sha").alias("k_sha"), "first")
-    size = pages.agg(F.sum(F.octet_length(body))).first()[0] or 0
-    files = max(1, -(-size // file_bytes))
-    joined = rows.join(keys, rows["page_id"].eqNullSafe(keys["k_id"]) & (rows["sha"] == keys["k_sha"]))
-    revisit = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
-    # a separate exchange, so that files are as many as their bytes ask for
-    dealt = joined.select("page_id", "url", "html", "first", revisit.alias("revisit"))
-    dealt = dealt.repartition(files, "page_id", F.xxhash64("html")) if files > 1 else dealt.coalesce(1)
+    first = keys.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    again = keys.join(first, "sha").where("not (page_id <=> first)")
+    again = cut(again.select(F.col("page_id").alias("k_id"), F.col("sha").alias("k_sha"), "first"))
+    few = again.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
+    mean = pages.agg(F.avg(F.octet_length(body)).alias("size")).first()["size"] or 1.0
+    of = rows["page_id"].eqNullSafe(F.col("k_id")) & (rows["sha"] == F.col("k_sha"))
+    joined = rows.join(F.broadcast(again) if few else again, of, "left")
+    dealt = joined.select("page_id", "url", "html", "first", F.col("k_sha").isNotNull().alias("revisit"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,7 +181,8 @@ def write_warc(pages: DataFrame, path: str | None = None, page_id: str = "page_i
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], ["value"])
 
     lines = dealt.mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", "\u0000").option("compression", "none").text(path)
+    most = max(1, int(file_bytes / max(1.0, mean)))
+    lines.write.option("lineSep", "\u0000").option("compression", "none").option("maxRecordsPerFile", most).text(path)
     return path
 
 
