@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def resolve(symbols: DataFrame, relations: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``relations`` with ``to_symbol_id`` and ``confidence`` set for calls and bases; other rows as they were."""
+def resolve(symbols: DataFrame, relations: DataFrame, aliases: DataFrame, by_path: bool = False) -> DataFrame:
+    """``relations`` with ``to_symbol_id`` and ``confidence`` set for calls and bases; other rows as they were.
+
+    ``by_path``: symbols are ordered by file and id instead of the id alone."""
     named = symbols.where("kind <> 'module'")
-    fqids = named.where("fqid <> ''").groupBy("fqid").agg(F.max("id").alias("fq_id"))
-    names = named.groupBy("name").agg(F.min("id").alias("name_id"), F.count(F.lit(1)).alias("name_n"))
+    order = F.struct("file_path", "id") if by_path else F.col("id")
+    fqids = named.where("fqid <> ''").groupBy("fqid").agg(F.max_by("id", order).alias("fq_id"))
+    names = named.groupBy("name").agg(F.min_by("id", order).alias("name_id"), F.count(F.lit(1)).alias("name_n"))
     scope = aliases.groupBy("file_path", "alias").agg(F.max_by("resolved_fqid", "id").alias("target"))
     files = symbols.select(F.col("id").alias("from_id"), "file_path")
 
