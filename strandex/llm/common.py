@@ -6,8 +6,10 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of characters that are not ASCII white space.
 WORD = "[^ \\t-\\r]+"
@@ -60,6 +62,19 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 _SENT: dict[str, str] = {}
 
 
+def map_arrow(df: DataFrame, function, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` for columns of any name: workers see positions, the result gets the schema's names."""
+    want = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    safe = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(want)])
+    names = safe.names
+
+    def renamed(batches):
+        for b in function(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names)
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, safe).toDF(*want.names)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` when it is set, else a
     folder in the warehouse (which a cluster shares as well)."""

@@ -2,8 +2,8 @@
 
 Words are lower-cased runs between ASCII punctuation and white space.  Each fixed mask selects six words of
 a window and ignores the others; equal hashes in a benchmark item and a document are hits.  A hit fixes a
-diagonal; the ungapped alignment along it is scored (+1 match, -3 substitution) and the best-scoring
-stretch is the overlap, so at least three quarters of it agree.  A document is contaminated by an item when an
+diagonal; the ungapped alignment along it is scored (+1 match, -2 substitution) and the best-scoring
+stretch is the overlap, so at least two thirds of it agree.  A document is contaminated by an item when an
 overlap has ``LEAST`` equal words.  Substitutions at any period of four or more leave hits.
 
 Scale: the benchmark is broadcast while its text stays below ``BROADCAST_CHARS`` (checked first); documents are
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, fresh, small_batches
+from .common import col, cut, fresh, map_arrow, small_batches
 from .hashing import mix, window_hashes
 
 MASKS = ("111111", "11011011", "1100110011")
-LEAST, PENALTY = 10, 3
+LEAST, PENALTY = 10, 2
 BROADCAST_CHARS = 16_000_000
 PAIRS = "doc_id long, item_id long, doc_start long, item_start long, n_overlap long, n_matched long"
 _SPLIT = bytes(32 if i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 else i for i in range(256))
@@ -197,4 +197,4 @@ def remove_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text",
         for b in batches:
             yield b.filter(pa.array([not shared.value.found(t) for t in b.column(where).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(scan, df.schema)
+    return map_arrow(df, scan, df.schema)

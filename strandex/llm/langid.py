@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, small_batches
+from .common import col, fresh, map_arrow, small_batches
 
 #: Hashed dimensions, centroids of a language, expected training rows of a language, k-means rounds.
 DIMS, CENTROIDS, SAMPLE, ROUNDS = 8192, 4, 400, 8
@@ -156,7 +156,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", names: tupl
             cols = [b.column(i) for i in range(len(keep))] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, [*keep, *added])
 
-    return df.select(*[col(c) for c in keep], col(text).alias(t)).mapInArrow(label, schema)
+    return map_arrow(df.select(*[col(c) for c in keep], col(text).alias(t)), label, schema)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

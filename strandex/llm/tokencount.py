@@ -24,8 +24,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import col, fresh, small_batches
+from .common import col, fresh, map_arrow, small_batches
 
 #: Characters of a leaf aimed at, and characters around an edit that can move a cut.
 LEAF, CONTEXT = 512, 2
@@ -156,7 +157,7 @@ def count_edits(df: DataFrame, text: str = "text", edits: str | None = None, voc
     rest = df.select(*[col(c) for c in keep])
     added = fresh(rest, "n_tokens", "n_tokens_after", "n_leaves", "n_encoded_chars", *(["new_text", "leaf_chars", "leaf_tokens"] if with_state else []))
     schema = rest.schema
-    for name, kind in zip(added, ["long"] * 4 + ["string", "array<int>", "array<int>"], strict=False):
+    for name, kind in zip(added, [T.LongType()] * 4 + [T.StringType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.IntegerType())], strict=False):
         schema = schema.add(name, kind)
     kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
     inputs = [col(text), col(edits) if edits else F.lit(None).cast("array<struct<start:int,removed:int,inserted:string>>")]
@@ -177,4 +178,4 @@ def count_edits(df: DataFrame, text: str = "text", edits: str | None = None, voc
             got = [one(enc, *row) for row in zip(*(b.column(k + i).to_pylist() for i in range(4)), strict=True)]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(k)], *[pa.array([g[i] for g in got], kinds[i]) for i in range(len(added))]], [*keep, *added])
 
-    return df.select(*[col(c) for c in keep], *[c.alias(f"in{i}") for i, c in enumerate(inputs)]).mapInArrow(count, schema)
+    return map_arrow(df.select(*[col(c) for c in keep], *[c.alias(f"in{i}") for i, c in enumerate(inputs)]), count, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, fresh, small_batches
+from .common import col, cut, fresh, map_arrow, small_batches
 
 #: Hashed terms (a power of two), factors, expected training rows of a class, epochs.
 TERMS, FACTORS, SAMPLE, EPOCHS = 1 << 18, 8, 2500, 12
@@ -162,4 +162,4 @@ def score(df: DataFrame, model: FactorizationMachine, text: str = "text", name:
             got = [m.score(x) for x in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(got, pa.float64())], [*keep, added])
 
-    return df.select(*[col(c) for c in keep], col(text).alias(t)).mapInArrow(rate, rest.schema.add(added, "double"))
+    return map_arrow(df.select(*[col(c) for c in keep], col(text).alias(t)), rate, rest.schema.add(added, "double"))

@@ -88,7 +88,10 @@ def _parse(raw: bytes | memoryview, limit: int) -> tuple[dict[str, str], bytes,
     end = head.find(b"\r\n\r\n")
     if not head.startswith(b"WARC/1.") or end < 0:
         raise ValueError("no version line or header end")
-    fields = dict(x.split(": ", 1) for x in head[:end].decode("utf-8").split("\r\n")[1:] if ": " in x)
+    pairs = [x.partition(": ") for x in head[:end].decode("utf-8").split("\r\n")[1:]]
+    fields = {k: v for k, _, v in pairs}
+    if any(not sep for _, sep, _ in pairs) or any(sum(k == must for k, _, _ in pairs) != 1 for must in ("WARC-Type", "WARC-Record-ID", "Content-Length")):
+        raise ValueError("header lines")
     size = int(fields["Content-Length"])
     block = bytes(raw[end + 4 : end + 4 + size])
     if size < 0 or len(block) != size or end + 8 + size > limit or bytes(raw[end + 4 + size : end + 8 + size]) != b"\r\n\r\n":
