@@ -108,7 +108,8 @@ def verification_plan(task_type: Column) -> Column:
 def plan_tasks(df: DataFrame, text: str = "text", task_hint: str | None = None, mode_hint: str | None = None, scope_hint: str | None = None, extra: list[str] | None = None, preserve_api: bool = False, no_tests: bool = False, keywords: dict | None = None) -> DataFrame:
     """``df`` plus the whole plan of each text: hints go before the text, the text before defaults."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn("candidates", task_scores(raw, keywords))
+    # a generator keeps the optimizer from evaluating the scores once for every column that uses them
+    out = df.select("*", F.explode(F.array(task_scores(raw, keywords))).alias("candidates"))
     top = F.get("candidates", F.lit(0))
     out = out.withColumn("task_type", F.lit(task_hint) if task_hint else top["task_type"])
     out = out.withColumn("confidence", F.lit(1.0) if task_hint else F.least(top["score"], F.lit(1.0)))
