@@ -34,6 +34,8 @@ TERMS, FACTORS, SAMPLE, EPOCHS = 1 << 18, 8, 2500, 12
 #: Sample rows a term needs and its chi-square against the label; learning rate, L2 penalty, and the score from
 #: which a text is called toxic.
 LEAST_ROWS, CHI2, RATE, L2, THRESHOLD = 4, 15.0, 0.15, 1e-4, 0.7
+#: Weight of false alarms when the intercept is set so that the classes part at ``THRESHOLD``.
+ALARM = 5.0
 #: Starts of words that count as terms.
 STEMS = (4, 5)
 #: Characters of a text that are split at a time.
@@ -120,9 +122,21 @@ def train(samples: list[tuple[np.ndarray, int]]) -> FactorizationMachine:
             m.w[a] -= RATE * dw / np.sqrt(gw[a])
             m.v[a] -= 0.2 * RATE * dv / np.sqrt(gv[a])
             m.w0 -= RATE * err / np.sqrt(g0)
+    m.w0 += float(np.log(THRESHOLD / (1 - THRESHOLD))) - _cut(np.array([m.raw(a) for a in at]), labels)
     return m
 
 
+def _cut(raw: np.ndarray, labels: np.ndarray) -> float:
+    """The raw score that best parts the classes (false alarms count ``ALARM`` fold), midway between its neighbours."""
+    order = np.argsort(raw, kind="stable")
+    raw, y = raw[order], labels[order]
+    missed = np.concatenate(([0], np.cumsum(y))) / y.sum()
+    alarms = np.concatenate((np.cumsum((1 - y)[::-1])[::-1], [0])) / (1 - y).sum()
+    best = np.flatnonzero(missed + ALARM * alarms <= (missed + ALARM * alarms).min() + 1e-12)
+    edges = np.concatenate(([raw[0] - 1], raw, [raw[-1] + 1]))
+    return float((edges[best[0]] + edges[best[-1] + 1]) / 2)
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> FactorizationMachine:
     """Fit on a bounded sample of the labelled rows of ``docs``."""
     small_batches(docs.sparkSession)
