@@ -41,7 +41,7 @@ SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, VALUES = 20, 3, 128
 #: Rows of a region compared as one tile; agreeing sketch values (of VALUES) a candidate needs (4.9 standard
 #: deviations below the mean at the threshold); ids that may be broadcast.
-DENSE, AGREE, BROADCAST_NODES = 2048, 72, 200_000
+DENSE, AGREE, BROADCAST_NODES = 512, 72, 200_000
 _MULT, _ADD = _mixed(VALUES, 11) | np.uint64(1), _mixed(VALUES, 12)
 
 
