@@ -141,3 +141,15 @@ def test_cli(index, repo, tmp_path, spark, capsys):
     assert json.loads(capsys.readouterr().out)["mode"] == "surgical"
     cli.main(["--index", str(tmp_path / "index"), "fix", "login is broken", "--root", str(repo), "--no-context"], spark)
     assert "TASK: BUGFIX" in capsys.readouterr().out
+
+
+def test_tools(index):
+    import io
+
+    from strandex import tools
+
+    ask = ['{"id": 1, "tool": "get_symbol", "args": {"name": "login"}}', '{"id": 2, "tool": "nope"}', "", '{"id": 3, "tool": "list_tools"}', '{"id": 4, "tool": "get_stats"}']
+    out = io.StringIO()
+    tools.serve(index, io.StringIO("\n".join(ask)), out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert got[0]["result"][0]["file_path"] == "auth.py" and "KeyError" in got[1]["error"] and len(got[2]["result"]) == 12 and got[3]["result"]["files"] == 4
