@@ -304,8 +304,20 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay when one document of each group does; all columns as they were."""
-    kept = near_duplicates(df, doc_id, text).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    """The rows of ``df`` that stay when one document of each group does; all columns as they were.
+
+    Ids to drop, and repeated ids, are broadcast up to ``BROADCAST_NODES`` (counted first), so texts stay where they
+    are read; beyond that they are shuffled.  Of rows with one id, one stays."""
+    verdict = near_duplicates(df, doc_id, text).groupBy(F.col("doc_id").alias("own_id")).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    odd = cut(verdict.where("own_id is null or n > 1 or not kept"))  # every other id is one row that stays
+    few = odd.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
     rows = df.select(F.struct("*").alias("row"), col(doc_id).cast("long").alias("kept_id"), F.when(col(doc_id).isNull(), F.sha1(col(text).cast("binary"))).alias("no_id"))
-    joined = rows.join(kept, rows["kept_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return joined.groupBy("kept_id", "no_id").agg(F.first("row").alias("row")).select("row.*")
+
+    def meet(ids: DataFrame, how: str) -> DataFrame:
+        return rows.join(F.broadcast(ids) if few else ids, rows["kept_id"].eqNullSafe(ids["own_id"]), how)
+
+    alone = meet(odd.select("own_id"), "left_anti").select("row.*")
+    repeated = odd.where("kept").select("own_id")
+    if not repeated.take(1):
+        return alone
+    return alone.unionByName(meet(repeated, "left_semi").groupBy("kept_id", "no_id").agg(F.first("row").alias("row")).select("row.*"))

@@ -50,6 +50,8 @@ def test_near_duplicates_by_shuffled_texts(spark, monkeypatch):
     docs = list(enumerate(family(random.Random(5), 5, 6)))
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute.components(docs)
+    df = spark.createDataFrame([*docs, docs[3]], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == sorted(i for i, c in got.items() if i == c)
 
 
 def test_near_duplicates_odd_rows(spark):
