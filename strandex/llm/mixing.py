@@ -13,7 +13,9 @@ Scale: words are counted in one native pass and checkpointed as narrow rows.  Ru
 the shuffle order is cut into buckets by leading hex digits, sums of (source, bucket) give each bucket its
 start, and rows add up inside their bucket, so a source with a third of all rows is spread over
 thousands of tasks.  The global cut is found the same way over bins of finish time, then inside one bin.
-Per-source tables are one row per source; only they meet in a single task.
+Per-source tables are one row per source; only they meet in a single task.  Within a source the taken documents of a
+pass are a prefix of its shuffle order, so the mixed rows follow from one cut for each source and pass: texts are
+judged where they are read and never shuffled (beyond ``BROADCAST_SOURCES`` sources, joined by a shuffle).
 
 Nulls: a null text has size 0 and is never taken; a null source is a source.  Repeated rows are documents
 of their own.  An empty table gives an empty result.
@@ -21,15 +23,17 @@ of their own.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, fresh, n_words
+from .common import col, cut, join_small, n_words
 
 WEIGHTS = (5, 2, 1)
 SHARE, PASSES = 1.5, 2
 #: Hex digits of the shuffle order that make a bucket, bins of finish time up to 1 (and beyond).
 BUCKET_DIGITS, BINS = 3, 4096
+#: Sources whose cuts may be broadcast.
+BROADCAST_SOURCES = 20_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -48,14 +52,22 @@ def targets(sizes: DataFrame) -> DataFrame:
     return t.withColumn("level", level).select("source", "source_size", target.alias("target"))
 
 
+def _narrow(df: DataFrame, doc_id: str, text: str, source: str) -> list[Column]:
+    """What the order of a document depends on: ``doc_id, tag, size, crc, key``; the tag lets null sources meet."""
+    key = F.md5(F.coalesce(col(doc_id).cast("string"), F.lit("")).cast("binary"))
+    tag = F.coalesce(F.concat(F.lit("="), col(source)), F.lit("null"))
+    return [col(doc_id).alias("doc_id"), tag.alias("tag"), n_words(col(text)).alias("size"), F.crc32(F.coalesce(col(text), F.lit("")).cast("binary")).alias("crc"), key.alias("key")]
+
+
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per row: ``doc_id, size, source_size, target, taken`` and ``finish``, the first pass's virtual time."""
-    key = F.md5(F.coalesce(col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    rows = df.select(col(doc_id).alias("doc_id"), col(source).alias("source"), n_words(col(text)).alias("size"), F.crc32(F.coalesce(col(text), F.lit("")).cast("binary")).alias("crc"), key.alias("key"))
-    return _mix(cut(rows))
+    rows = cut(df.select(*_narrow(df, doc_id, text, source), col(source).alias("source")))
+    taken = sum(F.when(F.col(f"take{p}"), F.col("size")).otherwise(0) for p in range(PASSES))
+    return _decided(rows).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("f0").alias("finish"))
 
 
-def _mix(rows: DataFrame) -> DataFrame:
+def _decided(rows: DataFrame) -> DataFrame:
+    """Narrow rows to those plus ``source_size, target``, the finish times ``f*`` and what each pass takes, ``take*``."""
     rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goal = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")))
@@ -64,9 +76,8 @@ def _mix(rows: DataFrame) -> DataFrame:
     null_safe = lambda a, b: a["source"].eqNullSafe(b["source"])
     starts = starts.join(goal, null_safe(starts, goal)).select(starts["source"], "bucket", "start", "source_size", "target")
     starts = cut(starts)
-    # the tag lets null sources meet and rows stay dealt by (source, bucket) for the window
     tag = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    rows, starts = rows.withColumn("tag", tag).drop("source"), starts.withColumn("tag", tag).drop("source")
+    rows, starts = rows.drop("source"), starts.withColumn("tag", tag).drop("source")  # dealt by (source, bucket) for the window
     inside = F.sum("size").over(Window.partitionBy("tag", "bucket").orderBy("key", "doc_id", "size", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     queue = rows.join(starts, ["tag", "bucket"]).withColumn("end", F.col("start") + inside)
     live = (F.col("size") > 0) & (F.col("target") > 0)
@@ -82,40 +93,55 @@ def _mix(rows: DataFrame) -> DataFrame:
     upto = F.sum("words").over(Window.orderBy("bin"))
     last = bins.withColumn("upto", upto).where(F.col("upto") > total).agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("before")), "bin").alias("x")).select("x.*").first()
     if last is None or last["bin"] is None:
-        taken = sum(F.when(F.col(f"f{p}").isNotNull(), F.col("size")).otherwise(0) for p in range(PASSES))
-        return _result(queue, taken)
+        return queue.withColumns({f"take{p}": F.col(f"f{p}").isNotNull() for p in range(PASSES)})
     # inside the bin where the budget ends, the exact order decides
     order = Window.orderBy("f", "key", "tag", "doc_id", "crc", "p")
     edge = turns.where(F.col("bin") == last["bin"]).withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.lit(last["before"]))
     stop = edge.where(F.col("upto") <= total).agg(F.max(F.struct("f", "key", "tag", "doc_id", "crc", "p")).alias("x")).first()["x"]
-    taken, types = F.lit(0), dict(edge.dtypes)
+    take, types = {}, dict(edge.dtypes)
     for p in range(PASSES):
         at = F.struct(F.col(f"f{p}").alias("f"), "key", "tag", "doc_id", "crc", F.lit(p).alias("p"))
         inside_edge = F.lit(False) if stop is None else at <= F.struct(*[F.lit(stop[k]).cast(types[k]).alias(k) for k in ("f", "key", "tag", "doc_id", "crc", "p")])
         takes = (bin_of(f"f{p}") < last["bin"]) | ((bin_of(f"f{p}") == last["bin"]) & inside_edge)
-        taken = taken + F.when(F.coalesce(takes, F.lit(False)), F.col("size")).otherwise(0)
-    return _result(queue, taken)
+        take[f"take{p}"] = F.coalesce(takes, F.lit(False))
+    return queue.withColumns(take)
 
 
-def _result(queue: DataFrame, taken) -> DataFrame:
-    return queue.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("f0").alias("finish"))
+def _cuts(decided: DataFrame) -> DataFrame:
+    """One row per source (``tag``): for each pass the last place taken ``end*``, and of the rows at that very place
+    (repeated rows) how many there are, ``n*``, and how many are taken, ``m*``."""
+    place = F.struct("key", "doc_id", "size", "crc")
+    ends = cut(decided.groupBy("tag").agg(*[F.max(F.when(F.col(f"take{p}"), place)).alias(f"end{p}") for p in range(PASSES)]))
+    rows = join_small(decided, ends, ["tag"], ends.count(), BROADCAST_SOURCES, "inner")
+    at = [F.coalesce(place == F.col(f"end{p}"), F.lit(False)) for p in range(PASSES)]
+    ties = [F.count_if(at[p]).alias(f"n{p}") for p in range(PASSES)] + [F.count_if(at[p] & F.col(f"take{p}")).alias(f"m{p}") for p in range(PASSES)]
+    return cut(rows.groupBy("tag").agg(*ties).join(ends, "tag").withColumnRenamed("tag", "of"))
 
 
 def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: rows of ``df`` as often as they are taken, all columns as they were.
 
-    Decisions join back by (id, size): repeated rows with different decisions are taken by their mean,
-    rounded down, plus what remains on the first of them in a stable order.
+    Where a cut falls among repeated rows (equal id, source and text), the first by a hash of the whole row are taken.
     """
-    decided = mix(df, doc_id, text, source).where("taken > 0")
-    times = decided.groupBy(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size")).agg(F.sum((F.col("taken") / F.col("size")).cast("long")).alias("copies"))
-    row, i, s, n, at = fresh(df, "row", "mix_id", "mix_size", "copies", "at")
-    rows = df.select(F.struct("*").alias(row), col(doc_id).alias(i), n_words(col(text)).alias(s))
-    times = times.select(F.col("mix_id").alias(f"{i}_r"), F.col("mix_size").alias(f"{s}_r"), F.col("copies").alias(n))
-    joined = rows.join(times, rows[i].eqNullSafe(times[f"{i}_r"]) & (rows[s] == times[f"{s}_r"]))
-    rank = Window.partitionBy(i, s).orderBy(F.xxhash64(row))
-    per = Window.partitionBy(i, s)
-    count = F.count(F.lit(1)).over(per)
-    own = F.floor(F.col(n) / count) + (F.row_number().over(rank) <= F.pmod(F.col(n), count)).cast("int")
-    out = joined.withColumn(at, own).where(F.col(at) > 0)
-    return out.select(row, F.explode(F.expr(f"sequence(1, {at})")).alias(f"{at}_copy")).select(f"{row}.*")
+    narrow = _narrow(df, doc_id, text, source)
+    cuts = _cuts(_decided(cut(df.select(*narrow, col(source).alias("source")))))
+    rows = df.select(F.struct("*").alias("row"), *narrow).withColumnRenamed("tag", "of")
+    rows = join_small(rows, cuts, ["of"], cuts.count(), BROADCAST_SOURCES, "inner")
+    place = F.struct("key", "doc_id", "size", "crc")
+
+    def copies(rank: Column) -> Column:
+        taken = [(place < F.col(f"end{p}")) | ((place == F.col(f"end{p}")) & (rank <= F.col(f"m{p}"))) for p in range(PASSES)]
+        return F.when(F.col("size") > 0, sum(F.coalesce(t.cast("int"), F.lit(0)) for t in taken)).otherwise(0)
+
+    def out(some: DataFrame) -> DataFrame:
+        return some.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+
+    split = [F.col(f"m{p}") < F.col(f"n{p}") for p in range(PASSES)]
+    if not cuts.where(split[0] | split[1]).take(1):
+        return out(rows.withColumn("copies", copies(F.lit(1))))
+    tied = F.lit(False)
+    for p in range(PASSES):
+        tied = tied | F.coalesce(split[p] & (place == F.col(f"end{p}")), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("of", "key", "doc_id", "size", "crc").orderBy(F.xxhash64("row")))
+    ranked = rows.where(tied).withColumn("rank", rank).withColumn("copies", copies(F.col("rank")))
+    return out(rows.where(~tied).withColumn("copies", copies(F.lit(1)))).unionByName(out(ranked))

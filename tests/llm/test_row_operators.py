@@ -173,6 +173,20 @@ def test_mix_odd_rows(spark):
     assert sum(len(brute.words(r["text"])) for r in out.collect()) == total
 
 
+def test_mixed_rows_cut_inside_repeated_rows(spark):
+    rows = [(i, " ".join(["w"] * (1 + i % 3)), s, n) for s in ("a", "b", None) for i in range(9 if s == "a" else 2) for n in range(13)]
+    docs = spark.createDataFrame([*rows, (None, "w w", "b", 1), (None, None, "b", 2)], "doc_id long, text string, source string, copies int")
+    mixed = mixing.mixed_rows(docs)
+    assert mixed.columns == docs.columns
+    count = lambda rows: {(r["doc_id"], r["size"]): r["n"] for r in rows if r["n"]}
+    size = F.size(F.split("text", " ")).alias("size")
+    got = count(mixed.groupBy("doc_id", size).agg(F.count(F.lit(1)).alias("n")).collect())
+    want = count(mixing.mix(docs).where("size > 0").groupBy("doc_id", "size").agg(F.sum(F.expr("taken div size")).alias("n")).collect())
+    assert got == want
+    assert mixed.groupBy(*docs.columns).count().agg(F.max("count")).first()[0] <= mixing.PASSES
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mixed_rows(docs.repartition(5)).collect()))
+
+
 def test_tokens_equal_a_full_encoding():
     enc = tokencount.encoder(tokencount.read_vocabulary())
     rng = random.Random(5)
