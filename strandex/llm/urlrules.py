@@ -1,15 +1,18 @@
 """URL filters by a sort-merge range join, DataFrame only.
 
 A host becomes a key of its labels in reverse, each ended by a dot (``net.example.blog.``), so a rule's host
-with all its subdomains is one interval of keys.  The distinct hosts and the bounds of the rules are
-sorted together and swept once: a running count of open intervals is the height of the stack, and slot d of the
-stack is the last rule that opened at height d.  Hosts carry the stack of nested rules they meet; of
-those whose path starts the url's path, the longest rule (host and path) wins, then the longer host, then block.
-
-Scale: the sweep runs over distinct hosts, dealt by split points of the sorted keys; an interval that crosses
-split points re-opens at each.  Urls then join their host's stack by a shuffled join whose large partitions AQE
-splits, and only hosts under some rule are on its other side.  Split points spread work, results do not
-depend on them.
+with all its subdomains is one interval of keys; below a rule's host, a path prefix is one interval of
+paths.  Two sorted sweeps meet them.  The first runs over distinct hosts and the rules' hosts: a running count of open
+intervals is the height of the stack, and slot d of the stack is the last rule host that opened at height d, so a
+host gets its stack of nested rule hosts.  The second runs over distinct (rule host, path) of the urls below some rule
+host and over the rules: the last rule that opened at a point's height is the top of its stack, the longest
+rule of that host that fits.  Of a url's rule hosts the longest rule (host and path) wins, then the longer host;
+of several actions of one rule the last by code point, so block before allow.
+
+Scale: both sweeps are dealt by split points of the sorted keys; an interval that crosses split points re-opens at
+each.  So a host with a third of all urls, or of all rules, is spread like any other, and no row ever holds the rules of
+a host.  Urls meet their verdict by a shuffled join whose large partitions AQE splits.  Split points spread work,
+results do not depend on them.
 
 Nulls: a null url, or one without ``://``, has empty host and path and gets the default.  Rules without a
 host fit nothing; a null rule path counts as empty.  Repeated rows are judged alike, empty tables work, extra
@@ -21,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh
+from .common import col, cut, fresh
 
-#: Hosts aimed at in each range of the sweep, and the most ranges.
-RANGE_HOSTS, MOST_RANGES = 64, 200
+#: Points aimed at in each range of a sweep, and the most ranges.
+RANGE_POINTS, MOST_RANGES = 64, 200
+#: Bytes that occur in no UTF-8 text: between host and path, and above every continuation of a prefix.
+_BETWEEN, _ABOVE = b"\xfe", b"\xff"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,39 +47,60 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def host_key(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, "\\.")), "."), F.lit("."))
+    return F.concat(F.array_join(F.reverse(F.split(host, "\\.")), "."), F.lit(".")).cast("binary")
+
+
+def path_key(host: Column, path: Column) -> Column:
+    return F.concat(host.cast("binary"), F.lit(_BETWEEN), path.cast("binary"))
 
 
-def _range_of(key: Column, cuts: list[str]) -> Column:
+def _range_of(key: Column, cuts: list[bytes]) -> Column:
     if not cuts:
         return F.lit(0)
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= key))
 
 
-def sweep(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """``host`` (distinct) to ``host, rules``: the stack of rules at each host, hosts under no rule left out."""
-    deep = rules.agg(F.max(F.size(F.split("host", "\\.")))).first()[0] or 0
-    n = hosts.agg(F.approx_count_distinct("host")).first()[0]
-    ranges = max(1, min(MOST_RANGES, n // RANGE_HOSTS))
-    keyed = hosts.select("host", host_key(F.col("host")).alias("key"))
-    cuts = []
+def _events(points: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Points (``key, at``) and intervals (``low, high, tag``) in sweep order by ``part``: ``key, kind, step, at, tag, height``."""
+    n = points.agg(F.approx_count_distinct("key")).first()[0]
+    ranges, cuts = max(1, min(MOST_RANGES, n // RANGE_POINTS)), []
     if ranges > 1:
-        some = keyed.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // ranges))) == 0).select("key")
-        cuts = sorted(r["key"] for r in some.limit(2 * MOST_RANGES).collect())
-    rule = F.struct(F.length(F.concat("host", "path")).alias("length"), F.length("host").alias("host_length"), "action", F.concat("host", "path").alias("rule"), "path")
-    opened = rules.groupBy("host").agg(F.collect_set(rule).alias("rules")).withColumn("low", host_key(F.col("host")))
-    opened = opened.withColumn("high", F.concat(F.expr("substring(low, 1, length(low) - 1)"), F.lit("/")))
-    opened = opened.withColumn("first", _range_of(F.col("low"), cuts)).withColumn("last", _range_of(F.col("high"), cuts))
-    none = F.lit(None).cast(dict(opened.dtypes)["rules"])
-    opens = opened.select(F.explode(F.sequence("first", "last")).alias("part"), F.col("low").alias("key"), F.lit(0).alias("kind"), F.lit(1).alias("step"), F.lit(None).cast("string").alias("host"), "rules")
-    closes = opened.select(F.col("last").alias("part"), F.col("high").alias("key"), F.lit(0).alias("kind"), F.lit(-1).alias("step"), F.lit(None).cast("string").alias("host"), none.alias("rules"))
-    points = keyed.select(_range_of(F.col("key"), cuts).alias("part"), "key", F.lit(1).alias("kind"), F.lit(0).alias("step"), "host", none.alias("rules"))
-    upto = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = opens.unionByName(closes).unionByName(points).withColumn("height", F.sum("step").over(upto))
-    slots = [F.last(F.when((F.col("step") == 1) & (F.col("height") == d), F.col("rules")), ignorenulls=True).over(upto).alias(f"slot{d}") for d in range(1, deep + 1)]
-    swept = swept.select("kind", "host", "height", *slots)
-    stack = F.flatten(F.array(*[F.when(F.col("height") >= d, F.col(f"slot{d}")).otherwise(F.array().cast(dict(opened.dtypes)["rules"])) for d in range(1, deep + 1)])) if deep else none
-    return swept.where((F.col("kind") == 1) & (F.col("height") > 0)).select("host", stack.alias("rules"))
+        some = points.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // ranges))) == 0).select("key")
+        cuts = sorted({bytes(r["key"]) for r in some.limit(2 * MOST_RANGES).collect()})
+    kinds = {f.name: f.dataType for f in [*points.schema, *intervals.schema]}
+    none = {c: F.lit(None).cast(kinds[c]).alias(c) for c in ("at", "tag")}
+    bounds = intervals.withColumn("first", _range_of(F.col("low"), cuts)).withColumn("last", _range_of(F.col("high"), cuts))
+    row = lambda kind, step: (F.lit(kind).alias("kind"), F.lit(step).alias("step"))
+    opens = bounds.select(F.explode(F.sequence("first", "last")).alias("part"), F.col("low").alias("key"), *row(0, 1), none["at"], "tag")
+    closes = bounds.select(F.col("last").alias("part"), F.col("high").alias("key"), *row(0, -1), none["at"], none["tag"])
+    events = opens.unionByName(closes).unionByName(points.select(_range_of(F.col("key"), cuts).alias("part"), "key", *row(1, 0), "at", none["tag"]))
+    return events.withColumn("height", F.sum("step").over(_upto("part")))
+
+
+def _upto(*by: str) -> Window:
+    return Window.partitionBy(*by).orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def host_stacks(hosts: DataFrame, rule_hosts: DataFrame) -> DataFrame:
+    """``host`` (distinct) to ``host, stack``: the rule hosts it equals or lies under; hosts under none are left out."""
+    low = host_key(F.col("host"))
+    # the last label's dot gives way to the next byte, so the interval ends after all subdomains
+    intervals = rule_hosts.select(low.alias("low"), F.concat(F.expr("substring(low, 1, length(low) - 1)"), F.lit(b"/")).alias("high"), F.col("host").alias("tag"))
+    events = _events(hosts.select(low.alias("key"), F.col("host").alias("at")), intervals)
+    deep = events.where("step = 1").agg(F.max("height")).first()[0] or 0
+    slots = [F.last(F.when((F.col("step") == 1) & (F.col("height") == d), F.col("tag")), ignorenulls=True).over(_upto("part")).alias(f"slot{d}") for d in range(1, deep + 1)]
+    stack = F.slice(F.array(*[F.col(f"slot{d}") for d in range(1, deep + 1)]), F.lit(1), F.col("height").cast("int")) if deep else F.array().cast("array<string>")
+    swept = events.select("kind", "at", "height", *slots)
+    return swept.where((F.col("kind") == 1) & (F.col("height") > 0)).select(F.col("at").alias("host"), stack.alias("stack"))
+
+
+def longest_rules(points: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct ``of, path`` (a rule host and a url's path) to those plus ``rule_path, action`` of the longest rule that fits."""
+    low = path_key(F.col("host"), F.col("path"))
+    intervals = rules.select(low.alias("low"), F.concat(low, F.lit(_ABOVE)).alias("high"), F.struct(F.col("path").alias("rule_path"), "action").alias("tag"))
+    events = _events(points.select(path_key(F.col("of"), F.col("path")).alias("key"), F.struct("of", "path").alias("at")), intervals)
+    top = events.withColumn("top", F.last("tag", ignorenulls=True).over(_upto("part", "height")))
+    return top.where((F.col("kind") == 1) & (F.col("height") > 0)).select("at.*", "top.*")
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", names: tuple[str, str, str, str] = ("host", "path", "rule", "verdict")) -> DataFrame:
@@ -85,9 +111,13 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     host, path = host_and_path(col(url))
     row = pages.select(F.struct(*[col(c) for c in keep]).alias("row"), host.alias("host"), path.alias("path"))
     clean = rules.where(F.coalesce("host", F.lit("")) != "").select(F.coalesce("action", F.lit(default)).alias("action"), F.translate("host", _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
-    stacks = sweep(row.select("host").where("host <> ''").distinct(), clean).select(F.col("host").alias("of"), "rules")
-    joined = row.join(stacks, row["host"] == stacks["of"], "left")
-    fits = F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"]))
-    best = F.array_max(F.transform(fits, lambda r: F.struct(r["length"], r["host_length"], r["action"], r["rule"])))
-    out = joined.withColumn("best", best)
+    clean = cut(clean.groupBy("host", "path").agg(F.max("action").alias("action")))
+    below = row.select("host", "path").where("host <> ''").distinct()
+    stacks = host_stacks(cut(below.select("host").distinct()), clean.select("host").distinct())
+    below = cut(below.join(stacks, "host").select("host", "path", F.explode("stack").alias("of")))
+    fits = below.join(longest_rules(below.select("of", "path").distinct(), clean), ["of", "path"])
+    rule = F.concat("of", "rule_path")
+    best = F.max(F.struct(F.length(rule).alias("length"), F.length("of").alias("host_length"), "action", rule.alias("rule")))
+    found = fits.groupBy(F.col("host").alias("b_host"), F.col("path").alias("b_path")).agg(best.alias("best"))
+    out = row.join(found, (row["host"] == found["b_host"]) & (row["path"] == found["b_path"]), "left")
     return out.select("row.*", F.col("host").alias(added[0]), F.col("path").alias(added[1]), F.col("best.rule").alias(added[2]), F.coalesce("best.action", F.lit(default)).alias(added[3]))

@@ -112,7 +112,9 @@ def test_decontamination_odd_rows(spark):
     assert decontam.contaminated(odd(spark, rows).where("false"), bench).collect() == []
 
 
-def test_url_rules_against_brute_force(spark):
+@pytest.mark.parametrize("points", [64, 2])
+def test_url_rules_against_brute_force(spark, monkeypatch, points):
+    monkeypatch.setattr(urlrules, "RANGE_POINTS", points)
     rng = random.Random(4)
     label = lambda: rng.choice(["a", "b", "ab", "com", "net", "x-y", "A", "é"])
     host = lambda k: ".".join(label() for _ in range(rng.randint(1, k)))
@@ -125,6 +127,19 @@ def test_url_rules_against_brute_force(spark):
     assert got == {i: brute.verdict(rules, u) for i, u in enumerate(urls)}
 
 
+def test_url_rules_of_one_hot_host(spark, monkeypatch):
+    monkeypatch.setattr(urlrules, "RANGE_POINTS", 4)
+    rng = random.Random(8)
+    path = lambda: "/" + "".join(rng.choice("ab/é") for _ in range(rng.randint(0, 9)))
+    rules = [(rng.choice(["allow", "block"]), rng.choice(["hot.com", "hot.com", "com", "b.hot.com"]), path()) for _ in range(400)]
+    rules += [("block", "hot.com", "/" + "a" * k) for k in range(60)]  # deeply nested
+    urls = ["http://" + rng.choice(["hot.com", "a.hot.com", "x.b.hot.com", "hot.com.net"]) + rng.choice([path(), "/" + "a" * rng.randint(0, 70)]) for _ in range(900)]
+    urls += urls[:50]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlrules.judge(df, urlrules.rules_table(spark, rules)).collect()}
+    assert got == {i: brute.verdict(rules, u) for i, u in enumerate(urls)}
+
+
 def test_url_rules_odd(spark):
     df = spark.createDataFrame([(1, "http://a.net/x", "h", "p")], "page_id long, url string, Host string, rule string")
     rules = spark.createDataFrame([("block", None, "/"), ("block", "", "/"), (None, "net", None)], "action string, host string, path string")
