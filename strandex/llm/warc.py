@@ -8,7 +8,8 @@ written without their last byte and the separator is that byte.  Longer records
 
 Reader: each member (or uncompressed record) must inflate, have a version line, the stated length and the stated
 block digest.  After a failed check the reader searches for the next valid member or version line, goes on from
-there, and logs the bytes between as a quarantined gap.  Files are bounded by ``FILE_BYTES``, so a file is one task.
+there, and logs the bytes between as a quarantined gap.  The writer packs members into pieces and a fixed number of
+pieces into a file, so a file (one reading task) has at most ``FILE_BYTES`` and one member more for each piece.
 
 Nulls: a null html is an empty payload, a null url an empty target; a null page id comes back as null and never is
 the response of others unless all ids of its group are null.  Rows that tie for the smallest id are all responses.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import col, cut, shared_folder, small_batches
 
-#: Bytes of payload aimed at in each file, and revisit records whose ids may be broadcast.
-FILE_BYTES, BROADCAST_REVISITS = 16 << 20, 200_000
+#: Bytes of members in each file and pieces that make it up, and revisit records whose ids may be broadcast.
+FILE_BYTES, PIECES, BROADCAST_REVISITS = 16 << 20, 8, 200_000
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "kind string, file string, offset long, length long, page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, reason string"
 _CHUNK = 1 << 16
@@ -173,19 +174,25 @@ def write_warc(pages: DataFrame, path: str | None = None, page_id: str = "page_i
     again = keys.join(first, "sha").where("not (page_id <=> first)")
     again = cut(again.select(F.col("page_id").alias("k_id"), F.col("sha").alias("k_sha"), "first"))
     few = again.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
-    mean = pages.agg(F.avg(F.octet_length(body)).alias("size")).first()["size"] or 1.0
     of = rows["page_id"].eqNullSafe(F.col("k_id")) & (rows["sha"] == F.col("k_sha"))
     joined = rows.join(F.broadcast(again) if few else again, of, "left")
     dealt = joined.select("page_id", "url", "html", "first", F.col("k_sha").isNotNull().alias("revisit"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        value = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
         for b in batches:
-            got = [member(record(i, u, h.encode("utf-8", "surrogatepass"), r, v))[:-1] for i, u, h, r, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], ["value"])
+            for i, u, h, r, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(member(record(i, u, h.encode("utf-8", "surrogatepass"), r, v)))
+                size += len(held[-1])
+                if size >= file_bytes // PIECES:
+                    yield value()
+                    held, size = [], 0
+        if held:
+            yield value()
 
     lines = dealt.mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))
-    most = max(1, int(file_bytes / max(1.0, mean)))
-    lines.write.option("lineSep", "\u0000").option("compression", "none").option("maxRecordsPerFile", most).text(path)
+    lines.write.option("lineSep", "\u0000").option("compression", "none").option("maxRecordsPerFile", PIECES).text(path)
     return path
 
 

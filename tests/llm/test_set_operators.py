@@ -174,6 +174,16 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch, few):
     assert warc.read_warc(spark, warc.write_warc(pages(spark).where("false"), str(tmp_path / "e"))).collect() == []
 
 
+def test_warc_files_are_bounded(spark, tmp_path):
+    rng = random.Random(2)
+    bodies = ["".join(chr(rng.randrange(33, 127)) for _ in range(n)) for n in [10] * 300 + [20_000] * 60]  # long ones last
+    df = spark.createDataFrame([(i, "u", b) for i, b in enumerate(bodies)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(df, str(tmp_path / "w"), file_bytes=80_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) <= 80_000 + warc.PIECES * 21_000 and len(sizes) > 4
+    assert sorted((r["page_id"], r["payload"].decode()) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()) == list(enumerate(bodies))
+
+
 def test_warc_salvage():
     records = [warc.record(i, f"http://h/{i}", f"<p>{i}</p>".encode() * (50 + i), None, False) for i in range(6)]
     gz = [warc.member(r) for r in records]
