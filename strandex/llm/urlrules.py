@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import col, cut, fresh
 
-#: Points aimed at in each range of a sweep, and the most ranges.
-RANGE_POINTS, MOST_RANGES = 64, 200
+#: Points aimed at in each range of a sweep, the most ranges, and sampled keys for each of them.
+RANGE_POINTS, MOST_RANGES, SAMPLED = 64, 200, 16
 #: Bytes that occur in no UTF-8 text: between host and path, and above every continuation of a prefix.
 _BETWEEN, _ABOVE = b"\xfe", b"\xff"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,8 +65,9 @@ def _events(points: DataFrame, intervals: DataFrame) -> DataFrame:
     n = points.agg(F.approx_count_distinct("key")).first()[0]
     ranges, cuts = max(1, min(MOST_RANGES, n // RANGE_POINTS)), []
     if ranges > 1:
-        some = points.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // ranges))) == 0).select("key")
-        cuts = sorted({bytes(r["key"]) for r in some.limit(2 * MOST_RANGES).collect()})
+        some = points.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // (SAMPLED * ranges)))) == 0).select("key")
+        keys = sorted(bytes(r["key"]) for r in some.limit(2 * SAMPLED * MOST_RANGES).collect())
+        cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
     kinds = {f.name: f.dataType for f in [*points.schema, *intervals.schema]}
     none = {c: F.lit(None).cast(kinds[c]).alias(c) for c in ("at", "tag")}
     bounds = intervals.withColumn("first", _range_of(F.col("low"), cuts)).withColumn("last", _range_of(F.col("high"), cuts))
