@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LANGUAGES, SKIP_DIRS, fqid_of, is_indexable, language_of, module_of, span_hash
@@ -13,6 +13,15 @@ from ..functions.scalars import LANGUAGES, SKIP_DIRS, fqid_of, is_indexable, lan
 _OUT = "path string, error string, symbols array<struct<name:string,kind:string,start_line:int,end_line:int,owner:string>>, relations array<struct<from_symbol:string,ordinal:int,relation:string,to_name:string,call_expression:string>>, aliases array<struct<alias:string,source_module:string,source_name:string>>"
 
 
+#: Bits of an id below its path's hash.
+ORDINAL_BITS = 22
+
+
+def path_hash() -> Column:
+    """40 bits of the hash of ``path``, never negative."""
+    return F.expr("xxhash64(path) & 1099511627775L")
+
+
 def _unlisted(spark: SparkSession, base, fs, skip: int) -> list[tuple[str, bytearray]]:
     """Sources below names that Spark's listing leaves out (a leading ``_`` or ``.``, such as ``__init__.py``).
 
@@ -65,7 +74,7 @@ def tables(sources: DataFrame, extracted: DataFrame, compat: bool = False) -> di
     An id is 40 bits of the path's hash and the symbol's ordinal, so files do not move each other's ids.  Relations
     bind to their symbol by ordinal; ``compat`` binds by name, the last of a file winning.
     """
-    key = F.shiftleft(F.expr("xxhash64(path) & 1099511627775L"), 22)
+    key = F.shiftleft(path_hash(), ORDINAL_BITS)
     known = extracted.join(sources.select("path", "source", "language"), "path").withColumn("module", module_of(F.col("path")))
     s = known.select("path", "source", "language", "module", F.posexplode("symbols").alias("ordinal", "s")).select("path", "source", "language", "module", "ordinal", "s.*")
     s = s.withColumn("id", key + F.col("ordinal") + 1).withColumn("fqid", fqid_of(F.col("module"), F.col("name"), F.col("owner")))

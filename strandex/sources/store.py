@@ -1,14 +1,16 @@
-"""The index on storage: versioned Parquet tables, one writer, readers never see half a build.
+"""The index on storage: versioned, bucketed Parquet tables, one writer, readers never see half a build.
 
-A build writes every table under a new version folder and marks it ready last; readers take the newest
-ready version.  Folders go through the Hadoop file system, so any store that Spark reaches works.
+Every table but ``meta`` is dealt into buckets by the hash of a row's path, which its id holds as well.  A build writes the
+buckets that change under a new version folder, then a manifest that names the version of every bucket, and marks the version
+ready last; readers take the newest ready version.  So a change of a few files writes a few buckets, whatever the
+index holds.  Folders go through the Hadoop file system, so any store that Spark reaches works.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -16,85 +18,141 @@ from ..operators import resolve as resolver
 from ..streaming import incremental
 from . import files as source_files
 
+#: Buckets of a new store; a store keeps the number it was made with.
+BUCKETS = 16
+
 
 class Store:
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.buckets = self._manifest(v)["buckets"] if (v := self.version()) else buckets
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
 
     def _versions(self) -> list[int]:
-        if not self._fs.exists(self._path(self.folder)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self._fs.exists(self._path(f"{self.folder}/{n}/_READY")))
+        return sorted(int(n[1:]) for n in self._names(self.folder) if n[:1] == "v" and n[1:].isdigit() and self._fs.exists(self._path(f"{self.folder}/{n}/_READY")))
 
     def version(self) -> int:
         return max(self._versions(), default=0)
 
-    def table(self, name: str) -> DataFrame:
-        """The newest ready version of a table, empty before the first build."""
-        if not (v := self.version()):
+    def _manifest(self, version: int) -> dict:
+        """``buckets`` and, for each table, the version that holds each bucket."""
+        if not version:
+            return {"buckets": self.buckets, "tables": {}}
+        stream = self._fs.open(self._path(f"{self.folder}/v{version}/_MANIFEST"))
+        try:
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        finally:
+            stream.close()
+
+    def bucket(self, name: str) -> Column:
+        """The bucket of a row of a table: by its path's hash, which ids hold above their ordinals."""
+        path_hash = source_files.path_hash() if name in ("files", "modules") else F.shiftright("id", source_files.ORDINAL_BITS)
+        return (path_hash % self.buckets).cast("int")
+
+    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """The newest ready version of a table, or of some of its buckets; empty before the first build."""
+        v = self.version()
+        if v and name == "meta":
+            found = [f"{self.folder}/v{v}/meta"]
+        else:
+            held = self._manifest(v)["tables"].get(name, {})
+            found = [f"{self.folder}/v{at}/{name}/b={k}" for k, at in held.items() if buckets is None or int(k) in buckets]
+        if not found:
             return self.spark.createDataFrame([], schemas.TABLES[name])
-        return self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.folder}/v{v}/{name}")
+        return self.spark.read.schema(schemas.TABLES[name]).parquet(*found)
 
     def meta(self) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self.table("meta").collect()}
 
-    def write(self, tables: dict[str, DataFrame], meta: dict[str, str]) -> int:
-        """Stage a version and mark it ready; older versions but the last two are removed."""
+    def write(self, tables: dict[str, tuple[DataFrame, list[int] | None]], meta: dict[str, str]) -> int:
+        """Stage a version and mark it ready: of each table the given buckets (None: all of them), the rest stays where it is."""
         v = self.version() + 1
-        tables = tables | {"meta": self.spark.createDataFrame([(k, str(x)) for k, x in sorted(meta.items())], schemas.META)}
-        for name, df in tables.items():
+        manifest = self._manifest(v - 1) | {"buckets": self.buckets}
+        self._fs.delete(self._path(f"{self.folder}/v{v}"), True)  # left by a build that failed
+        for name, (df, buckets) in tables.items():
+            if buckets == []:
+                continue
             want = self.spark.createDataFrame([], schemas.TABLES[name]).schema
-            df.select(*[F.col(c.name).cast(c.dataType) for c in want]).write.mode("overwrite").parquet(f"{self.folder}/v{v}/{name}")
+            rows = df.select(*[F.col(c.name).cast(c.dataType) for c in want], self.bucket(name).alias("b"))
+            rows.hint("rebalance", "b").write.partitionBy("b").parquet(f"{self.folder}/v{v}/{name}")
+            stay = {} if buckets is None else {k: at for k, at in manifest["tables"].get(name, {}).items() if int(k) not in buckets}
+            manifest["tables"][name] = stay | {n[2:]: v for n in self._names(f"{self.folder}/v{v}/{name}") if n[:2] == "b="}
+        self.spark.createDataFrame([(k, str(x)) for k, x in sorted(meta.items())], schemas.META).coalesce(1).write.parquet(f"{self.folder}/v{v}/meta")
+        stream = self._fs.create(self._path(f"{self.folder}/v{v}/_MANIFEST"))
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
         self._fs.create(self._path(f"{self.folder}/v{v}/_READY")).close()
-        for old in self._versions()[:-2]:
-            self._fs.delete(self._path(f"{self.folder}/v{old}"), True)
+        self._clean()
         return v
 
+    def _clean(self) -> None:
+        """Remove what neither of the last two versions uses."""
+        *old, before, last = [0, 0, *self._versions()]
+        used = {(at, name, f"b={k}") for v in (before, last) if v for name, held in self._manifest(v)["tables"].items() for k, at in held.items()}
+        for v in filter(None, old):
+            if not any(at == v for at, _, _ in used):
+                self._fs.delete(self._path(f"{self.folder}/v{v}"), True)
+                continue
+            for name in set(self._names(f"{self.folder}/v{v}")) & set(schemas.TABLES):
+                for b in self._names(f"{self.folder}/v{v}/{name}"):
+                    if (v, name, b) not in used:
+                        self._fs.delete(self._path(f"{self.folder}/v{v}/{name}/{b}"), True)
+
     def all(self) -> dict[str, DataFrame]:
         return {n: self.table(n) for n in schemas.TABLES if n != "meta"}
 
+    def _buckets(self, name: str, rows: DataFrame) -> list[int]:
+        return sorted(r["b"] for r in rows.select(self.bucket(name).alias("b")).distinct().collect())
+
     def update(self, sources: DataFrame, branch: str, clock: int, removed: DataFrame | None = None, partial: bool = False, compat: bool = False) -> dict:
         """Bring the index to ``sources`` (path, source, content_hash, language); returns the run's counters.
 
         Files of the same hash keep their rows.  ``partial``: sources are a few files, others stay; ``removed``
         (path) are dropped.  Links into replaced files are cleared; ``resolve`` sets them again.
         """
-        old = self.all()
+        known = self.table("files")
         sources = sources.persist()
-        state = incremental.status(sources, old["files"])
+        state = incremental.status(sources, known)
         if partial:
             gone = removed if removed is not None else self.spark.createDataFrame([], "path string")
-            state = state.where("status <> 'orphan'").select("path", "status").unionByName(gone.select("path", F.lit("orphan").alias("status")).join(old["files"].select("path"), "path", "left_semi"))
+            state = state.where("status <> 'orphan'").select("path", "status").unionByName(gone.select("path", F.lit("orphan").alias("status")).join(known.select("path"), "path", "left_semi"))
         state = state.select("path", "status").persist()
         fresh = sources.join(state.where("status in ('new', 'changed')").select("path"), "path", "left_semi")
         extracted = source_files.extract_files(fresh).persist()
         new = source_files.tables(fresh, extracted, compat)
         drop = state.where("status in ('changed', 'orphan')").select("path").persist()
-        owner = old["symbols"].select(F.col("id").alias("from_id"), F.col("file_path").alias("path"))
-        dropped_ids = owner.join(drop, "path", "left_semi").select(F.col("from_id").alias("k"))
-        kept_rel = old["relations"].join(dropped_ids, old["relations"]["from_id"] == F.col("k"), "left_anti")
+        touched = self._buckets("files", state.where("status <> 'same'"))
+        old = {n: self.table(n, touched) for n in ("symbols", "import_aliases")}
+        dropped_ids = old["symbols"].join(drop.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select(F.col("id").alias("k")).persist()
+        # links into replaced files come from any bucket; two columns of all relations find them
+        into = self.table("relations").select("id", F.col("to_symbol_id").alias("k")).join(dropped_ids, "k", "left_semi")
+        relinked = sorted({*touched, *self._buckets("relations", into)})
+        kept_rel = self.table("relations", relinked)
+        kept_rel = kept_rel.join(dropped_ids, kept_rel["from_id"] == dropped_ids["k"], "left_anti")
         gone_target = dropped_ids.select("k", F.lit(True).alias("gone"))
         kept_rel = kept_rel.join(gone_target, kept_rel["to_symbol_id"] == gone_target["k"], "left")
         kept_rel = kept_rel.withColumn("to_symbol_id", F.when(F.col("gone").isNull(), F.col("to_symbol_id"))).withColumn("confidence", F.when(F.col("gone").isNull(), F.col("confidence"))).drop("gone", "k")
-        stamp = lambda df: df.select("path", "content_hash", F.lit(branch).alias("branch"), "language", F.lit(clock).cast("long").alias("last_indexed_at"))
-        current = stamp(sources)
-        files = current if not partial else incremental.upsert(incremental.delete_paths(old["files"], drop, "path"), current, ["path"])
-        modules = files.select(F.xxhash64("path").alias("id"), source_files.module_of(F.col("path")).alias("name"), "path")
+        current = sources.select("path", "content_hash", F.lit(branch).alias("branch"), "language", F.lit(clock).cast("long").alias("last_indexed_at"))
+        stamped = self._buckets("files", state) if partial else None  # a full build stamps every file
+        files = incremental.upsert(incremental.delete_paths(self.table("files", stamped), drop, "path"), current, ["path"]) if partial else current
+        modules = files.where(self.bucket("files").isin(touched)).select(F.xxhash64("path").alias("id"), source_files.module_of(F.col("path")).alias("name"), "path")
         tables = {
-            "files": files,
-            "modules": modules,
-            "symbols": incremental.delete_paths(old["symbols"], drop, "file_path").unionByName(new["symbols"]),
-            "relations": kept_rel.unionByName(new["relations"].drop("file_path")),
-            "import_aliases": incremental.delete_paths(old["import_aliases"], drop, "file_path").unionByName(new["import_aliases"]),
+            "files": (files, stamped),
+            "modules": (modules, touched),
+            "symbols": (incremental.delete_paths(old["symbols"], drop, "file_path").unionByName(new["symbols"]), touched),
+            "relations": (kept_rel.unionByName(new["relations"].drop("file_path")), relinked),
+            "import_aliases": (incremental.delete_paths(old["import_aliases"], drop, "file_path").unionByName(new["import_aliases"]), touched),
         }
         stats = incremental.run_stats(state).first().asDict()
         stats["errors"] = extracted.where("error is not null").count()
         stats["symbols_added"], stats["relations_added"] = new["symbols"].count(), new["relations"].count()
         self.write(tables, self.meta() | {"branch": branch, "schema_version": "2", "last_run": json.dumps(stats)})
-        for df in (sources, state, extracted, drop):
+        for df in (sources, state, extracted, drop, dropped_ids):
             df.unpersist()
         return stats | {"branch": branch}
 
@@ -113,6 +171,6 @@ class Store:
         t = self.all()
         linked = resolver.resolve(t["symbols"], t["relations"], t["import_aliases"], by_path=True).persist()
         stats = resolver.resolution_stats(linked).first().asDict()
-        self.write(t | {"relations": linked}, self.meta())
+        self.write({"relations": (linked, None)}, self.meta())
         linked.unpersist()
         return stats

@@ -89,6 +89,30 @@ def test_incremental_equals_full(spark, index, repo, tmp_path):
         assert sorted(map(str, rows(index._t(t)))) == sorted(map(str, rows(full._t(t)))), t
 
 
+def test_a_change_writes_its_buckets_alone(spark, index, repo, tmp_path):
+    store = index.store
+    held = lambda name: store._manifest(store.version())["tables"][name]
+    index.resolve()
+    first = {n: held(n) for n in ("symbols", "relations", "import_aliases", "modules")}
+    for k in range(4):
+        (repo / "web" / "app.ts").write_text(f"export function render_page(a: string): void {{\n  helper(a, {k});\n}}\n")
+        index.build(str(repo), clock=2000 + k)
+    own = {str(b) for b in store._buckets("files", store.table("files").where("path = 'web/app.ts'"))}
+    for name, before in first.items():
+        assert {b for b, v in held(name).items() if before.get(b) != v} <= own, name
+    assert set(held("symbols").values()) == {1, store.version()} and not (tmp_path / "index" / "v3").exists()
+    full = CodeIndex(spark, str(tmp_path / "full"))
+    full.build(str(repo), clock=2003)
+    index.resolve(), full.resolve()
+    for t in ("files", "symbols", "relations", "import_aliases", "modules"):
+        assert sorted(map(str, rows(index._t(t)))) == sorted(map(str, rows(full._t(t)))), t
+    # a changed target is unlinked in the buckets of its callers
+    (repo / "pkg" / "__init__.py").write_text("x = 1\n\n\ndef helper():\n    pass\n")
+    index.build(str(repo), clock=3000)
+    calls = [r for r in rows(index._t("relations")) if r["to_name"] == "helper"]
+    assert calls and all(r["to_symbol_id"] is None and r["confidence"] is None for r in calls)
+
+
 def test_watch(spark, index, repo, tmp_path):
     (repo / "new.py").write_text("def fresh():\n    pass\n")
     (repo / "moved.py").write_text(CORPUS["handler.py"])
