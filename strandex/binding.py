@@ -1,12 +1,13 @@
-"""The driver's tables in the roles of a code index: parts are symbols, consecutive line items are calls."""
+"""The driver's tables in the roles of a code index: parts are symbols, consecutive line items are relations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The slice of orders whose line items are calls; the whole table is too dense for graphs.
-PRIORITY, MONTH = "1-URGENT", 3
+#: The kind of an order's relations by the first digit of its priority.
+KINDS = {"1": "CALLS", "2": "IMPORTS", "3": "INHERITS", "4": "DEFINES"}
+OTHER = "USES"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,16 +35,16 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat_ws("/", "p_brand", "p_type").alias("path"), F.sha1(F.concat_ws("/", "p_brand", "p_type").cast("binary")).alias("content_hash"), F.col("p_brand").alias("branch"), F.col("p_type").alias("language"), (F.col("k") + 1).alias("last_indexed_at"))
 
 
-def calls(spark: SparkSession, sf_dir: str, sliced: bool = True) -> DataFrame:
-    """Each line item calls the next of its order (by line, part, supplier)."""
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line item refers to the next of its order (by line, part, supplier); the order's priority gives the kind."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    if sliced:
-        orders = table(spark, sf_dir, "orders").where((F.col("o_orderpriority") == PRIORITY) & (F.month("o_orderdate") == MONTH)).select("o_orderkey")
-        items = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    pairs = items.select(F.col("l_partkey").alias("from_id"), F.lead("l_partkey").over(order).alias("to_symbol_id")).where("to_symbol_id is not null")
+    pairs = items.select("l_orderkey", F.col("l_partkey").alias("from_id"), F.lead("l_partkey").over(order).alias("to_symbol_id")).where("to_symbol_id is not null")
+    digit = F.substring("o_orderpriority", 1, 1)
+    kind = F.coalesce(*[F.when(digit == k, v) for k, v in KINDS.items()], F.lit(OTHER))
+    pairs = pairs.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), kind.alias("relation")), "l_orderkey")
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("to_symbol_id"), F.col("p_name").alias("to_name"))
-    return pairs.join(names, "to_symbol_id").select(F.lit(0).cast("long").alias("id"), "from_id", F.lit("CALLS").alias("relation"), "to_name", "to_symbol_id", F.lit(1.0).alias("confidence"), F.lit("").alias("call_expression"))
+    return pairs.join(names, "to_symbol_id").select(F.lit(0).cast("long").alias("id"), "from_id", "relation", "to_name", "to_symbol_id", F.lit(1.0).alias("confidence"), F.lit("").alias("call_expression"))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +56,9 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls rewritten so that every rule of the cascade has work: by remainder of both ends."""
+    """Relations rewritten so that every rule of the cascade has work: by remainder of both ends."""
     s = symbols(spark, sf_dir).select(F.col("id").alias("to_symbol_id"), "fqid", "module")
-    r = calls(spark, sf_dir).join(s, "to_symbol_id")
+    r = relations(spark, sf_dir).join(s, "to_symbol_id")
     k = (F.col("from_id") + F.col("to_symbol_id")) % 6
     name = F.when(k == 0, F.col("fqid")).when(k == 2, F.concat(F.lit("al_"), "to_name")).when(k == 3, F.concat("to_name", F.lit(" gone"))).otherwise(F.col("to_name"))
     expr = F.when(k == 1, F.concat(F.lit("mod_"), "module", F.lit("."), "to_name")).otherwise(F.lit(""))

@@ -16,11 +16,11 @@ NAME, BRAND, QUERY = "red widget", "Brand#4", "red gea"
 
 
 def _metrics(s: SparkSession, d: str) -> DataFrame:
-    return metrics.symbol_metrics(b.symbols(s, d), b.calls(s, d))
+    return metrics.symbol_metrics(b.symbols(s, d), b.relations(s, d))
 
 
 def _graph(s: SparkSession, d: str) -> DataFrame:
-    return graph.call_graph(b.symbols(s, d), b.calls(s, d))
+    return graph.call_graph(b.symbols(s, d), b.relations(s, d))
 
 
 def _start(g: DataFrame) -> str:
@@ -31,8 +31,10 @@ def _start(g: DataFrame) -> str:
 SYM = """sym AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey = first THEN 'class' WHEN p_partkey % 2 = 0 THEN 'function' ELSE 'method' END AS kind,
   p_brand || '/' || p_type AS file_path, p_brand AS module, p_type AS language, 1 AS start_line, p_size AS end_line, p_brand || '.' || p_name AS fqid,
   CASE WHEN p_partkey <> first THEN first END AS owner_symbol_id FROM (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand) AS first FROM part))"""
-REL = """rel AS (SELECT from_id, to_symbol_id, p_name AS to_name FROM (SELECT l_partkey AS from_id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS to_symbol_id
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND month(o_orderdate) = 3) JOIN part ON p_partkey = to_symbol_id)"""
+REL = """every AS (SELECT from_id, to_symbol_id, p_name AS to_name, CASE left(o_orderpriority, 1) WHEN '1' THEN 'CALLS' WHEN '2' THEN 'IMPORTS' WHEN '3' THEN 'INHERITS' WHEN '4' THEN 'DEFINES' ELSE 'USES' END AS relation
+  FROM (SELECT l_orderkey, l_partkey AS from_id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS to_symbol_id FROM lineitem)
+  JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = to_symbol_id),
+rel AS (SELECT * FROM every WHERE relation = 'CALLS')"""
 FIL = """fil AS (SELECT p_brand || '/' || p_type AS path, sha1(p_brand || '/' || p_type) AS content_hash, p_brand AS branch, p_type AS language, min(p_partkey) + 1 AS last_indexed_at FROM part GROUP BY p_brand, p_type)"""
 MET = """met AS (SELECT id, name, kind, file_path, module, start_line, end_line, end_line - start_line + 1 AS line_count,
   coalesce(fi, 0) AS fan_in, coalesce(fo, 0) AS fan_out, coalesce(mc, 0) AS method_count FROM sym
@@ -77,12 +79,12 @@ sc AS (SELECT id, name, 2.0 * greatest(0, -bm25) / greatest(mb, 1e-9) AS f1, 1.5
 
 
 def _rank(s: SparkSession, d: str) -> DataFrame:
-    rows = search.candidates(b.symbols(s, d), b.calls(s, d), b.files(s, d), QUERY, None, 20)
+    rows = search.candidates(b.symbols(s, d), b.relations(s, d), b.files(s, d), QUERY, None, 20)
     return search.rank(rows, _metrics(s, d), QUERY, 20)
 
 
 def _import_edges(s: SparkSession, d: str) -> DataFrame:
-    c = metrics.module_coupling(b.symbols(s, d), b.calls(s, d)).where("call_count > 1")
+    c = metrics.module_coupling(b.symbols(s, d), b.relations(s, d)).where("call_count > 1")
     return c.select(F.col("from_module").alias("src"), F.col("to_module").alias("dst"))
 
 
@@ -110,23 +112,23 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "god_owners": (lambda s, d: metrics.god_objects(_metrics(s, d)), M + "SELECT * FROM met WHERE kind = 'class' AND method_count >= 10"),
     "long_symbols": (lambda s, d: metrics.long_functions(_metrics(s, d)), M + "SELECT * FROM met WHERE kind IN ('function', 'method') AND line_count >= 50"),
     "function_listing": (lambda s, d: metrics.functions(_metrics(s, d), "callers", 20), M + "SELECT * FROM met WHERE kind IN ('function', 'method') ORDER BY fan_in DESC, name, id LIMIT 20"),
-    "module_coupling": (lambda s, d: metrics.module_coupling(b.symbols(s, d), b.calls(s, d)), f"WITH {SYM}, {REL} SELECT x.module AS from_module, y.module AS to_module, count(*) AS call_count FROM rel JOIN sym x ON x.id = from_id JOIN sym y ON y.id = to_symbol_id WHERE x.module <> y.module GROUP BY 1, 2"),
-    "health_summary": (lambda s, d: metrics.health_summary(b.symbols(s, d), b.calls(s, d)).withColumns({c: F.array_join(c, ",") for c in ("hotspots_top_5", "longest_functions_top_5")}), M + """SELECT (SELECT count(*) FROM met) AS total_symbols,
+    "module_coupling": (lambda s, d: metrics.module_coupling(b.symbols(s, d), b.relations(s, d)), f"WITH {SYM}, {REL} SELECT x.module AS from_module, y.module AS to_module, count(*) AS call_count FROM rel JOIN sym x ON x.id = from_id JOIN sym y ON y.id = to_symbol_id WHERE x.module <> y.module GROUP BY 1, 2"),
+    "health_summary": (lambda s, d: metrics.health_summary(b.symbols(s, d), b.relations(s, d)).withColumns({c: F.array_join(c, ",") for c in ("hotspots_top_5", "longest_functions_top_5")}), M + """SELECT (SELECT count(*) FROM met) AS total_symbols,
 (SELECT count(*) FROM met WHERE fan_in = 0 AND kind IN ('function', 'method') AND name NOT IN ('main', '__init__', 'init', 'constructor', 'render', 'handler', 'test', '__main__') AND NOT regexp_matches(name, '(Handler|handler|Test|test)$')) AS dead_code_count,
 (SELECT count(*) FROM met WHERE kind = 'class' AND method_count >= 10) AS god_objects_count,
 (SELECT string_agg(name, ',' ORDER BY fan_in DESC, name, id) FROM (SELECT * FROM met WHERE name NOT IN ('print', 'error', 'console', 'render', 'stringify') ORDER BY fan_in DESC, name, id LIMIT 5)) AS hotspots_top_5,
 (SELECT string_agg(name, ',' ORDER BY line_count DESC, name, id) FROM (SELECT * FROM met WHERE kind IN ('function', 'method') AND line_count >= 50 ORDER BY line_count DESC, name, id LIMIT 5)) AS longest_functions_top_5,
 (SELECT count(*) FROM (SELECT DISTINCT x.module AS a, y.module AS c FROM rel JOIN sym x ON x.id = from_id JOIN sym y ON y.id = to_symbol_id WHERE x.module <> y.module)) AS coupling_edges_count"""),
-    "index_stats": (lambda s, d: metrics.index_stats(b.files(s, d), b.symbols(s, d), b.calls(s, d)), f"WITH {SYM}, {REL}, {FIL} SELECT 'files' AS measure, '' AS key, count(*) AS n FROM fil UNION ALL SELECT 'symbols', '', count(*) FROM sym UNION ALL SELECT 'relations', '', count(*) FROM rel UNION ALL SELECT 'kind', kind, count(*) FROM sym GROUP BY kind UNION ALL SELECT 'language', language, count(*) FROM fil GROUP BY language"),
+    "index_stats": (lambda s, d: metrics.index_stats(b.files(s, d), b.symbols(s, d), b.relations(s, d)), f"WITH {SYM}, {REL}, {FIL} SELECT 'files' AS measure, '' AS key, count(*) AS n FROM fil UNION ALL SELECT 'symbols', '', count(*) FROM sym UNION ALL SELECT 'relations', '', count(*) FROM every UNION ALL SELECT 'kind', kind, count(*) FROM sym GROUP BY kind UNION ALL SELECT 'language', language, count(*) FROM fil GROUP BY language"),
     "branch_stats": (lambda s, d: metrics.branch_stats(b.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("source").alias("branch")), b.table(s, d, "labels").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("file_path"))), "SELECT source AS branch, count(DISTINCT d.doc_id) AS files, count(l.doc_id) AS symbols FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY source"),
     "symbol_lookup": (lambda s, d: lookups.symbol(b.symbols(s, d), b.files(s, d), NAME), f"WITH {SYM}, {FIL} SELECT id, name, kind, file_path, start_line, end_line, branch FROM sym JOIN fil ON path = file_path WHERE name = '{NAME}'"),
     "fqid_lookup": (lambda s, d: lookups.by_fqid(b.symbols(s, d), f"{BRAND}.{NAME}").select("id", "name", "fqid"), f"WITH {SYM} SELECT id, name, fqid FROM sym WHERE fqid = '{BRAND}.{NAME}' ORDER BY id LIMIT 1"),
-    "callers": (lambda s, d: lookups.callers(b.symbols(s, d), b.calls(s, d), NAME), f"WITH {SYM}, {REL} SELECT name, kind, file_path, start_line, to_name FROM rel JOIN sym ON sym.id = from_id WHERE to_name = '{NAME}'"),
+    "callers": (lambda s, d: lookups.callers(b.symbols(s, d), b.relations(s, d), NAME), f"WITH {SYM}, {REL} SELECT name, kind, file_path, start_line, to_name FROM rel JOIN sym ON sym.id = from_id WHERE to_name = '{NAME}'"),
     "imports_of_file": (lambda s, d: b.links(s, d).where(F.col("file_path") == b.links(s, d).agg(F.min("file_path")).first()[0]).orderBy("to_name"), """WITH l AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS file_path, unnest(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1)) AS to_name FROM pages) SELECT * FROM l WHERE file_path = (SELECT min(file_path) FROM l)"""),
     "owned_symbols": (lambda s, d: lookups.owned(b.symbols(s, d), _class_name(s, d)), f"WITH {SYM}, o AS (SELECT min(id) AS k FROM sym WHERE kind = 'class' AND name = (SELECT min(name) FROM sym WHERE kind = 'class')) SELECT id, name, kind, file_path, start_line, end_line, owner_symbol_id FROM sym WHERE owner_symbol_id = (SELECT k FROM o)"),
     "module_symbols": (lambda s, d: lookups.in_module(b.symbols(s, d), BRAND).select("id", "name", "kind"), f"WITH {SYM} SELECT id, name, kind FROM sym WHERE module = '{BRAND}'"),
     "file_list": (lambda s, d: lookups.file_list(b.files(s, d)), f"WITH {FIL} SELECT path, content_hash, branch, language FROM fil"),
-    "direct_calls": (lambda s, d: lookups.direct_calls(b.symbols(s, d), b.calls(s, d), NAME), f"WITH {SYM}, {REL} SELECT DISTINCT to_name FROM rel JOIN sym ON sym.id = from_id WHERE name = '{NAME}'"),
+    "direct_calls": (lambda s, d: lookups.direct_calls(b.symbols(s, d), b.relations(s, d), NAME), f"WITH {SYM}, {REL} SELECT DISTINCT to_name FROM rel JOIN sym ON sym.id = from_id WHERE name = '{NAME}'"),
     "orphan_symbols": (lambda s, d: lookups.orphans(b.symbols(s, d), b.files(s, d).where("language <> 'ECONOMY'")).select("id"), f"WITH {SYM} SELECT id FROM sym WHERE language = 'ECONOMY'"),
     "resolve_cascade": (lambda s, d: _resolved(s, d), None),
     "resolution_stats": (lambda s, d: metrics.resolution_bands(_resolved(s, d)), None),
@@ -176,23 +178,23 @@ def _resolved(s: SparkSession, d: str) -> DataFrame:
 
 _REF = f"""WITH {SYM}, {REL},
 ref AS (SELECT from_id * 1000000 + to_symbol_id AS id, from_id, CASE k WHEN 0 THEN fqid WHEN 2 THEN 'al_' || to_name WHEN 3 THEN to_name || ' gone' ELSE to_name END AS to_name,
-  CASE k WHEN 1 THEN 'mod_' || module || '.' || to_name ELSE to_name END AS expr FROM (SELECT r.*, s.fqid, s.module, (r.from_id + r.to_symbol_id) % 6 AS k FROM rel r JOIN sym s ON s.id = r.to_symbol_id)),
+  CASE k WHEN 1 THEN 'mod_' || module || '.' || to_name ELSE to_name END AS expr, relation IN ('CALLS', 'INHERITS') AS linked FROM (SELECT r.*, s.fqid, s.module, (r.from_id + r.to_symbol_id) % 6 AS k FROM every r JOIN sym s ON s.id = r.to_symbol_id)),
 ali AS (SELECT file_path, alias, arg_max(target, id) AS target FROM (SELECT file_path, 'mod_' || module AS alias, module AS target, 0 AS id FROM sym UNION ALL SELECT file_path, 'al_' || name, fqid, id FROM sym) GROUP BY 1, 2),
 fq AS (SELECT fqid, max(id) AS id FROM sym GROUP BY 1), nm AS (SELECT name, min(id) AS id, count(*) AS n FROM sym GROUP BY 1),
-res AS (SELECT ref.id, ref.from_id, ref.to_name, coalesce(f1.id, f2.id, f3.id, nm.id) AS to_symbol_id,
-  CASE WHEN f1.id IS NOT NULL THEN 1.0 WHEN f2.id IS NOT NULL THEN 0.9 WHEN f3.id IS NOT NULL THEN 0.8 WHEN nm.n = 1 THEN 0.7 WHEN nm.n > 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence
+res AS (SELECT ref.id, ref.from_id, ref.to_name, linked, CASE WHEN linked THEN coalesce(f1.id, f2.id, f3.id, nm.id) END AS to_symbol_id,
+  CASE WHEN NOT linked THEN NULL WHEN f1.id IS NOT NULL THEN 1.0 WHEN f2.id IS NOT NULL THEN 0.9 WHEN f3.id IS NOT NULL THEN 0.8 WHEN nm.n = 1 THEN 0.7 WHEN nm.n > 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence
   FROM ref JOIN sym s ON s.id = ref.from_id LEFT JOIN fq f1 ON f1.fqid = ref.to_name AND contains(ref.to_name, '.')
   LEFT JOIN ali a2 ON a2.file_path = s.file_path AND contains(ref.expr, '.') AND a2.alias = string_split(ref.expr, '.')[1]
   LEFT JOIN fq f2 ON f2.fqid = a2.target || '.' || substr(ref.expr, instr(ref.expr, '.') + 1)
   LEFT JOIN ali a3 ON a3.file_path = s.file_path AND a3.alias = ref.to_name LEFT JOIN fq f3 ON f3.fqid = a3.target LEFT JOIN nm ON nm.name = ref.to_name)
 """
-QUERIES["resolve_cascade"] = (lambda s, d: _resolved(s, d).select("id", "from_id", "to_name", "to_symbol_id", "confidence"), _REF + "SELECT * FROM res")
-QUERIES["resolution_stats"] = (QUERIES["resolution_stats"][0], _REF + "SELECT count(*) AS total, count(*) FILTER (WHERE to_symbol_id IS NOT NULL AND confidence >= 0.9) AS exact, count(*) FILTER (WHERE to_symbol_id IS NOT NULL AND confidence >= 0.7 AND confidence < 0.9) AS good, count(*) FILTER (WHERE to_symbol_id IS NOT NULL AND confidence < 0.7) AS weak, count(*) FILTER (WHERE to_symbol_id IS NULL) AS unresolved FROM res")
+QUERIES["resolve_cascade"] = (lambda s, d: _resolved(s, d).select("id", "from_id", "to_name", "to_symbol_id", "confidence"), _REF + "SELECT * EXCLUDE (linked) FROM res")
+QUERIES["resolution_stats"] = (QUERIES["resolution_stats"][0], _REF + "SELECT count(*) AS total, count(*) FILTER (WHERE to_symbol_id IS NOT NULL AND confidence >= 0.9) AS exact, count(*) FILTER (WHERE to_symbol_id IS NOT NULL AND confidence >= 0.7 AND confidence < 0.9) AS good, count(*) FILTER (WHERE to_symbol_id IS NOT NULL AND confidence < 0.7) AS weak, count(*) FILTER (WHERE to_symbol_id IS NULL) AS unresolved FROM res WHERE linked")
 
 
 def _context(s: SparkSession, d: str) -> DataFrame:
     g = _graph(s, d)
-    row = graph.context(b.symbols(s, d), b.calls(s, d), _metrics(s, d), _start(g), 2, g)
+    row = graph.context(b.symbols(s, d), b.relations(s, d), _metrics(s, d), _start(g), 2, g)
     return row.select("name", "kind", "file_path", *[F.array_join(c, ",").alias(c) for c in ("calls", "called_by", "callgraph", "impact")])
 
 
