@@ -161,7 +161,7 @@ SELECT user_id::VARCHAR AS path, arg_max(event_type, struct_pack(ts := ts, event
     "token_estimates": (lambda s, d: b.table(s, d, "documents").select("doc_id", scalars.token_estimate(F.col("text")).alias("tokens")), "SELECT doc_id, greatest(1, length(coalesce(text, '')) // 4)::BIGINT AS tokens FROM documents"),
     "context_trim": (lambda s, d: b.table(s, d, "documents").select("doc_id", F.sha1(scalars.trim_to(F.col("text"), 100).cast("binary")).alias("digest")), """WITH h AS (SELECT doc_id, text, left(text, 400) AS h FROM documents), c AS (SELECT *, length(h) - instr(reverse(h), chr(10)) AS k FROM h)
 SELECT doc_id, sha1(CASE WHEN length(text) <= 400 THEN text ELSE CASE WHEN contains(h, chr(10)) AND k > 200 THEN left(h, k) ELSE h END || chr(10) || chr(10) || '[... context trimmed to fit token budget ...]' END) AS digest FROM c"""),
-    "span_hashes": (lambda s, d: b.table(s, d, "documents").select("doc_id", scalars.span_hash(F.col("text"), F.lit(1), F.lit(3)).alias("digest")), "SELECT doc_id, substr(sha1(array_to_string(string_split(text, chr(10))[1:2], chr(10))), 1, 16) AS digest FROM documents"),
+    "span_hashes": (lambda s, d: _halves(s, d), "SELECT doc_id, substr(sha1(array_to_string(l[1:len(l) // 2], chr(10))), 1, 16) AS head, substr(sha1(array_to_string(l[len(l) // 2 + 1:len(l)], chr(10))), 1, 16) AS tail FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"),
     "name_overlap": (lambda s, d: b.table(s, d, "part").select("p_partkey", scalars.name_overlap(F.array(F.lit("Red"), F.lit("gear")), F.translate("p_name", " ", "_")).alias("n")), "SELECT p_partkey, len(list_intersect(['red', 'gear'], string_split(replace(lower(p_name), ' ', '_'), '_')))::INTEGER AS n FROM part"),
     "module_paths": (lambda s, d: _paths(s, d), r"SELECT page_id, regexp_replace(array_to_string(list_filter(string_split(regexp_replace(p, '\.(py|go|js|jsx|mjs|cjs|ts|tsx)$', '', 'i'), '/'), lambda x: x <> '' AND x <> '.'), '.'), '(^|\.)__init__$', '') AS module, regexp_matches(lower(p), '\.(py|go|js|jsx|mjs|cjs|ts|tsx)$') AND NOT list_has_any(string_split(p, '/'), ['build', 'dist', 'vendor']) AS indexable FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'src/m' || page_id || '/__init__.py' WHEN 1 THEN 'build/x' || page_id || '.go' WHEN 2 THEN 'web/y' || page_id || '.TSX' ELSE 'doc/z' || page_id || '.md' END AS p FROM pages)"),
 }
@@ -198,6 +198,13 @@ def _context(s: SparkSession, d: str) -> DataFrame:
     return row.select("name", "kind", "file_path", *[F.array_join(c, ",").alias(c) for c in ("calls", "called_by", "callgraph", "impact")])
 
 
+def _halves(s: SparkSession, d: str) -> DataFrame:
+    """Hashes of both halves of each text's lines."""
+    n = F.size(F.split("text", "\n"))
+    half = F.floor(n / 2).cast("int")
+    return b.table(s, d, "documents").select("doc_id", scalars.span_hash(F.col("text"), F.lit(1), half + 1).alias("head"), scalars.span_hash(F.col("text"), half + 1, n + 1).alias("tail"))
+
+
 def _paths(s: SparkSession, d: str) -> DataFrame:
     k = F.col("page_id")
     path = F.when(k % 4 == 0, F.concat(F.lit("src/m"), k, F.lit("/__init__.py"))).when(k % 4 == 1, F.concat(F.lit("build/x"), k, F.lit(".go"))).when(k % 4 == 2, F.concat(F.lit("web/y"), k, F.lit(".TSX"))).otherwise(F.concat(F.lit("doc/z"), k, F.lit(".md")))

@@ -11,23 +11,24 @@ from . import binding as b
 from .plans import contracts, intent, prompt
 from .plans import dimensions as d
 
-#: Requests that the texts of documents are completed with, by remainder of the id.
+#: Requests that the texts of conversations are completed with, by remainder of conversation and turn.
 REQUESTS = ["Fix the duplicate webhook event in billing", 'Add a new api endpoint for "invoice export"', "refactor: split and simplify the parser module", "why is the worker slow and intermittent? quick look", "Write tests for retry and timeout in the queue service", "security audit: xss injection in login", "", "explain how does the cache work, thorough please"]
 
 
 def _requests(s: SparkSession, sf: str) -> DataFrame:
     said = F.array(*[F.lit(r) for r in REQUESTS])
-    text = F.concat(F.get(said, F.pmod("doc_id", F.lit(len(REQUESTS))).cast("int")), F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 80))
-    return b.table(s, sf, "documents").select("doc_id", text.alias("text"))
+    text = F.concat(F.get(said, F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(REQUESTS))).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
+    return b.table(s, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("request"), text.alias("text"))
 
 
 def _q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-_REQ = f"req AS (SELECT doc_id, [{', '.join(_q(r) for r in REQUESTS)}][1 + (doc_id % {len(REQUESTS)})::INTEGER] || ' ' || left(coalesce(text, ''), 80) AS text FROM documents), low AS (SELECT *, lower(text) AS t FROM req)"
-_RAW = "raw AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS i, {_q(t)} AS task_type, " + " + ".join(f"CASE WHEN regexp_matches(t, {_q(p)}) THEN {w}::DOUBLE ELSE 0::DOUBLE END" for p, w in rows) + " AS raw FROM low" for i, (t, rows) in enumerate(d.TASK_KEYWORDS.items())) + ")"
-_TOP = "top AS (SELECT r.doc_id, arg_max(task_type, struct_pack(k := round(raw, 6), j := -i)) FILTER (WHERE raw > 0) AS best, max(raw) AS raw FROM raw r GROUP BY 1)"
+#: Word boundaries are those of Unicode letters; the SQL dialect's are ASCII, so other letters become underscores there.
+_REQ = f"req AS (SELECT conv_id || '/' || turn AS request, [{', '.join(_q(r) for r in REQUESTS)}][1 + ((conv_id + turn) % {len(REQUESTS)})::INTEGER] || ' ' || coalesce(text, '') AS text FROM conversations), low AS (SELECT *, regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\x00-\\x7F]', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g') AS t FROM req)"
+_RAW = "raw AS (" + " UNION ALL ".join(f"SELECT request, {i} AS i, {_q(t)} AS task_type, " + " + ".join(f"CASE WHEN regexp_matches(t, {_q(p)}) THEN {w}::DOUBLE ELSE 0::DOUBLE END" for p, w in rows) + " AS raw FROM low" for i, (t, rows) in enumerate(d.TASK_KEYWORDS.items())) + ")"
+_TOP = "top AS (SELECT r.request, arg_max(task_type, struct_pack(k := round(raw, 6), j := -i)) FILTER (WHERE raw > 0) AS best, max(raw) AS raw FROM raw r GROUP BY 1)"
 
 
 def _pick_sql(rows: list[tuple[str, str, float]]) -> str:
@@ -37,11 +38,11 @@ def _pick_sql(rows: list[tuple[str, str, float]]) -> str:
 
 _SUB = "CASE coalesce(best, 'bugfix') " + " ".join(f"WHEN {_q(t)} THEN {_pick_sql(rows)}" for t, rows in d.SUBTYPE_KEYWORDS.items()) + " END"
 _MODE = f"coalesce({_pick_sql(d.MODE_KEYWORDS)}, CASE coalesce(best, 'bugfix') " + " ".join(f"WHEN {_q(t)} THEN {_q(m)}" for t, m in d.DEFAULT_MODES.items()) + " ELSE 'surgical' END)"
-_SCOPE = r"""coalesce(nullif(regexp_extract(text, '"([^"]+)"', 1), ''), nullif(trim(regexp_extract(text, '\b(?:in|for|scope|module|service|package)\s+(?:the\s+)?([a-zA-Z_][a-zA-Z0-9_. /-]+)', 1)), ''))"""
+_SCOPE = r"""coalesce(nullif(regexp_extract(text, '"([^"]+)"', 1), ''), nullif(trim(regexp_extract(text, '(?:^|[^\p{L}\p{N}_])(?:in|for|scope|module|service|package)\s+(?:the\s+)?([a-zA-Z_][a-zA-Z0-9_. /-]+)', 1)), ''))"""
 
 
 def _classify(s: SparkSession, sf: str) -> DataFrame:
-    return intent.plan_tasks(_requests(s, sf)).select("doc_id", "task_type", "sub_type", "mode", "scope", F.round(F.get("candidates", F.lit(0))["raw"], 6).alias("raw"))
+    return intent.plan_tasks(_requests(s, sf)).select("request", "task_type", "sub_type", "mode", "scope", F.round(F.get("candidates", F.lit(0))["raw"], 6).alias("raw"))
 
 
 def _items(s: SparkSession, sf: str) -> DataFrame:
@@ -78,15 +79,15 @@ def _merged(s: SparkSession, sf: str) -> DataFrame:
 
 def _prompts(s: SparkSession, sf: str) -> DataFrame:
     out = prompt.compile_tasks(intent.plan_tasks(_requests(s, sf)))
-    return out.select("doc_id", "task_type", "mode", "prompt_tokens", F.size(F.filter("blocks", lambda x: x["included"])).alias("n_blocks"), F.sha1(F.col("prompt").cast("binary")).alias("digest"))
+    return out.select("request", "task_type", "mode", "prompt_tokens", F.size(F.filter("blocks", lambda x: x["included"])).alias("n_blocks"), F.sha1(F.col("prompt").cast("binary")).alias("digest"))
 
 
 _SHARES = ", ".join(f"floor(turn * 1000 * {s}::DOUBLE)::BIGINT AS {k}" for k, s in d.SHARES.items())
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "intent_classify": (_classify, f"WITH {_REQ}, {_RAW}, {_TOP} SELECT doc_id, coalesce(best, 'bugfix') AS task_type, {_SUB} AS sub_type, {_MODE} AS mode, {_SCOPE} AS scope, round(raw, 6) AS raw FROM low JOIN top USING (doc_id)"),
-    "task_scores": (lambda s, sf: _requests(s, sf).select("doc_id", F.explode(intent.task_scores(F.col("text"))).alias("c")).where("c.raw > 0").select("doc_id", "c.task_type", F.round("c.score", 6).alias("score")), f"WITH {_REQ}, {_RAW} SELECT doc_id, task_type, round(raw / max(raw) OVER (PARTITION BY doc_id), 6) AS score FROM raw WHERE raw > 0"),
-    "constraint_sets": (lambda s, sf: intent.plan_tasks(_requests(s, sf)).select("doc_id", F.array_join("constraints", ",").alias("constraints")), None),
+    "intent_classify": (_classify, f"WITH {_REQ}, {_RAW}, {_TOP} SELECT request, coalesce(best, 'bugfix') AS task_type, {_SUB} AS sub_type, {_MODE} AS mode, {_SCOPE} AS scope, round(raw, 6) AS raw FROM low JOIN top USING (request)"),
+    "task_scores": (lambda s, sf: _requests(s, sf).select("request", F.explode(intent.task_scores(F.col("text"))).alias("c")).where("c.raw > 0").select("request", "c.task_type", F.round("c.score", 6).alias("score")), f"WITH {_REQ}, {_RAW} SELECT request, task_type, round(raw / max(raw) OVER (PARTITION BY request), 6) AS score FROM raw WHERE raw > 0"),
+    "constraint_sets": (lambda s, sf: intent.plan_tasks(_requests(s, sf)).select("request", F.array_join("constraints", ",").alias("constraints")), None),
     "prompt_compile": (_prompts, None),
     "budget_greedy": (lambda s, sf: _items(s, sf).select("conv_id", F.array_join(prompt.greedy(F.col("tokens"), F.lit(200)).cast("array<string>"), ",").alias("taken")), """WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, greatest(1, length(text) // 4)::BIGINT AS n FROM conversations),
 g AS (SELECT conv_id, 0::BIGINT AS i, CASE WHEN n <= 200 THEN n ELSE 0 END AS used, CASE WHEN n <= 200 THEN ['0'] ELSE [] END AS taken FROM t WHERE i = 0
