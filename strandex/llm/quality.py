@@ -3,7 +3,9 @@
 Base statistics of every whole text come from one native pass.  Rows that pass the base rules are
 grouped by language and source; each group's location and scatter are estimated by MCD: a robust start
 (medians, quartile ranges), then concentration steps that refit on the 75 % of rows nearest by
-Mahalanobis distance.  A document goes when its transformed statistic vector lies beyond ``CUTOFF``.
+Mahalanobis distance.  A document goes when its transformed statistic vector lies beyond ``CUTOFF``, where
+the scatter is the group's plus the sampling noise of that text: its counts vary like Poisson counts, so a
+long text is judged more sharply than a short one, and no statistic has a fixed floor.
 
 Scale: statistics are checkpointed once as narrow rows; every later pass is a grouped aggregate with
 map-side partial sums, so a source that holds a third of all rows costs one partial row per task.
@@ -31,9 +33,10 @@ KEEP_SHARE, STEPS = 0.75, 3
 CUTOFF, CONSISTENCY = 20.52, 1.41
 #: Smallest group with estimates of its own; groups that may be broadcast.
 MIN_GROUP, BROADCAST_GROUPS = 200, 20_000
-#: Transformed statistics and the standard deviation below which none is trusted (short texts are noisy).
-DIMS = {"x_len": 0.10, "x_sym": 0.15, "x_dup": 0.20, "x_rep": 0.20, "x_up": 0.12}
+#: Fixed-point unit; transformed statistics and the ridge of their scatter (standard deviation: that unit), which
+#: only keeps the matrix regular where all rows of a group agree.
 SCALE = 1024
+DIMS = dict.fromkeys(("x_len", "x_sym", "x_dup", "x_rep", "x_up"), 1 / SCALE)
 
 
 def _repeat_words(hashes: Column) -> Column:
@@ -108,6 +111,17 @@ def _vector(s: str) -> dict[str, Column]:
     return {k: F.round(F.least(v, F.lit(12.0)) * SCALE).cast("long") for k, v in raw.items()}
 
 
+def _noise(s: str) -> dict[str, Column]:
+    """Sampling variance of each transformed statistic of one text, its counts taken as Poisson.
+
+    The square root of such a count has the variance 1/4; repeated words come in pairs of windows.
+    """
+    get = lambda f: F.col(f"{s}.{f}").cast("double")
+    n, chars = F.greatest(get("n_words"), F.lit(1.0)), get("word_chars")
+    raw = [chars / F.pow(chars + 300.0, 2), 0.25 / n, 0.25 / (get("n_lines") + 4.0), 0.25 * 2 * WINDOW / n, 0.25 / (chars + 40.0)]
+    return {f"v{i}": v for i, v in enumerate(raw)}
+
+
 def _key(lang: Column, source: Column) -> tuple[Column, Column]:
     tag = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
     return tag(lang), tag(source)
@@ -128,7 +142,7 @@ def _distance(center: str = "m", factor: str = "l") -> Column:
 
 
 def _cholesky(groups: DataFrame) -> DataFrame:
-    """Columns ``c{i}{j}`` (scatter, floors added) to the factor ``l{i}{j}``, one column at a time."""
+    """Adds to the scatter ``c{i}{j}`` (ridge included) its factor ``l{i}{j}``, one column at a time."""
     p = len(DIMS)
     for j in range(p):
         for i in range(j, p):
@@ -136,13 +150,13 @@ def _cholesky(groups: DataFrame) -> DataFrame:
             for k in range(j):
                 part = part - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             groups = groups.withColumn(f"l{i}{j}", F.sqrt(part) if i == j else part / F.col(f"l{j}{j}"))
-    return groups.select("g", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    return groups
 
 
 def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """MCD estimates.  ``rows``: checkpointed ``gl, gs, base_failed`` and the vector.
 
-    Returns (group map ``gl, gs, g``; estimates ``g, m*, l*``; number of groups).
+    Returns (group map ``gl, gs, g``; estimates ``g, m*, c*, l*``; number of groups).
     """
     p, good = len(DIMS), rows.where(~F.col("base_failed"))
     sizes = good.groupBy("gl", "gs").count()
@@ -161,7 +175,7 @@ def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         start = start.withColumn(f"m{i}", q[1] / SCALE)
         for j in range(i + 1):
             start = start.withColumn(f"c{i}{j}", F.pow((q[2] - q[0]) / (1.349 * SCALE), 2) + floor**2 if i == j else F.lit(0.0))
-    estimate = cut(_cholesky(start))
+    estimate = cut(_cholesky(start.drop("n", *[f"q_{d}" for d in DIMS])))
 
     names, floors = list(DIMS), list(DIMS.values())
     for _ in range(STEPS):
@@ -177,20 +191,24 @@ def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 
 def _judge(df: DataFrame, model: tuple[DataFrame, DataFrame, int]) -> DataFrame:
-    """Adds ``distance`` (null without estimates); ``df`` has ``gl, gs`` and the vector."""
+    """Adds ``distance`` to the group's estimates and ``outlier``, the verdict that allows for the text's own noise
+    (both null without estimates); ``df`` has ``gl, gs``, the vector and its noise."""
     mapping, estimate, n = model
+    p = len(DIMS)
     table = mapping.join(estimate, "g", "inner").drop("g")
-    return join_small(df, table, ["gl", "gs"], n, BROADCAST_GROUPS).withColumn("distance", _distance())
+    got = join_small(df, table, ["gl", "gs"], n, BROADCAST_GROUPS).withColumn("distance", _distance())
+    noisy = got.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + F.col(f"v{i}") for i in range(p)}).drop(*[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    return _cholesky(noisy).withColumn("outlier", _distance() > CUTOFF)
 
 
 def quality_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row per row of ``df``: ``doc_id``, base statistics, ``base_failed, kept, distance``."""
+    """One row per row of ``df``: ``doc_id``, base statistics, ``base_failed, kept, distance`` (without the text's noise)."""
     gl, gs = _key(F.col("_lang"), F.col("_source"))
     src = df.select(col(doc_id).alias("doc_id"), col(text).alias("_text"), col(lang).alias("_lang"), col(source).alias("_source"))
     stats = base_stats(src, "_text")
-    rows = cut(stats.select("doc_id", gl.alias("gl"), gs.alias("gs"), "stats.*", *[v.alias(k) for k, v in _vector("stats").items()]))
+    rows = cut(stats.select("doc_id", gl.alias("gl"), gs.alias("gs"), "stats.*", *[v.alias(k) for k, v in (_vector("stats") | _noise("stats")).items()]))
     out = _judge(rows, fit(rows))
-    kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))
+    kept = ~F.col("base_failed") & ~F.coalesce("outlier", F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
 
@@ -202,7 +220,7 @@ def quality_filter(df: DataFrame, doc_id: str = "doc_id", text: str = "text", la
     """
     gl, gs = _key(F.col("_lang"), F.col("_source"))
     src = df.select(F.struct("*").alias("row"), col(text).alias("_text"), col(lang).alias("_lang"), col(source).alias("_source"))
-    stats = base_stats(src, "_text").select("row", gl.alias("gl"), gs.alias("gs"), "stats.base_failed", *[v.alias(k) for k, v in _vector("stats").items()])
+    stats = base_stats(src, "_text").select("row", gl.alias("gl"), gs.alias("gs"), "stats.base_failed", *[v.alias(k) for k, v in (_vector("stats") | _noise("stats")).items()])
     model = fit(cut(stats.drop("row")))
-    passed = _judge(stats.where(~F.col("base_failed")), model).where(~F.coalesce(F.col("distance") > CUTOFF, F.lit(False)))
+    passed = _judge(stats.where(~F.col("base_failed")), model).where(~F.coalesce("outlier", F.lit(False)))
     return passed.select("row.*")

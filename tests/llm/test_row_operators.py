@@ -64,6 +64,28 @@ def test_quality_estimates(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in got if got[i]["kept"])
 
 
+def test_quality_each_statistic_reaches_the_cut(spark):
+    """One text with one fault for each statistic goes; short texts with single marks stay."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    line = lambda k=20: " ".join(word() for _ in range(k))
+    text = lambda: "\n".join(line() for _ in range(20))
+    passage, short = line(50), [line(5) for _ in range(8)]
+    faults = {
+        "len": "\n".join(" ".join(word() + word() for _ in range(20)) for _ in range(20)),
+        "sym": text() + " # $ % & * | < > # $ % & * | < >",
+        "dup": "\n".join([line() for _ in range(20)] + short * 2),
+        "rep": "\n".join([line() for _ in range(15)] + [f"{passage} {line(10)} {passage}"]),
+        "up": text().replace("a", "A"),
+    }
+    mild = [line(24) + " #", line(24).capitalize() + " |", f"{line()}\nab\nab"]
+    texts = [text() for _ in range(400)] + mild + list(faults.values())
+    got = {r["doc_id"]: r for r in quality.quality_rows(odd(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {k: got[403 + i]["kept"] for i, k in enumerate(faults)} == dict.fromkeys(faults, False)
+    assert all(got[i]["kept"] for i in range(403))
+
+
 def test_language(spark):
     got = registry.op2_language_centroids(spark, SF).toPandas()
     lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas().set_index("doc_id")["lang"]
