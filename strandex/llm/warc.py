@@ -85,9 +85,13 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
 
 def _parse(raw: bytes | memoryview, limit: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and length of the record that ``raw`` starts with; raises when a check fails."""
-    head = bytes(raw[:_CHUNK])
-    end = head.find(b"\r\n\r\n")
-    if not head.startswith(b"WARC/1.") or end < 0:
+    size, end = _CHUNK, -1
+    head = bytes(raw[:size])
+    if head.startswith(b"WARC/1."):
+        while (end := head.find(b"\r\n\r\n")) < 0 and size < len(raw):  # urls may be of any length
+            size *= 4
+            head = bytes(raw[:size])
+    if end < 0:
         raise ValueError("no version line or header end")
     pairs = [x.partition(": ") for x in head[:end].decode("utf-8").split("\r\n")[1:]]
     fields = {k: v for k, _, v in pairs}

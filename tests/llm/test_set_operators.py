@@ -206,6 +206,15 @@ def test_warc_salvage():
     assert big[-1] == 0 and gz[0][-1] == 0
 
 
+def test_warc_long_urls(spark, tmp_path):
+    rows = [(1, "data:," + "%z" * 60_000, "<p>a</p>"), (2, "http://h/?" + "q" * 300_000, "<p>a</p>"), (3, "http://h/3", "<p>b</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x["page_id"]: x for x in warc.read_warc(spark, warc.write_warc(df, str(tmp_path / "w"))).collect()}
+    assert {i: x["url"] for i, x in got.items()} == {i: u for i, u, _ in rows} and got[2]["refers_to"] == 1
+    plain = [warc.record(i, u, h.encode(), None, False) for i, u, h in rows]
+    assert [k for k, *_ in warc.salvage(b"".join(plain))] == ["record"] * 3
+
+
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     verdicts = {r["doc_id"]: r["kept"] for r in quality.quality_rows(docs).collect()}
