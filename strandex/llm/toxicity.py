@@ -2,9 +2,10 @@
 
 Terms of a text are its lower-cased words and the first four and five characters of longer words, hashed;
 a term counts once, weighted by IDF.  Score = sigmoid(w0 + sum w_i x_i + sum <v_i, v_j> x_i x_j): the
-factors learn pairs, such as an insult with a group mention, that additive weights miss.  Terms that are too
-rare in the sample, or occur as often in either class (chi-square below ``CHI2``), carry no weight, so long
-clean texts gather no noise.
+factors learn pairs, such as an insult with a group mention, that additive weights miss.  A term is learnt when
+it parts the classes alone (chi-square of ``CHI2``) or among the sample rows of another term (``PAIR_CHI2``, as many
+pairs are tried), so words that only a pair reveals count.  Others carry no weight, nor do terms too rare in the
+sample, so long clean texts gather no noise.
 
 The model is fitted on the driver by AdaGrad on at most about ``SAMPLE`` labelled rows of each class (by a
 hash of the id); its size is fixed (terms x (1 + factors) floats).  Labels join by a shuffled join on the
@@ -34,6 +35,8 @@ TERMS, FACTORS, SAMPLE, EPOCHS = 1 << 18, 8, 2500, 12
 #: Sample rows a term needs and its chi-square against the label; learning rate, L2 penalty, and the score from
 #: which a text is called toxic.
 LEAST_ROWS, CHI2, RATE, L2, THRESHOLD = 4, 15.0, 0.15, 1e-4, 0.7
+#: Chi-square against the label among the rows of another term (a level of 2e-11, for about a billion pairs).
+PAIR_CHI2 = 45.0
 #: Weight of false alarms when the intercept is set so that the classes part at ``THRESHOLD``.
 ALARM = 5.0
 #: Starts of words that count as terms.
@@ -99,7 +102,8 @@ def train(samples: list[tuple[np.ndarray, int]]) -> FactorizationMachine:
     n, pos = float(len(samples)), float(labels.sum())
     expected = df * (pos / n)
     spread = expected * (1 - pos / n) * (1 - df / n)
-    ids = np.flatnonzero((df >= LEAST_ROWS) & ((hit - expected) ** 2 >= CHI2 * np.maximum(spread, 1e-9)))
+    alone = (df >= LEAST_ROWS) & ((hit - expected) ** 2 >= CHI2 * np.maximum(spread, 1e-9))
+    ids = np.flatnonzero(alone | _paired([t for t, _ in samples], labels, df, alone))
     idf = np.log((1 + len(samples)) / df[ids])
     rng = np.random.default_rng(7)
     m = FactorizationMachine(ids, idf / np.log(1 + len(samples)), np.zeros(len(ids)), rng.normal(0, 0.02, (len(ids), FACTORS)), 0.0)
@@ -126,6 +130,34 @@ def train(samples: list[tuple[np.ndarray, int]]) -> FactorizationMachine:
     return m
 
 
+def _paired(rows: list[np.ndarray], labels: np.ndarray, df: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Terms that do not part the classes alone but do among the rows of another term, and those others.
+
+    Counts of all pairs, one term at a time; the deviation is corrected by 1/2 and its variance taken as 1 at least.
+    """
+    out = np.zeros(TERMS, bool)
+    ids = np.flatnonzero(df > PAIR_CHI2**0.5)  # fewer rows cannot deviate enough
+    place = np.full(TERMS, -1)
+    place[ids] = np.arange(len(ids))
+    at = [p[p >= 0] for p in (place[t] for t in rows)]
+    of = np.repeat(np.arange(len(at)), [len(a) for a in at])[np.argsort(np.concatenate(at), kind="stable")]
+    ends = np.cumsum(df[ids])
+    for k, end in enumerate(ends):
+        own = of[end - df[ids[k]] : end]
+        n, pos = len(own), int(labels[own].sum())
+        if min(pos, n - pos) == 0:
+            continue
+        hit = np.bincount(np.concatenate([at[i] for i in own if labels[i]]), minlength=len(ids))
+        both = hit + np.bincount(np.concatenate([at[i] for i in own if not labels[i]]), minlength=len(ids))
+        expected = both * (pos / n)
+        spread = np.maximum(expected * (1 - pos / n) * (1 - both / n), 1.0)
+        found = ids[np.maximum(np.abs(hit - expected) - 0.5, 0) ** 2 >= PAIR_CHI2 * spread]
+        found = found[~alone[found]]
+        out[found] = True
+        out[ids[k]] |= len(found) > 0
+    return out
+
+
 def _cut(raw: np.ndarray, labels: np.ndarray) -> float:
     """The raw score that best parts the classes (false alarms count ``ALARM`` fold), midway between its neighbours."""
     order = np.argsort(raw, kind="stable")

@@ -135,6 +135,19 @@ def test_toxicity_learns_pairs_that_sums_miss():
     assert score("waa grumble marsian wbb") > 0.7 > 0.5 > max(score("waa grumble wbb"), score("waa marsian wbb"), score("waa wbb"))
 
 
+def test_toxicity_learns_pairs_of_words_with_equal_rates():
+    """Each word is in half of either class; both or neither is toxic."""
+    rng = random.Random(4)
+    fill = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(8)]
+    rows = []
+    for i in range(2400):
+        own = ["grumble"] * (i % 4 in (1, 3)) + ["marsian"] * (i % 4 in (2, 3))
+        rows.append((toxicity.terms(" ".join(rng.sample(fill, 8) + own)), int(i % 4 in (0, 3))))
+    m = toxicity.train(rows)
+    assert len(m.ids) == 6  # two words and their starts
+    assert min(m.score("waa grumble marsian wbb"), m.score("waa wbb")) > 0.7 > max(m.score("waa grumble wbb"), m.score("waa marsian wbb"))
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(2, 1), (2, 0), (5, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd(spark), labels)
