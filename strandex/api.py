@@ -140,11 +140,14 @@ class CodeIndex:
     def coupling(self) -> DataFrame:
         return metrics.module_coupling(self._t("symbols"), self._t("relations"))
 
+    def imports(self) -> DataFrame:
+        return graph.import_graph(self._t("symbols"), self._t("relations"), self._t("modules"))
+
     def cycles(self, longest: int = 6) -> DataFrame:
-        return graph.simple_cycles(graph.import_graph(self._t("symbols"), self._t("relations"), self._t("modules")), longest)
+        return graph.simple_cycles(self.imports(), longest)
 
     def health(self) -> dict:
-        return rows(metrics.health_summary(self._t("symbols"), self._t("relations"), self.cycles()))[0]
+        return rows(metrics.health_summary(self._t("symbols"), self._t("relations"), self.cycles(), graph.cyclic_components(self.imports())))[0]
 
     # prompts
     def plan(self, goal: str, settings: config.Settings | None = None, preset: str | None = None, profile: str | None = None, **hints) -> DataFrame:

@@ -58,6 +58,25 @@ def simple_cycles(graph: DataFrame, longest: int = 4) -> DataFrame:
     return found.orderBy(F.desc(F.size("cycle")), "cycle")
 
 
+def cyclic_components(graph: DataFrame) -> DataFrame:
+    """``component`` (sorted array) of every strongly connected component of two nodes or more: cycles of any length.
+
+    Reach doubles in each step until nothing is added, so the steps grow with the logarithm of the longest path; the
+    closure holds every pair of a node and what it reaches, which fits graphs of modules.
+    """
+    far = cut(graph.where("src <> dst").select("src", "dst").distinct())
+    n = far.count()
+    while True:
+        hop = far.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+        far = cut(far.union(far.join(hop, "dst").select("src", F.col("to").alias("dst"))).distinct())
+        before, n = n, far.count()
+        if n == before:
+            break
+    back = far.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    mutual = far.join(back, ["src", "dst"], "left_semi")
+    return mutual.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("component")).where(F.size("component") > 1).select("component").distinct()
+
+
 def import_graph(symbols: DataFrame, relations: DataFrame, modules: DataFrame) -> DataFrame:
     """Module imports: target is the part after the last slash; files of no module and loops are left out."""
     from_file = symbols.where("name = '<module>'").select(F.col("id").alias("from_id"), "file_path")

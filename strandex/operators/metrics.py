@@ -95,7 +95,7 @@ def resolution_bands(relations: DataFrame) -> DataFrame:
     )
 
 
-def health_summary(symbols: DataFrame, relations: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
+def health_summary(symbols: DataFrame, relations: DataFrame, cycles: DataFrame | None = None, components: DataFrame | None = None) -> DataFrame:
     """One row: totals, and the top five of each report as arrays.  Metrics are computed once."""
     m = symbol_metrics(symbols, relations).persist()
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
@@ -104,6 +104,8 @@ def health_summary(symbols: DataFrame, relations: DataFrame, cycles: DataFrame |
     parts = [count(m, "total_symbols"), count(dead_code(m), "dead_code_count"), count(god_objects(m), "god_objects_count"), top(hotspots(m, 5), "hotspots_top_5", "fan_in"), top(long_functions(m), "longest_functions_top_5", "line_count"), count(coupling, "coupling_edges_count")]
     if cycles is not None:
         parts.append(count(cycles, "circular_deps_count"))
+    if components is not None:
+        parts.append(count(components, "cyclic_components_count"))
     out = parts[0]
     for p in parts[1:]:  # one-row frames
         out = out.join(F.broadcast(p))

@@ -140,6 +140,12 @@ def test_prompts(index, repo):
     assert index.compile("Fix the duplicate token bug in login", str(repo))["prompt"] == got["prompt"]
 
 
+def test_cyclic_components_of_any_length(spark):
+    ring = [(f"m{i}", f"m{(i + 1) % 7}") for i in range(7)]
+    g = spark.createDataFrame([*ring, ("a", "b"), ("b", "a"), ("b", "m0"), ("m3", "x"), ("y", "y")], "src string, dst string")
+    assert sorted(r["component"] for r in rows(graph.cyclic_components(g))) == [["a", "b"], [f"m{i}" for i in range(7)]]
+
+
 def test_cycles(spark):
     g = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "c"), ("d", "a")], "src string, dst string")
     assert [r["cycle"] for r in rows(graph.simple_cycles(g, 5))] == [["a", "b", "c"], ["a", "b"]]
