@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -90,6 +91,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read from there, so later passes read the columns they need."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], rows: int, most: int, how: str = "left") -> DataFrame:
     """Join a table of ``rows`` counted rows: broadcast up to ``most`` rows, a shuffled join beyond."""
     return left.join(F.broadcast(right) if rows <= most else right, on, how)

@@ -1,42 +1,49 @@
 """Quality rules by robust multivariate outliers (minimum covariance determinant), DataFrame only.
 
-Base statistics of every whole text come from one native pass.  Rows that pass the base rules are
-grouped by language and source; each group's location and scatter are estimated by MCD: a robust start
-(medians, quartile ranges), then concentration steps that refit on the 75 % of rows nearest by
-Mahalanobis distance.  A document goes when its transformed statistic vector lies beyond ``CUTOFF``, where
-the scatter is the group's plus the sampling noise of that text: its counts vary like Poisson counts, so a
-long text is judged more sharply than a short one, and no statistic has a fixed floor.
-
-Scale: statistics are checkpointed once as narrow rows; every later pass is a grouped aggregate with
-map-side partial sums, so a source that holds a third of all rows costs one partial row per task.
-Sums run over fixed-point integers and quantiles over integer bins, hence results do not depend on
-partitioning.  Groups with fewer than ``MIN_GROUP`` rows are pooled by language, then over all
-languages; a pool that is still smaller rejects nothing.
-
-Nulls: a null text has no words (``base_failed``); null languages and sources are values of their own.
-Extra columns are ignored, repeated rows are judged alike, an empty table gives an empty result.
+Base statistics of every whole text come from one native pass.  Location and scatter of the rows that pass the base rules
+are estimated by MCD, the ``KEEP_SHARE`` of rows whose covariance has the smallest determinant, for three nested groups:
+a language's source, the language, all rows.  Each group has three deterministic robust starts (spreads, spatial signs,
+hyperbolic tangents); concentration steps refit on the rows nearest by Mahalanobis distance, after ``SCREEN`` steps the
+start with the smallest determinant goes on until no determinant changes.  A source's estimate is shrunk towards its
+language's and that towards the one of all rows, by the weight n / (n + ``PRIOR``), so small groups are judged by the same
+formula as large ones.  A document goes when its transformed statistic vector lies beyond ``CUTOFF``, where the scatter is
+the group's plus the sampling noise of that text: its counts vary like Poisson counts, so a long text is judged more sharply
+than a short one.  The only floor is a ridge of one fixed-point unit, which keeps the matrix regular.
+
+Scale: statistics are written once as narrow rows; every later pass is a grouped aggregate with map-side partial sums, so a
+source that holds a third of all rows costs one partial row per task.  Sums run over fixed-point integers and quantiles over
+integer bins (0.1 % of a distance wide), hence results do not depend on partitioning.
+
+Nulls: a null text has no words (``base_failed``); null languages and sources are values of their own; a null id is kept.
+Empty texts fail the base rules; very long ones are whole, as any other.  Ties: rows of one distance bin enter a
+concentration step together.  Repeated rows count as often as they occur and are judged alike.  Extra columns are ignored
+whatever their names.  An empty table, or one without a row that passes the base rules, has no estimates and rejects nothing more.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, col, cut, fresh, join_small, words
+from .common import GAP, col, cut, fresh, join_small, stored, words
 
 #: Base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Share of a group's rows that a concentration step keeps, number of such steps.
-KEEP_SHARE, STEPS = 0.75, 3
+#: Share of a group's rows that a concentration step keeps, steps for all starts, and the most steps (a guard: steps never
+#: raise a determinant, so they end by themselves).
+KEEP_SHARE, SCREEN, MOST_STEPS = 0.75, 2, 40
 #: Squared-distance limit (0.999 quantile of chi-square with five degrees of freedom), and the factor that
 #: makes the scatter of the nearest 75 % consistent for normal data.
 CUTOFF, CONSISTENCY = 20.52, 1.41
-#: Smallest group with estimates of its own; groups that may be broadcast.
-MIN_GROUP, BROADCAST_GROUPS = 200, 20_000
-#: Fixed-point unit; transformed statistics and the ridge of their scatter (standard deviation: that unit), which
-#: only keeps the matrix regular where all rows of a group agree.
+#: Rows that a group's parent counts for when estimates are shrunk; groups that may be broadcast.
+PRIOR, BROADCAST_GROUPS = 100, 20_000
+#: Fixed-point unit of the transformed statistics; one unit is also the ridge (a standard deviation) of every scatter.
 SCALE = 1024
-DIMS = dict.fromkeys(("x_len", "x_sym", "x_dup", "x_rep", "x_up"), 1 / SCALE)
+DIMS = ("x_len", "x_sym", "x_dup", "x_rep", "x_up")
+_P = len(DIMS)
+_LOWER = [(i, j) for i in range(_P) for j in range(i + 1)]
+#: Fixed point of the sums of bounded values in the starts.
+_UNIT = 1 << 20
 
 
 def _repeat_words(hashes: Column) -> Column:
@@ -127,86 +134,130 @@ def _key(lang: Column, source: Column) -> tuple[Column, Column]:
     return tag(lang), tag(source)
 
 
-def _distance(center: str = "m", factor: str = "l") -> Column:
-    """Squared Mahalanobis distance by forward substitution through the Cholesky factor."""
-    z: list[Column] = []
-    for i, d in enumerate(DIMS):
-        part = F.col(d) / F.lit(float(SCALE)) - F.col(f"{center}{i}")
-        for j in range(i):
-            part = part - F.col(f"{factor}{i}{j}") * z[j]
-        z.append(part / F.col(f"{factor}{i}{i}"))
-    total = z[0] * z[0]
-    for x in z[1:]:
-        total = total + x * x
-    return total
-
-
-def _cholesky(groups: DataFrame) -> DataFrame:
-    """Adds to the scatter ``c{i}{j}`` (ridge included) its factor ``l{i}{j}``, one column at a time."""
-    p = len(DIMS)
-    for j in range(p):
-        for i in range(j, p):
-            part = F.col(f"c{i}{j}")
-            for k in range(j):
-                part = part - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            groups = groups.withColumn(f"l{i}{j}", F.sqrt(part) if i == j else part / F.col(f"l{j}{j}"))
-    return groups
-
-
-def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """MCD estimates.  ``rows``: checkpointed ``gl, gs, base_failed`` and the vector.
-
-    Returns (group map ``gl, gs, g``; estimates ``g, m*, c*, l*``; number of groups).
-    """
-    p, good = len(DIMS), rows.where(~F.col("base_failed"))
-    sizes = good.groupBy("gl", "gs").count()
-    own = F.col("count") >= MIN_GROUP
-    by_lang = F.sum(F.when(~own, F.col("count"))).over(Window.partitionBy("gl"))
-    sizes = sizes.withColumn("g", F.when(own, F.concat_ws("\u0001", "gl", "gs")).when(by_lang >= MIN_GROUP, F.concat_ws("\u0001", F.lit("pool"), "gl")).otherwise(F.lit("rest")))
-    mapping = cut(sizes.select("gl", "gs", "g"))
-    n_groups = mapping.count()
-    put = lambda right, left, on: join_small(left, right, on, n_groups, BROADCAST_GROUPS, "inner")
-    good = put(mapping, good, ["gl", "gs"])
-
-    quart = good.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(d, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{d}") for d in DIMS])
-    start = quart.where(F.col("n") >= MIN_GROUP)
-    for i, (d, floor) in enumerate(DIMS.items()):
-        q = F.col(f"q_{d}")
-        start = start.withColumn(f"m{i}", q[1] / SCALE)
-        for j in range(i + 1):
-            start = start.withColumn(f"c{i}{j}", F.pow((q[2] - q[0]) / (1.349 * SCALE), 2) + floor**2 if i == j else F.lit(0.0))
-    estimate = cut(_cholesky(start.drop("n", *[f"q_{d}" for d in DIMS])))
-
-    names, floors = list(DIMS), list(DIMS.values())
-    for _ in range(STEPS):
-        near = put(estimate, good, ["g"]).select("g", *DIMS, F.least(F.floor(_distance() * 64), F.lit(65536)).cast("long").alias("bin"))
-        limit = cut(near.groupBy("g").agg(F.ceil(F.percentile("bin", F.lit(KEEP_SHARE))).alias("limit")))
-        kept = put(limit, near, ["g"]).where(F.col("bin") <= F.col("limit"))
-        pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-        sums = kept.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.sum(d).alias(f"s{i}") for i, d in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}{j}") for i, j in pairs])
-        mean = {i: F.col(f"s{i}") / F.col("n") for i in range(p)}
-        moments = sums.select("g", *[(mean[i] / SCALE).alias(f"m{i}") for i in range(p)], *[(CONSISTENCY * F.greatest(F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j], F.lit(0.0) if i == j else F.lit(-1e18)) / SCALE**2 + (floors[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in pairs])
-        estimate = cut(_cholesky(moments))
-    return mapping, estimate, n_groups
-
-
-def _judge(df: DataFrame, model: tuple[DataFrame, DataFrame, int]) -> DataFrame:
+def _groups(gl: str = "gl", gs: str = "gs") -> list[Column]:
+    """The nested groups of a row: its language's source, its language, all rows."""
+    return [F.concat_ws("\u0001", F.lit("source"), gl, gs), F.concat_ws("\u0001", F.lit("language"), gl), F.lit("all")]
+
+
+def _x(i: int) -> str:
+    return f"({DIMS[i]} * {1 / SCALE}D)"
+
+
+def _inverted(rows: DataFrame) -> DataFrame:
+    """Rows of a scatter ``c{i}{j}`` to those plus ``logdet`` and its inverse ``w{i}{j}``, one pivot swept at a time.
+
+    Columns are marked as never null and divisions written as powers, so generated code stays small."""
+    rest = [c for c in rows.columns]
+    out = rows.selectExpr(*rest, *[f"coalesce(c{i}{j}, {float(i == j)}D) as w{i}{j}" for i, j in _LOWER], "0D as logdet")
+    w = lambda i, j: f"w{max(i, j)}{min(i, j)}"
+    for k in range(_P):
+        out = out.selectExpr(*rest, *[w(i, j) for i, j in _LOWER], f"logdet + ln({w(k, k)}) as logdet", f"power({w(k, k)}, -1D) as inv")
+        swept = {(i, j): "-inv" if i == j == k else f"{w(i, j)} * inv" if k in (i, j) else f"{w(i, j)} - {w(i, k)} * {w(j, k)} * inv" for i, j in _LOWER}
+        out = out.selectExpr(*rest, *[f"{v} as {w(i, j)}" for (i, j), v in swept.items()], "logdet")
+    return out.selectExpr(*rest, *[f"-{w(i, j)} as {w(i, j)}" for i, j in _LOWER], "logdet")
+
+
+def _distance() -> Column:
+    """Squared Mahalanobis distance of the vector to ``m*`` by the inverse scatter ``w*``."""
+    z = [f"({_x(i)} - m{i})" for i in range(_P)]
+    return F.expr("greatest(0D, " + " + ".join(f"{1 if i == j else 2}D * w{i}{j} * {z[i]} * {z[j]}" for i, j in _LOWER) + ")")
+
+
+def _starts(members: DataFrame, quartiles: DataFrame, n: int) -> DataFrame:
+    """Robust first estimates ``g, s, m*, c*`` of each group: spreads alone, spatial signs, hyperbolic tangents."""
+    at, spread = {i: F.col("q")[i][1] / SCALE for i in range(_P)}, {i: F.greatest((F.col("q")[i][2] - F.col("q")[i][0]) / (1.349 * SCALE), F.lit(1 / SCALE)) for i in range(_P)}
+    scale = cut(quartiles.select("g", *[at[i].alias(f"m{i}") for i in range(_P)], *[spread[i].alias(f"d{i}") for i in range(_P)]))
+    z = join_small(members, scale, ["g"], n, BROADCAST_GROUPS, "inner")
+    z = z.select("g", *[F.expr(f"({_x(i)} - m{i}) / d{i} as z{i}") for i in range(_P)])
+    z = z.withColumn("far", F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, _P)), F.col("z0") * F.col("z0"))))
+    z = z.select("g", *[F.when(F.col("far") > 0, F.col(f"z{i}") / F.col("far")).otherwise(0.0).alias(f"u{i}") for i in range(_P)], *[F.tanh(f"z{i}").alias(f"t{i}") for i in range(_P)])
+    fixed = lambda v: F.sum(F.round(v * _UNIT).cast("long")) / _UNIT  # noqa: E731  an exact sum, whatever the order of rows
+    sums = [fixed(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"uu{i}{j}") for i, j in _LOWER] + [fixed(F.col(f"t{i}")).alias(f"ts{i}") for i in range(_P)] + [fixed(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"tt{i}{j}") for i, j in _LOWER]
+    got = z.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *sums).join(scale, "g")
+    tanh = {(i, j): F.col(f"tt{i}{j}") / F.col("n") - F.col(f"ts{i}") * F.col(f"ts{j}") / (F.col("n") * F.col("n")) for i, j in _LOWER}
+    made = [{(i, j): F.lit(float(i == j)) for i, j in _LOWER}, {(i, j): _P * F.col(f"uu{i}{j}") / F.col("n") for i, j in _LOWER}, tanh]
+    rows = [F.struct(F.lit(s).alias("s"), *[(c[i, j] * F.col(f"d{i}") * F.col(f"d{j}") + (F.lit(SCALE**-2.0) if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _LOWER]) for s, c in enumerate(made)]
+    return got.select("g", *[f"m{i}" for i in range(_P)], F.explode(F.array(*rows)).alias("e")).select("g", *[f"m{i}" for i in range(_P)], "e.*")
+
+
+def _step(members: DataFrame, estimates: DataFrame, n: int) -> DataFrame:
+    """One concentration step for every group and start: mean and covariance of the nearest rows."""
+    bins = F.least(F.floor(1024 * F.log1p(1000 * _distance())), F.lit(1 << 16)).cast("long")
+    near = join_small(members, estimates, ["g"], n, BROADCAST_GROUPS, "inner").select("g", "s", *DIMS, bins.alias("bin"))
+    limit = cut(near.groupBy("g", "s").agg(F.expr(f"percentile_disc({KEEP_SHARE}) within group (order by bin)").alias("limit")))
+    kept = join_small(near, limit, ["g", "s"], n, BROADCAST_GROUPS, "inner").where(F.col("bin") <= F.col("limit"))
+    sums = kept.groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"sum({d}) as s{i}") for i, d in enumerate(DIMS)], *[F.expr(f"sum({DIMS[i]} * {DIMS[j]}) as p{i}{j}") for i, j in _LOWER])
+    cov = {(i, j): f"(p{i}{j} / n - (s{i} / n) * (s{j} / n)) / {SCALE**2}D" for i, j in _LOWER}
+    moments = sums.selectExpr("g", "s", *[f"s{i} / n / {SCALE}D as m{i}" for i in range(_P)], *[f"{f'greatest(0D, {c}) + {SCALE**-2.0!r}D' if i == j else c} as c{i}{j}" for (i, j), c in cov.items()])
+    return cut(_inverted(moments))
+
+
+def mcd(members: DataFrame) -> tuple[DataFrame, int]:
+    """Minimum covariance determinant of each group ``g`` of ``members`` (``g`` and the vector): ``g, n, s, m*, c*, logdet``
+    (``c*``: plain covariance of the kept rows plus the ridge), and the number of groups."""
+    quartiles = members.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.percentile(d, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for d in DIMS]).alias("q"))
+    quartiles = cut(quartiles)
+    n = quartiles.count()
+    estimates = cut(_inverted(_starts(members, quartiles, n)))
+    for _ in range(SCREEN):
+        estimates = _step(members, estimates, 3 * n)
+    names = [c for c in estimates.columns if c != "g"]
+    best = estimates.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("logdet", "s")).alias("e"))
+    estimates, mark = cut(best.select("g", "e.*")), None
+    for _ in range(MOST_STEPS):
+        estimates = _step(members, estimates, n)
+        now = estimates.agg(F.sum(F.round(F.col("logdet") * 1e6).cast("decimal(38,0)"))).first()[0]
+        if now == mark:
+            break
+        mark = now
+    return quartiles.select("g", "n").join(estimates.select("g", "s", *[f"m{i}" for i in range(_P)], *[f"c{i}{j}" for i, j in _LOWER], "logdet"), "g"), n
+
+
+def _shrunk(own: str, parent: str) -> list[Column]:
+    """``m*, c*`` of a group drawn towards its parent's: the moments of ``n`` rows of its own and ``PRIOR`` of the parent."""
+    w = F.coalesce(F.col(f"{own}.n"), F.lit(0)) / (F.coalesce(F.col(f"{own}.n"), F.lit(0)) + PRIOR)
+    get = lambda side, k: F.coalesce(F.col(f"{side}.{k}"), F.col(f"{parent}.{k}"))
+    gap = [get(own, f"m{i}") - F.col(f"{parent}.m{i}") for i in range(_P)]
+    means = [(w * get(own, f"m{i}") + (1 - w) * F.col(f"{parent}.m{i}")).alias(f"m{i}") for i in range(_P)]
+    return means + [(w * get(own, f"c{i}{j}") + (1 - w) * F.col(f"{parent}.c{i}{j}") + w * (1 - w) * gap[i] * gap[j]).alias(f"c{i}{j}") for i, j in _LOWER]
+
+
+def fit(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Estimates ``gl, gs, m*, c*`` for every pair of language and source, and the number of pairs.  ``rows``: stored rows
+    ``gl, gs, base_failed`` and the vector."""
+    good = rows.where(~F.col("base_failed"))
+    members = good.select(F.explode(F.array(*_groups())).alias("g"), *DIMS)
+    estimates, _ = mcd(members)
+    pairs = cut(rows.select("gl", "gs").distinct().select("gl", "gs", *[g.alias(f"g{k}") for k, g in enumerate(_groups())]))
+    consistent = [(CONSISTENCY * (F.col(f"c{i}{j}") - (SCALE**-2.0 if i == j else 0.0)) + (SCALE**-2.0 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _LOWER]
+    table = cut(estimates.select("g", F.struct("n", *[f"m{i}" for i in range(_P)], *consistent).alias("e")))
+    for k in range(3):
+        pairs = pairs.join(table.select(F.col("g").alias(f"g{k}"), F.col("e").alias(f"e{k}")), f"g{k}", "left")
+    pairs = pairs.where("e2 is not null").withColumn("e1", F.struct(*_shrunk("e1", "e2")))
+    out = cut(pairs.select("gl", "gs", *_shrunk("e0", "e1")))
+    return out, out.count()
+
+
+def _judge(df: DataFrame, model: tuple[DataFrame, int]) -> DataFrame:
     """Adds ``distance`` to the group's estimates and ``outlier``, the verdict that allows for the text's own noise
     (both null without estimates); ``df`` has ``gl, gs``, the vector and its noise."""
-    mapping, estimate, n = model
-    p = len(DIMS)
-    table = mapping.join(estimate, "g", "inner").drop("g")
-    got = join_small(df, table, ["gl", "gs"], n, BROADCAST_GROUPS).withColumn("distance", _distance())
-    noisy = got.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + F.col(f"v{i}") for i in range(p)}).drop(*[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
-    return _cholesky(noisy).withColumn("outlier", _distance() > CUTOFF)
+    table, n = model
+    got = join_small(df, cut(_inverted(table)).drop("logdet"), ["gl", "gs"], n, BROADCAST_GROUPS)
+    got = got.withColumn("distance", _distance()).drop(*[f"w{i}{j}" for i, j in _LOWER])
+    got = got.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + F.col(f"v{i}") for i in range(_P)})
+    # a generator keeps a filter on the verdict from drawing the whole inversion into its condition
+    return _inverted(got).withColumn("outlier", F.explode(F.array(_distance() > CUTOFF)))
+
+
+def _vectors(stats: DataFrame, *keep: str | Column) -> DataFrame:
+    gl, gs = _key(F.col("_lang"), F.col("_source"))
+    return stats.select(*keep, gl.alias("gl"), gs.alias("gs"), "stats.*", *[v.alias(k) for k, v in (_vector("stats") | _noise("stats")).items()])
 
 
 def quality_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """One row per row of ``df``: ``doc_id``, base statistics, ``base_failed, kept, distance`` (without the text's noise)."""
-    gl, gs = _key(F.col("_lang"), F.col("_source"))
     src = df.select(col(doc_id).alias("doc_id"), col(text).alias("_text"), col(lang).alias("_lang"), col(source).alias("_source"))
-    stats = base_stats(src, "_text")
-    rows = cut(stats.select("doc_id", gl.alias("gl"), gs.alias("gs"), "stats.*", *[v.alias(k) for k, v in (_vector("stats") | _noise("stats")).items()]))
+    rows = cut(_vectors(base_stats(src, "_text"), "doc_id"))
     out = _judge(rows, fit(rows))
     kept = ~F.col("base_failed") & ~F.coalesce("outlier", F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
@@ -215,12 +266,13 @@ def quality_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 def quality_filter(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``df`` that pass, all columns as they were.
 
-    The model is fitted on checkpointed statistics; the verdict is then a row-local expression, so texts
-    are read twice but never shuffled (beyond ``BROADCAST_GROUPS`` groups, joined by a shuffle).
+    Rows that pass the base rules are written once beside their statistics, as Parquet in the shared folder (columns need
+    types that Parquet has); estimates read the narrow columns alone and the verdict is a row-local expression, so
+    statistics are computed once and texts are never shuffled (beyond ``BROADCAST_GROUPS`` groups, joined by a shuffle).
     """
-    gl, gs = _key(F.col("_lang"), F.col("_source"))
-    src = df.select(F.struct("*").alias("row"), col(text).alias("_text"), col(lang).alias("_lang"), col(source).alias("_source"))
-    stats = base_stats(src, "_text").select("row", gl.alias("gl"), gs.alias("gs"), "stats.base_failed", *[v.alias(k) for k, v in (_vector("stats") | _noise("stats")).items()])
-    model = fit(cut(stats.drop("row")))
-    passed = _judge(stats.where(~F.col("base_failed")), model).where(~F.coalesce("outlier", F.lit(False)))
-    return passed.select("row.*")
+    names = [f"r{i}" for i in range(len(df.columns))]  # columns of any name, in the writer's eyes
+    src = df.select(*[col(c).alias(n) for c, n in zip(df.columns, names, strict=True)], col(text).alias("_text"), col(lang).alias("_lang"), col(source).alias("_source"))
+    rows = stored(_vectors(base_stats(src, "_text"), *names).where(~F.col("base_failed")))
+    model = fit(rows.drop(*names))
+    passed = _judge(rows, model).where(~F.coalesce("outlier", F.lit(False)))
+    return passed.select(*names).toDF(*df.columns)

@@ -1,6 +1,8 @@
 """Plain Python versions of the operators, for small tables."""
 
 import hashlib
+import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -130,18 +132,40 @@ def verdict(rules, url):
     return host, path, best and best[3], best[2] if best else "allow"
 
 
-def mcd(x, floors, keep=0.75, steps=3, c=1.41):
-    """The estimator on one group of fixed-point integers: centre and scatter."""
-    n = len(x)
-    q = np.quantile(x, (0.25, 0.5, 0.75), axis=0)
-    m, s = q[1] / 1024, np.diag(((q[2] - q[0]) / (1.349 * 1024)) ** 2 + floors**2)
-    for _ in range(steps):
-        d = distance(x, m, s)
-        bins = np.minimum(np.floor(d * 64), 65536)
-        near = x[bins <= np.ceil(np.quantile(bins, keep))]
-        m = near.mean(axis=0) / 1024
-        s = c * np.cov(near.T, bias=True) / 1024**2 + np.diag(floors**2)
-    return m, s, n
+def logdet(c):
+    return np.linalg.slogdet(c)[1]
+
+
+def _covariance(x):
+    return np.cov(x.T, bias=True) / 1024**2 + np.eye(x.shape[1]) / 1024**2
+
+
+def mcd_of_every_subset(x, keep=0.75):
+    """Mean, covariance and log determinant of the best of all subsets."""
+    h = math.ceil(keep * len(x))
+    best = min((np.array(s) for s in itertools.combinations(range(len(x)), h)), key=lambda s: logdet(_covariance(x[s])))
+    return x[best].mean(axis=0) / 1024, _covariance(x[best]), logdet(_covariance(x[best]))
+
+
+def mcd(x, keep=0.75, starts=60):
+    """The same by concentration from many random small subsets."""
+    rng, h, best = np.random.default_rng(0), math.ceil(keep * len(x)), None
+    for _ in range(starts):
+        own = x[rng.permutation(len(x))[: x.shape[1] + 1]]
+        for _ in range(50):
+            m, s = own.mean(axis=0) / 1024, _covariance(own)
+            near = x[np.argsort(distance(x, m, s), kind="stable")[:h]]
+            if len(own) == len(near) and (own == near).all():
+                break
+            own = near
+        got = (logdet(_covariance(own)), own.mean(axis=0) / 1024, _covariance(own))
+        best = got if best is None or got[0] < best[0] else best
+    return best[1], best[2], best[0]
+
+
+def shrunk(own, n, parent, prior=100):
+    w, gap = n / (n + prior), own[0] - parent[0]
+    return w * own[0] + (1 - w) * parent[0], w * own[1] + (1 - w) * parent[1] + w * (1 - w) * np.outer(gap, gap)
 
 
 def distance(x, m, s):

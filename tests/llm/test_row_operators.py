@@ -49,14 +49,19 @@ def test_quality_estimates(spark):
     df = odd(spark, rows)
     got = {r["doc_id"]: r for r in quality.quality_rows(df).collect()}
     gl, gs = quality._key(F.col("lang"), F.col("source"))
-    vec = quality.base_stats(df).select("doc_id", gl.alias("gl"), "Stats", *[v.alias(k) for k, v in quality._vector(quality.base_stats(df).columns[-1]).items()]).toPandas()
-    floors = np.array(list(quality.DIMS.values()))
-    for g in vec["gl"].unique():
-        own = vec[(vec["gl"] == g)]
-        x = own[list(quality.DIMS)].to_numpy(float)
-        m, s, _ = brute.mcd(x, floors)
-        d = brute.distance(x, m, s)
-        for i, v in zip(own["doc_id"], d, strict=True):
+    stats = quality.base_stats(df)
+    vec = stats.select("doc_id", gl.alias("gl"), *[v.alias(k) for k, v in quality._vector(stats.columns[-1]).items()]).toPandas()
+    groups = {g: own[list(quality.DIMS)].to_numpy(float) for g, own in vec.groupby("gl")} | {"all": vec[list(quality.DIMS)].to_numpy(float)}
+    est = {r["g"]: r for r in quality.mcd(vectors(spark, [(g, v) for g, x in groups.items() for v in x]))[0].collect()}
+    eye, model = np.eye(5) / 1024**2, {}
+    for g, x in groups.items():
+        assert est[g]["logdet"] <= brute.mcd(x)[2] + 0.1  # no random start finds a much smaller determinant (rows of one bin stay together)
+        c = np.array([[est[g][f"c{max(i, j)}{min(i, j)}"] for i in range(5)] for j in range(5)])
+        model[g] = (np.array([est[g][f"m{i}"] for i in range(5)]), quality.CONSISTENCY * (c - eye) + eye)
+    for g in vec["gl"].unique():  # each language has one source here
+        own, n = vec[vec["gl"] == g], len(groups[g])
+        m, s = brute.shrunk(model[g], n, brute.shrunk(model[g], n, model["all"]))
+        for i, v in zip(own["doc_id"], brute.distance(groups[g], m, s), strict=True):
             assert got[i]["distance"] == pytest.approx(v, rel=1e-6, abs=1e-6)
     assert all(got[i]["kept"] == (i % 20 != 0 and i % 33 != 0) for i in got)
     kept = quality.quality_filter(df)
@@ -64,6 +69,59 @@ def test_quality_estimates(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in got if got[i]["kept"])
 
 
+def vectors(spark, rows):
+    """(group, vector) rows as members."""
+    return spark.createDataFrame([(g, *map(int, v)) for g, v in rows], "g string, " + ", ".join(f"{d} long" for d in quality.DIMS))
+
+
+def test_mcd_against_every_subset(spark):
+    rng = np.random.default_rng(3)
+    groups = {}
+    for k in range(6):
+        x = rng.normal(0, 120, (13, 5)) @ rng.normal(0, 1, (5, 5))
+        x[10:] += rng.normal(0, 2500, (3, 5))
+        groups[f"g{k}"] = np.round(x)
+    rows = [(g, v) for g, x in groups.items() for v in x]
+    rng.shuffle(rows)
+    got = {r["g"]: r for r in quality.mcd(vectors(spark, rows))[0].collect()}
+    for g, x in groups.items():
+        m, c, det = brute.mcd_of_every_subset(x)
+        assert got[g]["logdet"] == pytest.approx(det, abs=1e-6) and got[g]["n"] == 13
+        assert [got[g][f"m{i}"] for i in range(5)] == pytest.approx(list(m))
+        assert [got[g][f"c{i}{j}"] for i in range(5) for j in range(i + 1)] == pytest.approx([c[i, j] for i in range(5) for j in range(i + 1)])
+
+
+def test_a_hidden_correlation_alone_makes_outliers(spark):
+    """Two statistics that agree; the planted rows are ordinary in each of them, but not together.  A third of one source's
+    rows lies far away, and one source has five rows."""
+    rng = np.random.default_rng(5)
+    a = rng.normal(0, 200, 900)
+    x = np.column_stack([a, rng.normal(0, 150, 900), rng.normal(0, 150, 900), rng.normal(0, 150, 900), a + rng.normal(0, 15, 900)])
+    x[:10, 0], x[:10, 4] = 250, -250
+    x[10:110] += 4000
+    gs = ["few" if i < 3 or i in (898, 899) else "many" for i in range(900)]
+    rows = [(i, "=en", gs[i], False, *[int(v) for v in np.round(x[i])], *[0.0] * 5) for i in range(900)]
+    df = spark.createDataFrame(rows, "i long, gl string, gs string, base_failed boolean, " + ", ".join(f"{d} long" for d in quality.DIMS) + ", " + ", ".join(f"v{i} double" for i in range(5)))
+    out = {r["i"]: r["outlier"] for r in quality._judge(df, quality.fit(df)).collect()}
+    assert all(out[i] for i in range(110)) and not out[898] and not out[899]
+    assert sum(out[i] for i in range(110, 900)) <= 8
+    same = {r["i"]: r["outlier"] for r in quality._judge(df.repartition(5), quality.fit(df.repartition(3))).collect()}
+    assert same == out
+
+
+def test_quality_of_few_and_long_rows(spark):
+    """Every row that has words gets a distance, whatever its group's size; long texts and pools go through the filter."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    text = lambda n=60: " ".join(word() for _ in range(n))
+    rows = [(i, text(), f"l{i % 7}", f"s{i}") for i in range(60)] + [(60, text(300_000), "l0", "long"), (61, " | ".join(text(200).split()), "l0", "s0"), (62, text().upper(), None, None)]
+    got = {r["doc_id"]: r for r in quality.quality_rows(odd(spark, rows)).collect()}
+    assert all(r["distance"] is not None and not r["base_failed"] for r in got.values())
+    assert [i for i, r in got.items() if not r["kept"]] == [61, 62]
+    kept = quality.quality_filter(odd(spark, rows))
+    assert kept.columns == odd(spark).columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [i for i in range(63) if i < 61]
+
+
 def test_quality_each_statistic_reaches_the_cut(spark):
     """One text with one fault for each statistic goes; short texts with single marks stay."""
     rng = random.Random(2)
