@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 WORD = "[^ \\t-\\r]+"
 GAP = "[ \\t-\\r]+"
 
-#: Rows of an Arrow batch.  Texts reach megabytes, so batches stay small to bound a worker's memory.
+#: Rows that a Python function gets at a time.  Texts reach megabytes, so this bounds a worker's memory.
 ARROW_ROWS = 512
 
 
@@ -46,14 +47,13 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches that Python workers get in this session, and send them this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers (once for each application); no setting is changed."""
     sc = spark.sparkContext
     if _SENT.get("app") != sc.applicationId:
         _SENT["app"] = sc.applicationId
         top = Path(__file__).resolve().parents[1]
-        out = Path(tempfile.mkdtemp()) / f"{top.name}.zip"  # Spark serves it to executors
+        out = Path(tempfile.mkdtemp()) / f"{top.name}.zip"  # code, not data: Spark serves it to executors
         with zipfile.ZipFile(out, "w") as z:
             for f in (top / "__init__.py", *sorted((top / "llm").glob("*.py"))):
                 z.write(f, f.relative_to(top.parent))
@@ -63,8 +63,24 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 _SENT: dict[str, str] = {}
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, whatever the session's batch size is.
+
+    Spark bounds its own batches by bytes as well (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB by default), so
+    neither what arrives nor what is made of it at a time grows with the table."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def in_arrow(df: DataFrame, function, schema: T.StructType | str, rows: int = ARROW_ROWS) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``rows``."""
+    ship(df.sparkSession)
+    return df.mapInArrow(lambda batches: function(small(batches, rows)), schema)
+
+
 def map_arrow(df: DataFrame, function, schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` for columns of any name: workers see positions, the result gets the schema's names."""
+    """``in_arrow`` for columns of any name: workers see positions, the result gets the schema's names."""
     want = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     safe = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(want)])
     names = safe.names
@@ -73,7 +89,7 @@ def map_arrow(df: DataFrame, function, schema: T.StructType | str) -> DataFrame:
         for b in function(batches):
             yield pa.RecordBatch.from_arrays(b.columns, names)
 
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, safe).toDF(*want.names)
+    return in_arrow(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), renamed, safe).toDF(*want.names)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -7,11 +7,12 @@ cosine.  Distance-based rejection: a row is ``rejected`` when that cosine is bel
 a low quantile of its own training cosines.
 
 The model is fitted on at most about ``SAMPLE`` labelled rows of each language (chosen by a hash of the
-document id), about 1 MB, so shipping it to workers is bounded whatever the corpus.  Prediction is one map
-over whole texts without a shuffle.
+document id), at most ``MOST_LANGUAGES`` languages, 32 KB for each centroid, so shipping it to workers is bounded whatever
+the corpus.  Prediction is one map over whole texts without a shuffle; very long texts are counted in blocks that carry on.
 
-Nulls: a null text or one without letters is ``und`` with score 0; rows without a language do not train;
-with nothing to learn from, every row is ``und``.  Ties go to the language first by code point.
+Nulls: a null text, an empty one or one without letters is ``und`` with score 0; rows without a language do not train;
+with nothing to learn from (an empty table), every row is ``und``.  Ties go to the language first by code point.  Repeated
+rows are judged alike and train as often as they occur (all or none of them, as the sample goes by id).
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, map_arrow, small_batches
+from .common import col, fresh, in_arrow, map_arrow
 
 #: Hashed dimensions, centroids of a language, expected training rows of a language, k-means rounds.
 DIMS, CENTROIDS, SAMPLE, ROUNDS = 8192, 4, 400, 8
+#: Languages that are learnt: those with the most labelled rows.
+MOST_LANGUAGES = 512
 #: Quantile of training cosines below which a text is rejected, and the slack under it.
 REJECT_QUANTILE, REJECT_SLACK = 0.005, 0.8
 #: Code points of a text that are counted at a time; bounds memory for very long texts.
@@ -41,29 +44,28 @@ def _letters() -> np.ndarray:
 
 
 def counts(text: str | None) -> np.ndarray | None:
-    """Hashed n-gram counts of a whole text; None when it has no letter."""
-    if not text:
-        return None
-    out = None
-    low = text.lower()
-    for at in range(0, len(low), BLOCK):
-        part = low[max(0, at - 2) : at + BLOCK]  # two characters of overlap, so that no trigram is lost
-        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    """Hashed n-gram counts of a whole text; None when it has no letter.  The text is one stream of symbols that starts and
+    ends with a blank; blocks carry its last two symbols on, so where a block ends does not matter."""
+    low, out = (text or "").lower(), np.zeros(DIMS, np.int64)
+    tail, seen = np.array([32], np.uint64), False
+    for at in range(0, len(low) + 1, BLOCK):
+        points = np.frombuffer(low[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         near = points < 65536
         alpha = _letters()[np.where(near, points, 0)]
         if not near.all():
             alpha[~near] = [chr(c).isalpha() for c in points[~near].tolist()]
-        if not alpha.any():
-            continue
+        seen = seen or bool(alpha.any())
         x = np.where(alpha, points, 32).astype(np.uint64)
-        x = np.concatenate(([np.uint64(32)], x, [np.uint64(32)]))
-        blank = x == 32
-        x = x[~(blank & np.concatenate(([False], blank[:-1])))]  # runs of blanks count once
+        if at + BLOCK > len(low):
+            x = np.append(x, np.uint64(32))
+        blank = np.concatenate((tail[-1:], x)) == 32
+        x = np.concatenate((tail, x[~(blank[1:] & blank[:-1])]))  # runs of blanks count once
         two = x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
         three = two[:-1] * np.uint64(0x165667B19E3779F9) + x[2:] * np.uint64(0x85EBCA77C2B2AE63)
-        got = np.bincount(np.concatenate((two, three)) >> np.uint64(64 - DIMS.bit_length() + 1), minlength=DIMS)
-        out = got if out is None else out + got
-    return out
+        grams = np.concatenate((two[len(tail) - 1 :], three[max(0, len(tail) - 2) :]))
+        out += np.bincount(grams >> np.uint64(64 - DIMS.bit_length() + 1), minlength=DIMS)
+        tail = x[-2:]
+    return out if seen else None
 
 
 @dataclass
@@ -104,7 +106,7 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, k: int = CENTROIDS) -> LanguageModel:
     """Fit on a bounded sample of each language of ``labelled`` (all its rows may train)."""
     rows = labelled.where(col(lang).isNotNull() & col(text).isNotNull()).select(col(doc_id).alias("i"), col(text).alias("t"), col(lang).alias("l"))
-    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return LanguageModel()
     share = F.create_map(*[F.lit(x) for k_, n in sorted(sizes.items()) for x in (k_, min(1.0, sample / n))])
@@ -117,8 +119,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
             n = [np.minimum(g[a.astype(np.int64)], 1 << 30).astype(np.int32) for (_, g), a in zip(kept, at, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.string()), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([x.tobytes() for x in n], pa.binary())], ["l", "at", "n"])
 
-    small_batches(labelled.sparkSession)
-    got = sorted((r["l"], bytes(r["at"]), bytes(r["n"])) for r in picked.select("t", "l").mapInArrow(grams, "l string, at binary, n binary").collect())
+    got = sorted((r["l"], bytes(r["at"]), bytes(r["n"])) for r in in_arrow(picked.select("t", "l"), grams, "l string, at binary, n binary").collect())
     if not got:
         return LanguageModel()
     x = np.zeros((len(got), DIMS), np.float32)
@@ -142,7 +143,6 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 def predict(df: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """Every column of ``df`` but the text, plus prediction, score and rejection (names made unique)."""
     spark = df.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     (t,) = fresh(df, "whole_text")
     keep = [c for c in df.columns if c != text]

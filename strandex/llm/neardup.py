@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, small_batches
+from .common import col, cut, in_arrow
 from .components import components
 from .hashing import _mixed, mix, window_hashes
 
@@ -232,9 +232,9 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: ``doc_id`` (integer), ``n_shingles, component_id, kept``."""
-    small_batches(df.sparkSession)
+
     docs = df.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
-    signed = cut(docs.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, keys array<long>, sketch binary"))
+    signed = cut(in_arrow(docs, _sign, "doc_id long, n_shingles long, set_key binary, keys array<long>, sketch binary"))
     classes = signed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = cut(classes)
     nodes = classes.where(F.col("node").isNotNull())
@@ -251,7 +251,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     part = F.xxhash64("key", F.expr(f"substring(rot, {DEPTH + 1}, deeper)"))
     ordered = regions.withColumn("deeper", deeper).select(part.alias("part"), "node", "n", F.col("node").alias("comp"), "rot")
     ordered = ordered.repartition("part").sortWithinPartitions("part", "rot", "node")
-    near = ordered.mapInArrow(_neighbours, "node long, other long, agree long")
+    near = in_arrow(ordered, _neighbours, "node long, other long, agree long")
     best = near.groupBy("node").agg(F.max_by("other", F.struct(F.col("agree"), -F.col("other"))).alias("x"), F.min(F.when(F.col("agree") * 100 >= VALUES * PERCENT, F.col("other"))).alias("y"))
     pairs = best.select("node", F.explode(F.array("x", "y")).alias("other")).where("other is not null")
     tested = cut(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
@@ -270,10 +270,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     block = block.select("key", "node", "n", "comp", "rot", "own", F.explode(F.expr("sequence(0, tiles - 1)")).alias("to"))
     block = block.select(F.xxhash64("key", F.least("own", "to"), F.greatest("own", "to")).alias("part"), "node", "n", "comp", "rot", F.when(F.col("own") > F.col("to"), 1).otherwise(0).alias("side"))
     by_part = lambda x: x.repartition("part").sortWithinPartitions("part", "side", "node")
-    close = cut(by_part(whole.union(block)).mapInArrow(_across, "part long, node long, n long, comp long, rot binary, side int"))
+    close = cut(in_arrow(by_part(whole.union(block)), _across, "part long, node long, n long, comp long, rot binary, side int"))
     missing = close.select("node").distinct().join(sets.select("node"), "node", "left_anti")
     more = cut(_sets_of(docs, missing))
-    merged = cut(by_part(close.join(sets.union(more), "node").select(*close.columns, "set")).mapInArrow(_merge, "a long, b long").distinct())
+    merged = cut(in_arrow(by_part(close.join(sets.union(more), "node").select(*close.columns, "set")), _merge, "a long, b long").distinct())
     if merged.take(1):
         comp = cut(components(links.union(merged)))
 
@@ -293,14 +293,14 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     nodes = cut(nodes)
     few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
     texts = docs.join(F.broadcast(nodes) if few else nodes, docs["doc_id"] == nodes["node"], "left_semi")
-    return texts.groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")).mapInArrow(_sets, "node long, set binary")
+    return in_arrow(texts.groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")), _sets, "node long, set binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(_confirm, "a long, b long, linked boolean").where("linked").select("a", "b")
+    return in_arrow(both, _confirm, "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, small_batches
+from .common import col, cut, ship
 
 SHARDS = 8
 #: Rows of a range aimed at, and the most ranges of all shards together.
@@ -59,7 +59,7 @@ def shard_of(doc_id: Column, n: int) -> Column:
 
 def assign(df: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``."""
-    small_batches(df.sparkSession, 10_000)
+    ship(df.sparkSession)
     whole = F.coalesce(col(text), F.lit(""))
     rows = df.select(col(doc_id).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"))
     rows = cut(rows.withColumn("shard", shard_of(F.col("doc_id"), shards)).withColumn("grown_shard", shard_of(F.col("doc_id"), shards + 1)))

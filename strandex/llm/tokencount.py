@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, map_arrow, small_batches
+from .common import col, fresh, map_arrow
 
 #: Characters of a leaf aimed at, and characters around an edit that can move a cut.
 LEAF, CONTEXT = 512, 2
@@ -150,7 +150,6 @@ def count_edits(df: DataFrame, text: str = "text", edits: str | None = None, voc
     ``with_state`` also ``new_text, leaf_chars, leaf_tokens`` (after the edits).
     """
     spark: SparkSession = df.sparkSession
-    small_batches(spark)
     ranks = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
     drop = {text, edits, *(state or ())}
     keep = [c for c in df.columns if c not in drop]

@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text are its lower-cased words and the first four and five characters of longer words, hashed;
-a term counts once, weighted by IDF.  Score = sigmoid(w0 + sum w_i x_i + sum <v_i, v_j> x_i x_j): the
+Terms of a text are its lower-cased words (whole runs of letters), the first four and five characters of longer words, and
+the four-character grams of runs over ``GLUED`` letters (glued words, scripts without spaces), hashed; a term counts
+once, weighted by IDF.  Score = sigmoid(w0 + sum w_i x_i + sum <v_i, v_j> x_i x_j): the
 factors learn pairs, such as an insult with a group mention, that additive weights miss.  A term is learnt when
 it parts the classes alone (chi-square of ``CHI2``) or among the sample rows of another term (``PAIR_CHI2``, as many
 pairs are tried), so words that only a pair reveals count.  Others carry no weight, nor do terms too rare in the
@@ -11,8 +12,10 @@ The model is fitted on the driver by AdaGrad on at most about ``SAMPLE`` labelle
 hash of the id); its size is fixed (terms x (1 + factors) floats).  Labels join by a shuffled join on the
 narrow id column and texts of the sample only.  Scoring is one map over whole texts without a shuffle.
 
-Nulls: null and empty texts get the score of the empty text (never 1); null labels and ids do not train;
-several labels of one id: the largest.  With no labels of either class every score is 0.
+Nulls: null and empty texts get the score of the empty text (never 1); null labels and ids do not train; labels above 0
+are toxic; several labels of one id: the largest.  With no labels of either class (empty tables) every score is 0.  Very
+long texts are split in blocks that end between words, so every word counts.  Repeated rows get equal scores and train as
+often as they occur.  Ties: terms and rows are taken in the order of their hashes and ids, so refits agree.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, fresh, map_arrow, small_batches
+from .common import col, cut, fresh, in_arrow, map_arrow
 
 #: Hashed terms (a power of two), factors, expected training rows of a class, epochs.
 TERMS, FACTORS, SAMPLE, EPOCHS = 1 << 18, 8, 2500, 12
@@ -39,17 +42,25 @@ LEAST_ROWS, CHI2, RATE, L2, THRESHOLD = 4, 15.0, 0.15, 1e-4, 0.7
 PAIR_CHI2 = 45.0
 #: Weight of false alarms when the intercept is set so that the classes part at ``THRESHOLD``.
 ALARM = 5.0
-#: Starts of words that count as terms.
-STEMS = (4, 5)
+#: Starts of words that count as terms, and letters from which a run counts by its grams as well.
+STEMS, GLUED, GRAM = (4, 5), 24, 4
 #: Characters of a text that are split at a time.
 BLOCK = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-@lru_cache(maxsize=200_000)
-def _term_ids(word: str) -> tuple[int, ...]:
+def _ids(word: str) -> tuple[int, ...]:
     forms = ["w" + word] + [f"{n}{word[:n]}" for n in STEMS if len(word) >= n]
-    return tuple(zlib.crc32(f.encode()) & (TERMS - 1) for f in forms)
+    if len(word) > GLUED:
+        forms += {"g" + word[i : i + GRAM] for i in range(len(word) - GRAM + 1)}
+    return tuple(zlib.crc32(f.encode("utf-8", "surrogatepass")) & (TERMS - 1) for f in forms)
+
+
+_seen_ids = lru_cache(maxsize=200_000)(_ids)
+
+
+def _term_ids(word: str) -> tuple[int, ...]:
+    return _seen_ids(word) if len(word) <= GLUED else _ids(word)  # long runs are rare and would fill the cache
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -59,11 +70,11 @@ def terms(text: str | None) -> np.ndarray:
     at = 0
     while at < len(low):
         end = min(len(low), at + BLOCK)
-        while end < len(low) and low[end].isalpha():  # blocks end between words
+        while end < len(low) and low[end].isalnum():  # blocks end between words
             end += 1
         seen.update(_WORD.findall(low, at, end))
         at = end
-    return np.unique(np.fromiter((i for w in seen for i in _term_ids(w[:64])), np.int64))
+    return np.unique(np.fromiter((i for w in seen for i in _term_ids(w)), np.int64))
 
 
 @dataclass
@@ -74,7 +85,8 @@ class FactorizationMachine:
     x: np.ndarray
     w: np.ndarray
     v: np.ndarray
-    w0: float = -20.0
+    w0: float = 0.0
+    trained: bool = False
 
     def rows(self, found: np.ndarray) -> np.ndarray:
         if not len(self.ids):
@@ -88,7 +100,7 @@ class FactorizationMachine:
         return float(self.w0 + self.w[at] @ x + 0.5 * (s @ s - float(((x[:, None] * v) ** 2).sum())))
 
     def score(self, text: str | None) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.raw(self.rows(terms(text))), -30, 30)))) if self.w0 > -20 else 0.0
+        return float(1.0 / (1.0 + np.exp(-np.clip(self.raw(self.rows(terms(text))), -30, 30)))) if self.trained else 0.0
 
 
 def train(samples: list[tuple[np.ndarray, int]]) -> FactorizationMachine:
@@ -106,7 +118,7 @@ def train(samples: list[tuple[np.ndarray, int]]) -> FactorizationMachine:
     ids = np.flatnonzero(alone | _paired([t for t, _ in samples], labels, df, alone))
     idf = np.log((1 + len(samples)) / df[ids])
     rng = np.random.default_rng(7)
-    m = FactorizationMachine(ids, idf / np.log(1 + len(samples)), np.zeros(len(ids)), rng.normal(0, 0.02, (len(ids), FACTORS)), 0.0)
+    m = FactorizationMachine(ids, idf / np.log(1 + len(samples)), np.zeros(len(ids)), rng.normal(0, 0.02, (len(ids), FACTORS)), trained=True)
     at = [m.rows(t) for t, _ in samples]
     share = labels.mean()
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
@@ -171,8 +183,7 @@ def _cut(raw: np.ndarray, labels: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> FactorizationMachine:
     """Fit on a bounded sample of the labelled rows of ``docs``."""
-    small_batches(docs.sparkSession)
-    y = labels.where(col(label).isNotNull() & col(doc_id).isNotNull()).groupBy(col(doc_id).alias("i")).agg(F.max(col(label)).cast("int").alias("y"))
+    y = labels.where(col(label).isNotNull() & col(doc_id).isNotNull()).groupBy(col(doc_id).alias("i")).agg((F.max(col(label).cast("int")) > 0).cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
     if not sizes:
         return train([])
@@ -188,14 +199,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary()), b.column(2)], ["i", "t", "y"])
 
     schema = sampled.select("i", F.lit(b"").alias("t"), "y").schema
-    got = sorted((r["i"], bytes(r["t"]), r["y"]) for r in sampled.select("i", "t", "y").mapInArrow(found, schema).collect())
+    got = sorted((r["i"], bytes(r["t"]), r["y"]) for r in in_arrow(sampled.select("i", "t", "y"), found, schema).collect())
     return train([(np.frombuffer(t, np.int32).astype(np.int64), y_) for _, t, y_ in got])
 
 
 def score(df: DataFrame, model: FactorizationMachine, text: str = "text", name: str = "score") -> DataFrame:
     """Every column of ``df`` but the text, plus the score (its name made unique)."""
     spark = df.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     keep = [c for c in df.columns if c != text]
     rest = df.select(*[col(c) for c in keep])

@@ -8,17 +8,20 @@ written without their last byte and the separator is that byte.  Longer records
 
 Reader: each member (or uncompressed record) must inflate, have a version line, the stated length and the stated
 block digest.  After a failed check the reader searches for the next valid member or version line, goes on from
-there, and logs the bytes between as a quarantined gap.  The writer packs members into pieces and a fixed number of
+there, and logs the bytes between as a quarantined gap.  A member may hold several records and is searched the same way.  The writer packs members into pieces and a fixed number of
 pieces into a file, so a file (one reading task) has at most ``FILE_BYTES`` and one member more for each piece.
 
 Nulls: a null html is an empty payload, a null url an empty target; a null page id comes back as null and never is
-the response of others unless all ids of its group are null.  Rows that tie for the smallest id are all responses.
+the response of others unless all ids of its group are null.  Rows that tie for the smallest id (repeated rows) are all
+responses.  Urls and payloads may be of any length up to a row's 2 GB; empty payloads are records.  Extra columns are ignored
+whatever their names; an empty table writes a folder without records, an empty file has none.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, cut, shared_folder, small_batches
+from .common import col, cut, in_arrow, shared_folder
 
 #: Bytes of members in each file and pieces that make it up, and revisit records whose ids may be broadcast.
 FILE_BYTES, PIECES, BROADCAST_REVISITS = 16 << 20, 8, 200_000
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "kind string, file string, offset long, length long, page_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, reason string"
-_CHUNK = 1 << 16
+_VERSION = re.compile(rb"WARC/1\.[0-9]\r\n")
+#: Bytes read at a time, and bytes of an inflated member that is still read (a row holds 2 GB at most).
+_CHUNK, MOST_INFLATED = 1 << 16, 1 << 30
 
 
 def digest(data: bytes) -> str:
@@ -71,72 +76,84 @@ def member(data: bytes) -> bytes:
     return out if out[-1] == 0 else out + one(b"")
 
 
+class _Ahead:
+    """The next place of a pattern at or after an offset; looking from growing offsets costs one pass for each pattern."""
+
+    def __init__(self, content: bytes):
+        self.content, self.found = content, {}
+
+    def next(self, pattern: bytes, at: int) -> int:
+        """The place, or the content's length."""
+        if self.found.get(pattern, -1) < at:
+            got = self.content.find(pattern, at)
+            self.found[pattern] = got if got >= 0 else len(self.content)
+        return self.found[pattern]
+
+
 def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
     """The member at ``at`` and the offset after it."""
-    z, out, pos = zlib.decompressobj(31), [], at
+    z, out, pos, size = zlib.decompressobj(31), [], at, 0
     while not z.eof and pos < len(data):
         piece = data[pos : pos + _CHUNK]
         out.append(z.decompress(piece))
-        pos += len(piece)
+        pos, size = pos + len(piece), size + len(out[-1])
+        if size > MOST_INFLATED:
+            raise ValueError("a member of more bytes than a row can hold")
     if not z.eof:
         raise ValueError("truncated member")
     return b"".join(out), pos - len(z.unused_data)
 
 
-def _parse(raw: bytes | memoryview, limit: int) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record that ``raw`` starts with; raises when a check fails."""
-    size, end = _CHUNK, -1
-    head = bytes(raw[:size])
-    if head.startswith(b"WARC/1."):
-        while (end := head.find(b"\r\n\r\n")) < 0 and size < len(raw):  # urls may be of any length
-            size *= 4
-            head = bytes(raw[:size])
-    if end < 0:
+def _parse(content: bytes, at: int, ahead: _Ahead) -> tuple[dict[str, str], bytes, int]:
+    """Headers and block of the record at ``at``, and the offset after it; raises when a check fails."""
+    end = ahead.next(b"\r\n\r\n", at)  # urls may be of any length
+    if not _VERSION.match(content, at) or end == len(content):
         raise ValueError("no version line or header end")
-    pairs = [x.partition(": ") for x in head[:end].decode("utf-8").split("\r\n")[1:]]
+    if ahead.next(b"\r\nWARC/1.", at) < end:
+        raise ValueError("header lines")
+    pairs = [x.partition(": ") for x in content[at:end].decode("utf-8").split("\r\n")[1:]]
     fields = {k: v for k, _, v in pairs}
     if any(not sep for _, sep, _ in pairs) or any(sum(k == must for k, _, _ in pairs) != 1 for must in ("WARC-Type", "WARC-Record-ID", "Content-Length")):
         raise ValueError("header lines")
     size = int(fields["Content-Length"])
-    block = bytes(raw[end + 4 : end + 4 + size])
-    if size < 0 or len(block) != size or end + 8 + size > limit or bytes(raw[end + 4 + size : end + 8 + size]) != b"\r\n\r\n":
+    if size < 0 or content[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
         raise ValueError("block length")
+    block = content[end + 4 : end + 4 + size]
     if fields.get("WARC-Block-Digest", "") not in ("", f"sha1:{digest(block)}"):
         raise ValueError("block digest")
     return fields, block, end + 8 + size
 
 
-def _record_at(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """The valid record at ``at`` and the offset after it; None for an empty member (with its end as block)."""
-    if bytes(data[at : at + 2]) == b"\x1f\x8b":
-        raw, end = _inflate(data, at)
-        if not raw:
-            return {}, b"", end
-        fields, block, used = _parse(raw, len(raw))
-        if used != len(raw):
-            raise ValueError("bytes after the record")
-        return fields, block, end
-    fields, block, used = _parse(data[at:], len(data) - at)
-    return fields, block, at + used
+def _records_at(content: bytes, at: int, ahead: _Ahead, members: bool) -> tuple[list[tuple], int]:
+    """Records (and gaps) of the valid member or record at ``at``, and the offset after it; raises when there is none."""
+    if members and content.startswith(b"\x1f\x8b", at):
+        raw, end = _inflate(memoryview(content), at)
+        inside = list(salvage(raw, False))
+        if raw and not any(kind == "record" for kind, *_ in inside):
+            raise ValueError(inside[0][-1])
+        said = lambda a, n, why: f"bytes {a} to {a + n} of the member: {why}" if why else ""
+        return [(kind, at, end - at, fields, block, said(a, n, why)) for kind, a, n, fields, block, why in inside], end
+    fields, block, end = _parse(content, at, ahead)
+    return [("record", at, end - at, fields, block, "")], end
+
 
+def salvage(content: bytes, members: bool = True) -> Iterator[tuple[str, int, int, dict[str, str], bytes, str]]:
+    """(kind, offset, length, fields, block, reason) of each record and each quarantined gap, in order.
 
-def salvage(content: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes, str]]:
-    """(kind, offset, length, fields, block, reason) of each record and each quarantined gap, in order."""
-    data, at, bad, reason = memoryview(content), 0, None, ""
+    A member may hold several records; what does not parse inside of it is a gap at the member's offset."""
+    ahead, at, bad, reason = _Ahead(content), 0, None, ""
     while at < len(content):
         try:
-            fields, block, end = _record_at(data, at)
+            found, end = _records_at(content, at, ahead, members)
         except (ValueError, KeyError, zlib.error) as e:
             if bad is None:
                 bad, reason = at, str(e)
-            found = [x for x in (content.find(b"\x1f\x8b\x08", at + 1), content.find(b"WARC/1.", at + 1)) if x >= 0]
-            at = min(found, default=len(content))
+            at = min(ahead.next(magic, at + 1) for magic in ((b"\x1f\x8b\x08", b"WARC/1.") if members else (b"WARC/1.",)))
             continue
         if bad is not None:
             yield "gap", bad, at - bad, {}, b"", reason
             bad = None
-        if fields:
-            yield "record", at, end - at, fields, block, ""
+        yield from found
         at = end
     if bad is not None:
         yield "gap", bad, len(content) - bad, {}, b"", reason
@@ -168,7 +185,6 @@ def write_warc(pages: DataFrame, path: str | None = None, page_id: str = "page_i
     ``BROADCAST_REVISITS`` (counted first), so html is written where it is read; beyond that it is shuffled once.
     """
     spark = pages.sparkSession
-    small_batches(spark, 64)
     path = path or f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     body = F.coalesce(col(html), F.lit(""))
     sha = F.concat(F.sha1(body.cast("binary")), F.lit(":"), F.octet_length(body).cast("string"))
@@ -195,14 +211,13 @@ def write_warc(pages: DataFrame, path: str | None = None, page_id: str = "page_i
         if held:
             yield value()
 
-    lines = dealt.mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines = in_arrow(dealt, members, "value binary", 64).select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", "\u0000").option("compression", "none").option("maxRecordsPerFile", PIECES).text(path)
     return path
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Every record and gap of the archives in a folder (schema ``RECORD``)."""
-    small_batches(spark, 1)  # a row is a whole file
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,4 +230,4 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     part = rows[at : at + 1000]
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(types)], names)
 
-    return files.mapInArrow(read, RECORD)
+    return in_arrow(files, read, RECORD, 1)  # a row is a whole file

@@ -95,28 +95,28 @@ def mix(docs):
 
 
 def tokens(text):
-    return [w for w in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", (text or "").lower()) if w]
+    spaced = "".join(f" {c} " if 0x3400 <= ord(c) <= 0x9FFF else c for c in (text or "").lower())
+    return [w for w in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", spaced) if w]
 
 
 def overlap(doc, item, least=10):
-    """Best stretch over all diagonals that hold a run of the masks: (equal words) or 0."""
-    best = 0
+    """Most equal words of an overlap over all diagonals that hold a run of the masks, or 0."""
+    best, least = 0, min(least, len(item))
+    masks = ("111111", "11011011", "1100110011") + ("1" * len(item),) * (len(item) < 6)
     for d in range(-len(item), len(doc)):
         lo, hi = max(0, -d), min(len(item), len(doc) - d)
         same = [doc[i + d] == item[i] for i in range(lo, hi)]
-        seeded = any(all(same[i + k] for k, c in enumerate(m) if c == "1") for m in ("111111", "11011011", "1100110011") for i in range(len(same) - len(m) + 1))
+        seeded = any(all(same[i + k] for k, c in enumerate(m) if c == "1") for m in masks for i in range(len(same) - len(m) + 1))
         if not seeded:
             continue
-        score = run = n = top = got = 0
-        for x in same:
+        score = n = top = got = 0
+        for x in [*same, *[False] * len(same)]:  # the tail closes the last stretch
             score, n = score + (1 if x else -2), n + x
             if score <= 0:
-                score = n = 0
+                best = max(best, got if got >= least else 0)
+                score = n = top = got = 0
             elif score > top:
                 top, got = score, n
-        run = got
-        if run >= least:
-            best = max(best, run)
     return best
 
 

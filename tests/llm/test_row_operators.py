@@ -163,10 +163,45 @@ def test_language(spark):
 
 
 def test_language_blocks(monkeypatch):
-    text = "Ærlig talt, this is a TEXT of some length. " * 40
-    whole = langid.counts(text)
-    monkeypatch.setattr(langid, "BLOCK", 100)
-    assert np.abs(langid.counts(text) - whole).sum() < 0.2 * whole.sum()  # blank pairs at block ends aside
+    """Counts of a text do not depend on its blocks, and are those of a plain loop."""
+    rng = random.Random(1)
+    texts = ["Ærlig talt, this is a TEXT of some length. " * 40, "x", "  a  ", "", "12 3", "a1b", "😀 é 中文 𐐷𐐷"] + ["".join(rng.choice("ab é.1\n中") for _ in range(rng.randint(1, 60))) for _ in range(200)]
+
+    def plain(text):
+        x = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        x = [32 if c == " " else ord(c) for i, c in enumerate(x) if c != " " or i == 0 or x[i - 1] != " "]
+        out, m = np.zeros(langid.DIMS, np.int64), 2**64
+        for i in range(1, len(x)):
+            two = lambda k: (x[k - 1] * 0x9E3779B97F4A7C15 + x[k] * 0xC2B2AE3D27D4EB4F) % m
+            out[two(i) >> (64 - 13)] += 1
+            if i > 1:
+                out[(two(i - 1) * 0x165667B19E3779F9 + x[i] * 0x85EBCA77C2B2AE63) % m >> (64 - 13)] += 1
+        return out if any(c.isalpha() for c in text.lower()) else None
+
+    want = [plain(t) for t in texts]
+    for block in (1 << 20, 100, 7, 1):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        for t, w in zip(texts, want, strict=True):
+            got = langid.counts(t)
+            assert (got is None) == (w is None) and (w is None or (got == w).all())
+
+
+def test_language_against_dense_arrays(spark):
+    """Predictions by a re-computation of TF-IDF, cosines and rejection with dense arrays, from the model's own centroids."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.fit(docs)
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    rows = [(r["doc_id"], langid.counts(r["text"])) for r in docs.collect()]
+    ids, x = [i for i, c in rows if c is not None], np.array([c for _, c in rows if c is not None], float)
+    w = np.sqrt(x) * model.idf.astype(float)
+    cosines = (w / np.linalg.norm(w, axis=1, keepdims=True)) @ model.centroids.astype(float).T
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5) and len(model.owner) == len(model.centroids)
+    train = np.array([c for r in docs.where("lang is not null and text is not null").collect() if (c := langid.counts(r["text"])) is not None])
+    assert np.allclose(model.idf, np.log((1 + len(train)) / (1 + (train > 0).sum(axis=0))) + 0.1, atol=1e-4)
+    for i, c in zip(ids, cosines, strict=True):
+        assert got[i]["score"] == pytest.approx(min(1, c.max()), abs=1e-5)
+        near = {model.owner[k] for k in np.flatnonzero(c > c.max() - 1e-5)}
+        assert got[i]["lang_pred"] in near and got[i]["rejected"] == (got[i]["score"] < model.limit[got[i]["lang_pred"]])
 
 
 def test_toxicity_held_out(spark):
@@ -206,13 +241,54 @@ def test_toxicity_learns_pairs_of_words_with_equal_rates():
     assert min(m.score("waa grumble marsian wbb"), m.score("waa wbb")) > 0.7 > max(m.score("waa grumble wbb"), m.score("waa marsian wbb"))
 
 
+def test_toxicity_scores_against_a_plain_loop(spark):
+    """Scores by the definition, pair by pair, from the model's own weights."""
+    import zlib
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model.trained and len(model.ids)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    place = {int(h): k for k, h in enumerate(model.ids)}
+
+    def hashes(text):
+        out = set()
+        for w in __import__("re").findall(r"[^\W\d_]+", (text or "").lower()):
+            forms = ["w" + w] + [f"{n}{w[:n]}" for n in (4, 5) if len(w) >= n]
+            forms += ["g" + w[i : i + 4] for i in range(len(w) - 3)] if len(w) > 24 else []
+            out |= {zlib.crc32(f.encode()) % toxicity.TERMS for f in forms}
+        return sorted(out)
+
+    for r in docs.collect()[:300]:
+        at = [place[h] for h in hashes(r["text"]) if h in place]
+        raw = model.w0 + sum(model.w[i] * model.x[i] for i in at)
+        raw += sum(float(model.v[i] @ model.v[j]) * model.x[i] * model.x[j] for k, i in enumerate(at) for j in at[k + 1 :])
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-np.clip(raw, -30, 30))), abs=1e-9)
+
+
+def test_toxicity_terms_are_whole_words():
+    long = "ab" * 50
+    assert set(toxicity.terms(long + "c")) != set(toxicity.terms(long + "d"))
+    glued = "these" * 6 + "badword" + "those" * 6  # a run without spaces still shows its parts
+    assert {toxicity.zlib.crc32(b"g" + g) % toxicity.TERMS for g in (b"badw", b"adwo", b"word")} <= set(toxicity.terms(glued).tolist())
+    block = toxicity.BLOCK
+    assert set(toxicity.terms("x" * (block - 3) + " tail²end")) == set(toxicity.terms("x" * (block - 3))) | set(toxicity.terms("tail²end"))
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(2, 1), (2, 0), (5, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd(spark), labels)
     out = toxicity.score(odd(spark), model)
-    assert out.columns[-1] == "_score" and {r["_score"] for r in out.collect()} == {0.0}
+    assert not model.trained and out.columns[-1] == "_score" and {r["_score"] for r in out.collect()} == {0.0}
     assert toxicity.score(odd(spark).where("false"), model).collect() == []
+    assert toxicity.fit(odd(spark).where("false"), labels).trained is False
     assert len(toxicity.terms("Ärger Ärger 12")) == 3 and toxicity.terms(None).size == 0
+    # the same rows with a model that was trained
+    rows = [(i, " ".join(["filler", "words"] + ["nasty"] * (i % 2)), None, None) for i in range(40)]
+    trained = toxicity.fit(odd(spark, rows), spark.createDataFrame([(i, (i % 2) * 3) for i in range(40)], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["_score"] for r in toxicity.score(odd(spark), trained).collect()}
+    empty = trained.score(None)
+    assert trained.trained and got[1] == got[2] == got[3] == got[4] == empty < 0.7 <= trained.score("NASTY words")
 
 
 def test_sharding(spark):

@@ -74,14 +74,18 @@ def test_components(spark):
 
 
 def planted(rng):
-    """(documents, items): quotes whole, in part, with every fourth or fifth word changed, and too short."""
+    """(documents, items): quotes whole, in part, with every fourth or fifth word changed, too short, and of short items."""
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 7)))
-    items = [(i, " ".join(word() for _ in range(30))) for i in range(8)] + [(8, None), (9, "short one"), (10, "")]
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(8)] + [(8, None), (9, "short one"), (10, ""), (11, " ".join(word() for _ in range(9))), (None, "an item of eight words without any id"), (13, "二〇一九年世界大会在哪里举行")]
     docs, filler = [], lambda n: " ".join(word() for _ in range(n))
     for i in range(8):
         w = items[i][1].split()
         for k, quote in enumerate((w, w[5:22], [x if j % 4 else word() for j, x in enumerate(w)], [x if j % 5 else word() for j, x in enumerate(w)], w[:7], [])):
             docs.append((10 * i + k, f"{filler(40)}. {', '.join(quote).title()}! {filler(25)}"))
+    short = [items[9][1], "short", items[11][1], " ".join(items[11][1].split()[:8]), items[12][1], "他问二〇一九年世界大会在哪里举行呢"]
+    docs += [(90 + k, f"{filler(9)} {x}, {filler(9)}") for k, x in enumerate(short)]
+    w = items[0][1].split()  # two stretches of one diagonal: the better-scoring one is too short
+    docs.append((99, " ".join([*w[:9], *"vwxyz", *w[14:18], "v", *w[19:25], "w"])))
     return docs, items
 
 
@@ -91,9 +95,9 @@ def test_decontamination_against_brute_force(spark):
     want = {(d, i): n for d, t in docs for i, u in items if (n := brute.overlap(brute.tokens(t), brute.tokens(u)))}
     got = decontam.contaminated(df, bench).collect()
     assert {(r["doc_id"], r["item_id"]): r["n_matched"] for r in got} == want
-    assert {(10 * i + k, i) for i in range(8) for k in range(4)} == set(want)
+    assert {(10 * i + k, i) for i in range(8) for k in range(4)} | {(90, 9), (92, 11), (94, None), (95, 13), (99, 0)} == set(want)
     joined = decontam.contaminated(df, bench, broadcast_chars=0).collect()
-    assert sorted(joined) == sorted(got)
+    assert sorted(map(str, joined)) == sorted(map(str, got))
     clean = {d for d, _ in docs} - {d for d, _ in want}
     for limit in (decontam.BROADCAST_CHARS, 0):
         assert {r["doc_id"] for r in decontam.remove_contaminated(df, bench, broadcast_chars=limit).collect()} == clean
@@ -103,8 +107,10 @@ def test_decontamination_odd_rows(spark):
     docs, items = planted(random.Random(2))
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = [(1, None, None, None), (2, "", None, None), (3, LONG, None, None), (4, docs[0][1], None, None), (4, docs[0][1], None, None), (None, docs[6][1], None, None)]
-    got = decontam.contaminated(odd(spark, rows), bench).collect()
-    assert sorted(((r["doc_id"] or -1), r["item_id"]) for r in got) == [(-1, 1), (4, 0)]
+    bench = bench.union(bench.where("item_id = 0")).union(spark.createDataFrame([(0, items[1][1])], bench.schema))  # repeated rows and ids
+    for limit in (decontam.BROADCAST_CHARS, 0):
+        got = decontam.contaminated(odd(spark, rows), bench, broadcast_chars=limit).collect()
+        assert sorted(((r["doc_id"] or -1), r["item_id"]) for r in got) == [(-1, 0), (-1, 1), (4, 0)]
     kept = decontam.remove_contaminated(odd(spark, rows), bench)
     assert kept.columns == odd(spark).columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3]
     none = bench.where("false")
@@ -206,6 +212,31 @@ def test_warc_salvage():
     assert big[-1] == 0 and gz[0][-1] == 0
 
 
+def test_warc_members_of_several_records():
+    import gzip
+
+    records = [warc.record(i, f"http://h/{i}", f"<p>{i}</p>".encode() * 9, None, False) for i in range(5)]
+    one = gzip.compress(b"".join(records[:2]) + b"junk" + records[2]) + gzip.compress(records[3]) + gzip.compress(b"") + records[4]
+    got = list(warc.salvage(one))
+    assert [int(f["X-Page-ID"]) for k, _, _, f, _, _ in got if k == "record"] == list(range(5))
+    gaps = [(at, why) for k, at, _, _, _, why in got if k == "gap"]
+    assert [at for at, _ in gaps] == [0] and gaps[0][1].startswith("bytes ")
+    assert [k for k, *_ in warc.salvage(gzip.compress(b"nothing") + records[0])] == ["gap", "record"]
+
+
+def test_warc_damage_is_read_in_linear_time(monkeypatch):
+    import time
+
+    monkeypatch.setattr(warc, "MOST_INFLATED", 1 << 16)
+    good = warc.record(1, "u", b"x", None, False)
+    bomb = warc.member(b"x" * (1 << 20))
+    assert [k for k, *_ in warc.salvage(bomb + good)] == ["gap", "record"]
+    t = time.time()
+    for junk in (b"WARC/1.0\r\nno header\r\n", b"WARC/1.", b"\x1f\x8b\x08 "):
+        assert [k for k, *_ in warc.salvage(junk * 100_000 + good)] == ["gap", "record"]
+    assert time.time() - t < 20
+
+
 def test_warc_long_urls(spark, tmp_path):
     rows = [(1, "data:," + "%z" * 60_000, "<p>a</p>"), (2, "http://h/?" + "q" * 300_000, "<p>a</p>"), (3, "http://h/3", "<p>b</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
