@@ -12,28 +12,34 @@ closed form: in order of (cap / weight), the first sources are capped and the re
 Scale: words are counted in one native pass and checkpointed as narrow rows.  Running sums are two-level:
 the shuffle order is cut into buckets by leading hex digits, sums of (source, bucket) give each bucket its
 start, and rows add up inside their bucket, so a source with a third of all rows is spread over
-thousands of tasks.  The global cut is found the same way over bins of finish time, then inside one bin.
-Per-source tables are one row per source; only they meet in a single task.  Within a source the taken documents of a
-pass are a prefix of its shuffle order, so the mixed rows follow from one cut for each source and pass: texts are
-judged where they are read and never shuffled (beyond ``BROADCAST_SOURCES`` sources, joined by a shuffle).
-
-Nulls: a null text has size 0 and is never taken; a null source is a source.  Repeated rows are documents
-of their own.  An empty table gives an empty result.
+thousands of tasks.  Turns (a document's passes, narrow rows) are sorted by finish time over ranges; sums of the ranges
+tell in which one the budget ends, which is cut into ranges again while it has more than ``EDGE_ROWS`` rows, and the rest
+is summed up row by row: the first turn beyond the budget decides for all.  Per-source tables are one row per source; they,
+sums of ranges and one edge are all that meets in a single task.  ``mixed_rows`` emits the mix in order of finish: texts are
+shuffled to their bucket for their finish time, and those taken once more by the sort.
+
+Nulls: a null or empty text has size 0 and is never taken; a null source is a source; a null id has the key of an empty
+one.  Very long texts count whole.  Ties: equal finish times go by key, source, id and checksum; repeated rows are
+documents of their own that follow each other.  Extra columns are kept by ``mixed_rows`` whatever their names.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import col, cut, join_small, n_words
 
 WEIGHTS = (5, 2, 1)
 SHARE, PASSES = 1.5, 2
-#: Hex digits of the shuffle order that make a bucket, bins of finish time up to 1 (and beyond).
-BUCKET_DIGITS, BINS = 3, 4096
-#: Sources whose cuts may be broadcast.
-BROADCAST_SOURCES = 20_000
+#: Hex digits of the shuffle order that make a bucket; rows of a range of turns that are summed in one task, the most ranges.
+BUCKET_DIGITS, EDGE_ROWS, MOST_RANGES = 3, 10_000, 10_000
+#: Rows of the buckets' table that may be broadcast to the texts.
+BROADCAST_STARTS = 200_000
+#: The order of turns.
+ORDER = ("f", "key", "tag", "doc_id", "crc", "p")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -52,96 +58,98 @@ def targets(sizes: DataFrame) -> DataFrame:
     return t.withColumn("level", level).select("source", "source_size", target.alias("target"))
 
 
+def _tag(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
+
+
 def _narrow(df: DataFrame, doc_id: str, text: str, source: str) -> list[Column]:
     """What the order of a document depends on: ``doc_id, tag, size, crc, key``; the tag lets null sources meet."""
     key = F.md5(F.coalesce(col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    tag = F.coalesce(F.concat(F.lit("="), col(source)), F.lit("null"))
-    return [col(doc_id).alias("doc_id"), tag.alias("tag"), n_words(col(text)).alias("size"), F.crc32(F.coalesce(col(text), F.lit("")).cast("binary")).alias("crc"), key.alias("key")]
+    return [col(doc_id).alias("doc_id"), _tag(col(source)).alias("tag"), n_words(col(text)).alias("size"), F.crc32(F.coalesce(col(text), F.lit("")).cast("binary")).alias("crc"), key.alias("key")]
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per row: ``doc_id, size, source_size, target, taken`` and ``finish``, the first pass's virtual time."""
-    rows = cut(df.select(*_narrow(df, doc_id, text, source), col(source).alias("source")))
-    taken = sum(F.when(F.col(f"take{p}"), F.col("size")).otherwise(0) for p in range(PASSES))
-    return _decided(rows).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("f0").alias("finish"))
+    queue, _, stop = _decided(df, doc_id, text, source)
+    taken = sum(F.when(_taken(p, stop, queue), F.col("size")).otherwise(0) for p in range(PASSES))
+    return queue.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("f0").alias("finish"))
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
 
 
-def _decided(rows: DataFrame) -> DataFrame:
-    """Narrow rows to those plus ``source_size, target``, the finish times ``f*`` and what each pass takes, ``take*``."""
-    rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+def _queue(rows: DataFrame, starts: DataFrame, n: int, *tie: str) -> DataFrame:
+    """Adds ``source_size, target`` and the finish times ``f*`` of each pass (null: never taken) to bucketed rows."""
+    inside = F.sum("size").over(Window.partitionBy("tag", "bucket").orderBy("key", "doc_id", "size", "crc", *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    queue = join_small(rows, starts, ["tag", "bucket"], n, BROADCAST_STARTS, "inner").withColumn("end", F.col("start") + inside)
+    live = (F.col("size") > 0) & (F.col("target") > 0)
+    return queue.withColumns({f"f{p}": F.when(live, (F.col("end") + p * F.col("source_size")) / F.col("target")) for p in range(PASSES)})
+
+
+def _decided(df: DataFrame, doc_id: str, text: str, source: str) -> tuple[DataFrame, tuple[DataFrame, int], Row | None]:
+    """The queue of all documents as narrow rows, the buckets' starts (and their number), and the first turn not taken."""
+    rows = _bucketed(cut(df.select(*_narrow(df, doc_id, text, source), col(source).alias("source"))))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    goal = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")))
+    goal = cut(targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size"))))
     start = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = buckets.withColumn("start", F.coalesce(start, F.lit(0)))
-    null_safe = lambda a, b: a["source"].eqNullSafe(b["source"])
-    starts = starts.join(goal, null_safe(starts, goal)).select(starts["source"], "bucket", "start", "source_size", "target")
+    starts = starts.join(goal, starts["source"].eqNullSafe(goal["source"])).select(_tag(starts["source"]).alias("tag"), "bucket", "start", "source_size", "target")
     starts = cut(starts)
-    tag = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    rows, starts = rows.drop("source"), starts.withColumn("tag", tag).drop("source")  # dealt by (source, bucket) for the window
-    inside = F.sum("size").over(Window.partitionBy("tag", "bucket").orderBy("key", "doc_id", "size", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    queue = rows.join(starts, ["tag", "bucket"]).withColumn("end", F.col("start") + inside)
-    live = (F.col("size") > 0) & (F.col("target") > 0)
-    finish = [F.when(live, (F.col("end") + p * F.col("source_size")) / F.col("target")) for p in range(PASSES)]
-    queue = cut(queue.select("doc_id", "size", "source_size", "target", "tag", "key", "crc", *[f.alias(f"f{p}") for p, f in enumerate(finish)]))
-
-    budget = F.sum("target")
-    total = goal.agg(budget).first()[0] or 0.0
-    bin_of = lambda f: F.least(F.floor(F.col(f) * BINS), F.lit(4 * BINS)).cast("int")
-    turns = queue.select("doc_id", "size", "tag", "key", "crc", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"f{p}").alias("f")) for p in range(PASSES)])).alias("t"))
-    turns = turns.select("doc_id", "size", "tag", "key", "crc", "t.p", "t.f").where("f is not null").withColumn("bin", bin_of("f"))
-    bins = turns.groupBy("bin").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.orderBy("bin"))
-    last = bins.withColumn("upto", upto).where(F.col("upto") > total).agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("before")), "bin").alias("x")).select("x.*").first()
-    if last is None or last["bin"] is None:
-        return queue.withColumns({f"take{p}": F.col(f"f{p}").isNotNull() for p in range(PASSES)})
-    # inside the bin where the budget ends, the exact order decides
-    order = Window.orderBy("f", "key", "tag", "doc_id", "crc", "p")
-    edge = turns.where(F.col("bin") == last["bin"]).withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.lit(last["before"]))
-    stop = edge.where(F.col("upto") <= total).agg(F.max(F.struct("f", "key", "tag", "doc_id", "crc", "p")).alias("x")).first()["x"]
-    take, types = {}, dict(edge.dtypes)
-    for p in range(PASSES):
-        at = F.struct(F.col(f"f{p}").alias("f"), "key", "tag", "doc_id", "crc", F.lit(p).alias("p"))
-        inside_edge = F.lit(False) if stop is None else at <= F.struct(*[F.lit(stop[k]).cast(types[k]).alias(k) for k in ("f", "key", "tag", "doc_id", "crc", "p")])
-        takes = (bin_of(f"f{p}") < last["bin"]) | ((bin_of(f"f{p}") == last["bin"]) & inside_edge)
-        take[f"take{p}"] = F.coalesce(takes, F.lit(False))
-    return queue.withColumns(take)
-
-
-def _cuts(decided: DataFrame) -> DataFrame:
-    """One row per source (``tag``): for each pass the last place taken ``end*``, and of the rows at that very place
-    (repeated rows) how many there are, ``n*``, and how many are taken, ``m*``."""
-    place = F.struct("key", "doc_id", "size", "crc")
-    ends = cut(decided.groupBy("tag").agg(*[F.max(F.when(F.col(f"take{p}"), place)).alias(f"end{p}") for p in range(PASSES)]))
-    rows = join_small(decided, ends, ["tag"], ends.count(), BROADCAST_SOURCES, "inner")
-    at = [F.coalesce(place == F.col(f"end{p}"), F.lit(False)) for p in range(PASSES)]
-    ties = [F.count_if(at[p]).alias(f"n{p}") for p in range(PASSES)] + [F.count_if(at[p] & F.col(f"take{p}")).alias(f"m{p}") for p in range(PASSES)]
-    return cut(rows.groupBy("tag").agg(*ties).join(ends, "tag").withColumnRenamed("tag", "of"))
+    n = starts.count()
+    queue = cut(_queue(rows.drop("source"), starts, n).select("doc_id", "size", "source_size", "target", "tag", "key", "crc", *[f"f{p}" for p in range(PASSES)]))
+    # one row per source; summed in a fixed order, so reruns agree to the last bit
+    total = goal.agg(F.aggregate(F.array_sort(F.collect_list("target")), F.lit(0.0), lambda a, x: a + x).alias("x")).first()["x"] or 0.0
+    return queue, (starts, n), _first_beyond(_turns(queue), total)
+
+
+def _turns(queue: DataFrame, *keep: str) -> DataFrame:
+    passes = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"f{p}").alias("f")) for p in range(PASSES)])
+    return queue.select("doc_id", "size", "tag", "key", "crc", F.explode(passes).alias("t"), *keep).select("doc_id", "size", "tag", "key", "crc", "t.p", "t.f", *keep).where("f is not null")
+
+
+def _first_beyond(turns: DataFrame, total: float) -> Row | None:
+    """The first turn in global order that would exceed the budget; None when all fit."""
+    turns, before = cut(turns), 0
+    n = turns.count()
+    while n > EDGE_ROWS:
+        dealt = cut(turns.repartitionByRange(min(MOST_RANGES, n // EDGE_ROWS + 1), *ORDER).withColumn("part", F.spark_partition_id()))
+        sums = dealt.groupBy("part").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
+        sums = sums.withColumn("upto", F.lit(before) + F.sum("words").over(Window.orderBy("part")))
+        edge = sums.where(F.col("upto") > total).orderBy("part").first()
+        if edge is None:
+            return None
+        before, turns = edge["upto"] - edge["words"], dealt.where(F.col("part") == edge["part"]).drop("part")
+        if edge["rows"] == n:
+            break
+        n = edge["rows"]
+    upto = F.lit(before) + F.sum("size").over(Window.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return turns.withColumn("upto", upto).where(F.col("upto") > total).agg(F.min(F.struct(*ORDER)).alias("x")).first()["x"]
+
+
+def _taken(p: int, stop: Row | None, queue: DataFrame) -> Column:
+    """Whether the mix takes pass ``p`` of a row of a queue."""
+    f = F.col(f"f{p}")
+    if stop is None:
+        return f.isNotNull()
+    types = dict(queue.dtypes) | {"f": "double", "p": "int"}
+    at = F.struct(f.alias("f"), *ORDER[1:-1], F.lit(p).alias("p"))
+    return f.isNotNull() & (at < F.struct(*[F.lit(stop[k]).cast(types[k]).alias(k) for k in ORDER]))
+
+
+def _no_map(t: T.DataType) -> bool:
+    return not isinstance(t, (T.MapType, T.VariantType)) and all(_no_map(f.dataType) for f in getattr(t, "fields", [])) and (not isinstance(t, T.ArrayType) or _no_map(t.elementType))
 
 
 def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: rows of ``df`` as often as they are taken, all columns as they were.
+    """The mix itself: rows of ``df`` as often as they are taken, all columns as they were, in order of finish time.
 
-    Where a cut falls among repeated rows (equal id, source and text), the first by a hash of the whole row are taken.
+    Repeated rows (equal id, source and text) follow each other by a hash of the whole row (its maps left out).
     """
-    narrow = _narrow(df, doc_id, text, source)
-    cuts = _cuts(_decided(cut(df.select(*narrow, col(source).alias("source")))))
-    rows = df.select(F.struct("*").alias("row"), *narrow).withColumnRenamed("tag", "of")
-    rows = join_small(rows, cuts, ["of"], cuts.count(), BROADCAST_SOURCES, "inner")
-    place = F.struct("key", "doc_id", "size", "crc")
-
-    def copies(rank: Column) -> Column:
-        taken = [(place < F.col(f"end{p}")) | ((place == F.col(f"end{p}")) & (rank <= F.col(f"m{p}"))) for p in range(PASSES)]
-        return F.when(F.col("size") > 0, sum(F.coalesce(t.cast("int"), F.lit(0)) for t in taken)).otherwise(0)
-
-    def out(some: DataFrame) -> DataFrame:
-        return some.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
-
-    split = [F.col(f"m{p}") < F.col(f"n{p}") for p in range(PASSES)]
-    if not cuts.where(split[0] | split[1]).take(1):
-        return out(rows.withColumn("copies", copies(F.lit(1))))
-    tied = F.lit(False)
-    for p in range(PASSES):
-        tied = tied | F.coalesce(split[p] & (place == F.col(f"end{p}")), F.lit(False))
-    rank = F.row_number().over(Window.partitionBy("of", "key", "doc_id", "size", "crc").orderBy(F.xxhash64("row")))
-    ranked = rows.where(tied).withColumn("rank", rank).withColumn("copies", copies(F.col("rank")))
-    return out(rows.where(~tied).withColumn("copies", copies(F.lit(1)))).unionByName(out(ranked))
+    _, (starts, n), stop = _decided(df, doc_id, text, source)
+    names = [f"r{i}" for i in range(len(df.columns))]
+    tie = F.xxhash64(*[col(f.name) for f in df.schema if _no_map(f.dataType)])
+    rows = df.select(*[col(c).alias(r) for c, r in zip(df.columns, names, strict=True)], *_narrow(df, doc_id, text, source), tie.alias("tie")).where("size > 0")
+    queue = _queue(_bucketed(rows), starts, n, "tie")
+    queue = queue.withColumns({f"f{p}": F.when(_taken(p, stop, queue), F.col(f"f{p}")) for p in range(PASSES)})
+    return _turns(queue, *names).orderBy(*ORDER).select(*names).toDF(*df.columns)

@@ -4,26 +4,32 @@ A document's shard depends on its id and the number of shards alone, without a r
 shard, rows move only into the new one (about 1/(n+1) of them).  Slots number a shard's rows from 0
 without gaps, in the order of (id, size, text checksum).
 
-Scale: ids map to shards row by row.  For slots, quantiles of the ids cut each shard into ranges; counts of
-(shard, range) give every range its first slot, and rows are numbered inside ranges in parallel.  The cuts
-only spread work: slots do not depend on them.
-
-Nulls: a null id hashes as the empty text and comes first; a null text has size 1 and checksum 0.
-Repeated rows each get a slot.  An empty table gives an empty result; extra columns are ignored.
+Scale: ids map to shards row by row.  For slots, narrow rows are sorted once by (shard, id, size, checksum) over ranges
+that Spark samples, for ids of any type; a row's place in its range, less that of its shard's first row there, plus the
+shard's rows in earlier ranges, is its slot.  Only these counts, one for each shard and range, meet in a window.  Ranges
+only spread work: slots do not depend on them.  Equal rows are told apart by a number, so an id that repeats without
+end spreads over ranges as well.
+
+Nulls: a null id hashes as the empty text and comes first; a null or empty text has size 1 and checksum 0.  Very long
+texts count whole.  Ties (repeated rows) each get a slot; which of them gets which cannot be told from the result.
+An empty table gives an empty result; extra columns are ignored, or kept by ``sharded``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, ship
+from .common import col, cut, fresh, ship, stored
 
 SHARDS = 8
-#: Rows of a range aimed at, and the most ranges of all shards together.
-RANGE_ROWS, MOST_RANGES = 1_000, 10_000
+ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+#: Rows of a range aimed at, and the most ranges.
+RANGE_ROWS, MOST_RANGES = 50_000, 10_000
 #: Fixed value: the multiplier of the published algorithm's linear congruential generator.
 _LCG = np.uint64(2862933555777941757)
 
@@ -59,27 +65,37 @@ def shard_of(doc_id: Column, n: int) -> Column:
 
 def assign(df: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``."""
+    rows = cut(_keyed(df, shards, doc_id, text))
+    return _slots(rows, rows.count(), cut).select("doc_id", *ADDED)
+
+
+def sharded(df: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The corpus itself, dealt: every column of ``df`` and those of ``assign`` but the id (names made unique), sorted by shard
+    and slot over ranges, so each file written from it holds a run of one or few shards.  Texts are shuffled once and
+    stored as Parquet in the shared folder (columns need types that Parquet has)."""
+    names = [f"r{i}" for i in range(len(df.columns))]
+    rows = _keyed(df, shards, doc_id, text, *[col(c).alias(n) for c, n in zip(df.columns, names, strict=True)])
+    out = _slots(rows, df.count(), stored)
+    return out.select(*names, *ADDED).toDF(*df.columns, *fresh(df, *ADDED))
+
+
+def _keyed(df: DataFrame, shards: int, doc_id: str, text: str, *keep: Column) -> DataFrame:
     ship(df.sparkSession)
     whole = F.coalesce(col(text), F.lit(""))
-    rows = df.select(col(doc_id).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"))
-    rows = cut(rows.withColumn("shard", shard_of(F.col("doc_id"), shards)).withColumn("grown_shard", shard_of(F.col("doc_id"), shards + 1)))
-    n = rows.count()
-    ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS) // shards)
-    cuts: list = []
-    if ranges > 1 and dict(rows.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
-        got = rows.select(F.percentile_approx("doc_id", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges)).first()[0]
-        cuts = sorted(set(got or []))
-    rows = rows.withColumn("part", _range_of(F.col("doc_id"), cuts))
-    before = rows.groupBy("shard", "part").count().withColumn("before", F.sum("count").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32"))
-    numbered = rows.withColumn("inside", inside).join(before.select("shard", "part", "before"), ["shard", "part"])
-    slot = (F.col("inside") - 1 + F.coalesce(F.col("before"), F.lit(0))).cast("long")
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")
-
-
-def _range_of(value: Column, cuts: list) -> Column:
-    """Number of cuts at or below the value; null: 0."""
-    if not cuts:
-        return F.lit(0)
-    below = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value)
-    return F.when(value.isNull(), F.lit(0)).otherwise(F.size(below))
+    rows = df.select(*keep, col(doc_id).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
+    rows = rows.withColumn("shard", shard_of(F.col("doc_id"), shards)).withColumn("grown_shard", shard_of(F.col("doc_id"), shards + 1))
+    return rows.withColumn("tie", F.monotonically_increasing_id())
+
+
+def _slots(rows: DataFrame, n: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Adds ``slot`` to ``n`` keyed rows; ``keep`` holds the sorted rows, so that places and their counts agree."""
+    order = [F.col("shard").asc(), F.col("doc_id").asc_nulls_first(), F.col("size").asc(), F.col("text_crc32").asc(), F.col("tie").asc()]
+    dealt = rows.repartitionByRange(max(1, min(MOST_RANGES, n // RANGE_ROWS)), *order).sortWithinPartitions(*order)
+    # Spark numbers a partition's rows in order: the partition above 33 bits, the place in it below
+    dealt = keep(dealt.withColumn("at", F.monotonically_increasing_id()))
+    counts = dealt.groupBy("shard", F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("shard").alias("of"), "part", (before - F.col("first")).alias("shift"))
+    # at most the ranges and the shards together: bounded by MOST_RANGES
+    found = dealt.join(F.broadcast(starts), (dealt["shard"] == starts["of"]) & (F.shiftright("at", 33) == starts["part"]))
+    return found.withColumn("slot", (F.col("at") + F.col("shift")).cast("long"))

@@ -71,7 +71,7 @@ def targets(sizes):
 
 
 def mix(docs):
-    """docs: (id, text, source); id to (size, target, taken), ids distinct."""
+    """docs: (id, text, source), ids distinct; id to (size, target, taken), and the ids taken in order of finish."""
     rows = [(i, len(words(t)), s) for i, t, s in docs]
     sizes = Counter()
     for _, n, s in rows:
@@ -85,13 +85,14 @@ def mix(docs):
             done += n
             if n and goal[s]:
                 turns += [((done + p * sizes[s]) / goal[s], hashlib.md5(str(i).encode()).hexdigest(), s is None, s or "", p, i, n) for p in (0, 1)]
-    taken, used, budget = Counter(), 0, sum(goal.values())
+    taken, order, used, budget = Counter(), [], 0, sum(goal.values())
     for t in sorted(turns):
         used += t[-1]
         if used > budget:
             break
         taken[t[-2]] += t[-1]
-    return {i: (n, goal[s], taken[i]) for i, n, s in rows}
+        order.append(t[-2])
+    return {i: (n, goal[s], taken[i]) for i, n, s in rows}, order
 
 
 def tokens(text):

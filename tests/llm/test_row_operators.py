@@ -309,25 +309,43 @@ def test_sharding(spark):
     assert {r["doc_id"] for r in sharding.assign(names).collect()} == {"x", "y"}
 
 
-def test_sharding_ranges(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "RANGE_ROWS", 5)
-    df = spark.range(2000).select(((F.col("id") * 7919) % 100_003).alias("doc_id"), F.lit("t").alias("text"))
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_sharding_ranges(spark, monkeypatch, kind):
+    """Slots over many ranges: distinct ids of any type, and an id that repeats over several ranges."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 50)
+    df = spark.range(2000).select(((F.col("id") * 7919) % 100_003).cast(kind).alias("doc_id"), F.lit("t").alias("text"))
+    df = df.union(spark.range(500).select(F.lit(5).cast(kind).alias("doc_id"), F.lit("again").alias("text")))
     got = sharding.assign(df).toPandas().sort_values(["shard", "slot"])
+    assert len(got) == 2500
     for _, g in got.groupby("shard"):
         assert g["slot"].tolist() == list(range(len(g))) and g["doc_id"].is_monotonic_increasing
 
 
-def test_mix_against_brute_force(spark):
+def test_sharded_corpus(spark):
+    df = odd(spark)
+    out = sharding.sharded(df)
+    assert out.columns == [*df.columns, "_size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    got = sorted((str(r["doc_id"]), str(r["text"])[:9], r["shard"]) for r in out.collect())
+    assert got == sorted((str(r["doc_id"]), str(r["text"])[:9], brute.shard(r["doc_id"], 8)) for r in df.collect())
+    for s in {r["shard"] for r in out.select("shard").collect()}:
+        own = [r["slot"] for r in out.where(F.col("shard") == s).select("slot").collect()]
+        assert sorted(own) == list(range(len(own)))
+
+
+@pytest.mark.parametrize("edge", [10_000, 20])
+def test_mix_against_brute_force(spark, monkeypatch, edge):
+    monkeypatch.setattr(mixing, "EDGE_ROWS", edge)
+    monkeypatch.setattr(mixing, "MOST_RANGES", 4)  # so that an edge is cut again and again
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit("s"), F.floor(F.sqrt(F.col("doc_id") % 50)).cast("string"))).alias("source"))
-    want = brute.mix([tuple(r) for r in docs.collect()])
+    want, order = brute.mix([tuple(r) for r in docs.collect()])
     got = {r["doc_id"]: (r["size"], r["target"], r["taken"]) for r in mixing.mix(docs).collect()}
     assert {k: (n, round(t, 6), x) for k, (n, t, x) in got.items()} == {k: (n, round(t, 6), x) for k, (n, t, x) in want.items()}
     again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs.repartition(7)).collect()}
     assert again == {k: v[2] for k, v in got.items()}
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns
-    n = mixed.groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
-    assert n.to_dict() == {k: x // s for k, (s, _, x) in got.items() if x}
+    assert [r["doc_id"] for r in mixed.collect()] == order  # emitted in order of finish
+    assert brute.Counter(order) == {k: x // s for k, (s, _, x) in got.items() if x}
 
 
 def test_mix_odd_rows(spark):

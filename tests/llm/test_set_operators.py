@@ -257,7 +257,7 @@ def test_pipeline_against_brute_force(spark):
     seeds = {i for i, r in rows.items() for w in [brute.tokens(r["text"])] if any(tuple(w[k : k + 6]) in grams for k in range(len(w)))}
     leaked = {i for i in seeds if any(brute.overlap(brute.tokens(rows[i]["text"]), b) for b in bench)}
     rows = {i: r for i, r in rows.items() if i not in leaked}
-    taken = brute.mix([(i, r["text"], r["source"]) for i, r in rows.items()])
+    taken, _ = brute.mix([(i, r["text"], r["source"]) for i, r in rows.items()])
     want = sorted((i, brute.shard(i, 8)) for i, (n, _, x) in taken.items() if x for _ in range(x // n))
     got = corpus_pipeline.run(spark, SMALL).collect()
     assert sorted((r["doc_id"], r["shard"]) for r in got) == want and leaked
