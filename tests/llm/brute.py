@@ -22,22 +22,25 @@ def shingles(text):
 
 
 def components(docs):
-    """doc id to smallest reachable id, all pairs compared."""
-    ids = [i for i, _ in docs]
+    """The smallest id reachable from each row of (id, text), in order; all pairs of rows compared."""
     sets = [shingles(t) for _, t in docs]
-    low = {i: i for i in ids}
+    up = list(range(len(docs)))
 
     def find(x):
-        while low[x] != x:
-            x = low[x]
+        while up[x] != x:
+            x = up[x]
         return x
 
     for a in range(len(docs)):
         for b in range(a):
-            if ids[a] == ids[b] or (sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])):
-                x, y = sorted((find(ids[a]), find(ids[b])))
-                low[y] = x
-    return {i: find(i) for i in ids}
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    low = {}
+    for a, (i, _) in enumerate(docs):
+        r = find(a)
+        low[r] = min((x for x in (i, low.get(r)) if x is not None), default=None)
+    return [low[find(a)] for a in range(len(docs))]
 
 
 def jump(key, n):

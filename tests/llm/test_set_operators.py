@@ -32,26 +32,83 @@ def family(rng, n_bases=12, size=9, length=60):
     return texts
 
 
+def as_rows(got):
+    return sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in got)
+
+
+def expected(docs):
+    return sorted((str(i), len(brute.shingles(t)), str(c), c == i) for (i, t), c in zip(docs, brute.components(docs), strict=True))
+
+
 @pytest.mark.parametrize("dense", [2048, 4])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, dense):
     monkeypatch.setattr(neardup, "DENSE", dense)
     rng = random.Random(11)
     docs = [(i, t) for i, t in enumerate(family(rng))]
     rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert as_rows(neardup.near_duplicates(df).collect()) == expected(docs)
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch, few):
+    """Ids with several texts, equal texts under several ids, null ids, repeated rows; by broadcast and by shuffled texts."""
+    monkeypatch.setattr(neardup, "BROADCAST_NODES", few)
+    rng = random.Random(5)
+    texts = family(rng, 5, 6) + ["", " "]
+    docs = [(rng.choice([*range(25), None]), t) for t in texts + rng.sample(texts, 12)]
+    docs += docs[:6] + [(100, texts[0] + " more"), (100, "unlike every other text"), (100, "unlike every other text")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    want = brute.components(sorted(docs))
-    got = {r["doc_id"]: r for r in neardup.near_duplicates(df).collect()}
-    assert {i: r["component_id"] for i, r in got.items()} == want
-    assert all(r["n_shingles"] == len(brute.shingles(dict(docs)[i])) and r["kept"] == (want[i] == i) for i, r in got.items())
-
-
-def test_near_duplicates_by_shuffled_texts(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BROADCAST_NODES", 0)
-    docs = list(enumerate(family(random.Random(5), 5, 6)))
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == brute.components(docs)
-    df = spark.createDataFrame([*docs, docs[3]], "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == sorted(i for i, c in got.items() if i == c)
+    assert as_rows(neardup.near_duplicates(df).collect()) == expected(docs)
+    # one row of each group stays, with the group's smallest id; rows without words all stay
+    kept = [(r["doc_id"], r["text"]) for r in neardup.keep_one(df).collect()]
+    assert len([t for _, t in kept if not brute.shingles(t)]) == sum(not brute.shingles(t) for _, t in docs)
+    with_words = [(i, t) for i, t in kept if brute.shingles(t)]
+    roots = linked_groups(docs)
+    assert len(with_words) == len(roots)
+    for rows in roots:  # exactly one of each, and that with the smallest id
+        own = [x for x in with_words if x in rows]
+        low = min((i for i, _ in rows if i is not None), default=None)
+        assert len(own) == 1 and own[0][0] == low
+    assert (100, "unlike every other text") in kept
+
+
+def linked_groups(docs):
+    """Rows with words as their groups, all pairs compared."""
+    out = []
+    for i, t in docs:
+        s = brute.shingles(t)
+        near = [g for g in out if s and any(100 * len(s & u) >= 75 * len(s | u) for u in (brute.shingles(x) for _, x in g))]
+        if s:
+            out = [g for g in out if g not in near] + [[(i, t)] + [x for g in near for x in g]]
+    return out
+
+
+def test_strangers_alone_meet_tiles(spark):
+    """A region of 100,000 near copies and ten strangers moves rows in proportion to its size, and no pair is left out."""
+    n, odd_ones = 100_000, 10
+    rows = spark.range(n + odd_ones).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node"), F.lit(50).cast("long").alias("n"), F.when(F.col("id") < n, 0).otherwise(F.col("id")).cast("long").alias("comp"), F.lit(b"x" * neardup.VALUES).alias("rot"), F.lit(n + odd_ones).cast("long").alias("all"), F.lit(n).cast("long").alias("big_rows"), F.lit(0).cast("long").alias("big"))
+    tiles = neardup._tiles(rows).groupBy("part").agg(F.collect_set(F.when(F.col("comp") > 0, F.col("node"))).alias("odd"), F.count_if(F.col("comp") == 0).alias("big"), F.count(F.lit(1)).alias("rows"), F.max("side").alias("side")).collect()
+    assert sum(r["rows"] for r in tiles) <= 1.1 * n and max(r["rows"] for r in tiles) <= 2 * neardup.DENSE
+    assert sum(r["big"] for r in tiles) == n and all(len(r["odd"]) == odd_ones for r in tiles)
+
+
+def test_near_duplicates_in_one_large_region(spark, monkeypatch):
+    """Near copies of one text in regions far above the tile size, over many ranges, with strangers that link and some that do not."""
+    monkeypatch.setattr(neardup, "DENSE", 16)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    base = [word() for _ in range(80)]
+
+    def copy(k):
+        w = list(base)
+        for _ in range(k):
+            w[rng.randrange(len(w))] = word()
+        return " ".join(w)
+
+    docs = [(i, copy(rng.choice([0, 1, 1, 2, 3, 4, 5]))) for i in range(300)] + [(300 + i, word()) for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    assert as_rows(neardup.near_duplicates(df).collect()) == expected(docs)
 
 
 def test_near_duplicates_odd_rows(spark):
@@ -250,8 +307,8 @@ def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     verdicts = {r["doc_id"]: r["kept"] for r in quality.quality_rows(docs).collect()}
     rows = {r["doc_id"]: r for r in docs.collect() if verdicts[r["doc_id"]]}
-    comp = brute.components(sorted((i, r["text"]) for i, r in rows.items()))
-    rows = {i: r for i, r in rows.items() if comp[i] == i}
+    docs_ = sorted((i, r["text"]) for i, r in rows.items())
+    rows = {i: rows[i] for (i, _), c in zip(docs_, brute.components(docs_), strict=True) if c == i}
     bench = [brute.tokens(r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     grams = {tuple(b[i : i + 6]) for b in bench for i in range(len(b) - 5)}
     seeds = {i for i, r in rows.items() for w in [brute.tokens(r["text"])] if any(tuple(w[k : k + 6]) in grams for k in range(len(w)))}
