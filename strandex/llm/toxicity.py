@@ -148,13 +148,16 @@ def _paired(rows: list[np.ndarray], labels: np.ndarray, df: np.ndarray, alone: n
     Counts of all pairs, one term at a time; the deviation is corrected by 1/2 and its variance taken as 1 at least.
     """
     out = np.zeros(TERMS, bool)
-    ids = np.flatnonzero(df > PAIR_CHI2**0.5)  # fewer rows cannot deviate enough
+    # a count deviates by its term's rows at most, and by a quarter of the rows it is taken among; less cannot reach the level
+    least = PAIR_CHI2**0.5 + 0.5
+    ids = np.flatnonzero(df >= least)
     place = np.full(TERMS, -1)
     place[ids] = np.arange(len(ids))
     at = [p[p >= 0] for p in (place[t] for t in rows)]
     of = np.repeat(np.arange(len(at)), [len(a) for a in at])[np.argsort(np.concatenate(at), kind="stable")]
     ends = np.cumsum(df[ids])
-    for k, end in enumerate(ends):
+    for k in np.flatnonzero(df[ids] >= 4 * least):
+        end = ends[k]
         own = of[end - df[ids[k]] : end]
         n, pos = len(own), int(labels[own].sum())
         if min(pos, n - pos) == 0:
