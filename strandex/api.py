@@ -143,7 +143,7 @@ class CodeIndex:
     def imports(self) -> DataFrame:
         return graph.import_graph(self._t("symbols"), self._t("relations"), self._t("modules"))
 
-    def cycles(self, longest: int = 6) -> DataFrame:
+    def cycles(self, longest: int | None = None) -> DataFrame:
         return graph.simple_cycles(self.imports(), longest)
 
     def health(self) -> dict:
@@ -151,15 +151,23 @@ class CodeIndex:
 
     # prompts
     def plan(self, goal: str, settings: config.Settings | None = None, preset: str | None = None, profile: str | None = None, **hints) -> DataFrame:
-        """One planned task; hints as in ``intent.plan_tasks``.  Presets and profiles give hints that are not set."""
+        """One planned task; hints as in ``intent.plan_tasks``.  Presets and profiles give hints that are not set, and the
+        depth of retrieval: the preset's, else the named profile's, the settings', the default profile's, the mode's.  Tokens:
+        the profile's, else the settings', the mode's."""
         settings = settings or config.Settings()
         extra = list(hints.pop("extra", None) or [])
+        depth, tokens = settings.context_depth, settings.max_tokens
+        if profile not in d.PROFILES and settings.default_profile in d.PROFILES:
+            depth = depth or d.PROFILES[settings.default_profile][3]
+            profile = settings.default_profile
+        elif profile in d.PROFILES:
+            depth = d.PROFILES[profile][3]
         if preset in d.PRESETS:
-            task, mode, more, _ = d.PRESETS[preset]
+            task, mode, more, depth = d.PRESETS[preset]
             hints["task_hint"], hints["mode_hint"], extra = hints.get("task_hint") or task, hints.get("mode_hint") or mode, extra + more
         if profile in d.PROFILES:
-            mode, more, _, _ = d.PROFILES[profile]
-            hints["mode_hint"], extra = hints.get("mode_hint") or mode, extra + more
+            mode, more, own, _ = d.PROFILES[profile]
+            hints["mode_hint"], extra, tokens = hints.get("mode_hint") or mode, extra + more, own or tokens
         always, never = settings.constraints()
         task = hints.get("task_hint")
         hints["mode_hint"] = hints.get("mode_hint") or settings.mode_for(task or "", None)
@@ -167,8 +175,9 @@ class CodeIndex:
         out = intent.plan_tasks(one, extra=extra + always, **hints)
         for c in never:
             out = out.withColumn("constraints", F.array_remove("constraints", c))
-        tokens = d.PROFILES[profile][2] if profile in d.PROFILES else None
-        return out.withColumn("budget", F.col("budget").withField("max_tokens", F.lit(tokens))) if tokens else out
+        for field, value in (("max_tokens", tokens), ("retrieval_depth", depth)):
+            out = out.withColumn("budget", F.col("budget").withField(field, F.lit(value))) if value else out
+        return out
 
     def retrieve(self, query: str, max_tokens: int = 8000, depth: int = 2, targets: list[str] | None = None, changed: list[str] | None = None, chains: bool = True) -> DataFrame:
         """Contexts of a request's symbols: explicit targets, up to two recently changed, then search hits."""
@@ -209,10 +218,10 @@ class CodeIndex:
         task = planned.first().asDict(recursive=True)
         text = None
         if with_context and self.store.version():
-            changed = git.changed_symbols(root) if root else []
+            changed = git.changed_symbols(self.spark, root) if root else []
             found = self.retrieve(task["retrieval"]["query"], task["budget"]["max_tokens"], task["budget"]["retrieval_depth"], changed=changed, chains=task["retrieval"]["include_call_chains"]).persist()
             words = prompt.attempts(task["retrieval"]["query"])[1:]
-            diff = git.diff_section(root, words) if root and task["retrieval"]["git_history"] else ""
+            diff = git.diff_section(self.spark, root, words) if root and task["retrieval"]["git_history"] else ""
             if found.take(1) or diff:
                 text = prompt.context_text(task["retrieval"]["query"], found, diff, task["budget"]["max_tokens"])
             found.unpersist()

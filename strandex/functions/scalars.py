@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Source extensions with their language, skipped folders, stop words.
 LANGUAGES = {".py": "python", ".go": "go", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript"}
 SKIP_DIRS = [".git", ".hg", ".svn", "__pycache__", ".venv", "venv", "env", ".env", ".mypy_cache", ".pytest_cache", ".ruff_cache", "node_modules", ".next", "dist", "build", ".webpack", ".go", "vendor", "target", ".tox", "coverage", ".coverage"]
-STOP_WORDS = "a an the in for of to with and or not is are was were be been being have has had do does did will would could should may might this that these those it its from by at on".split()
+STOP_WORDS = ["a", "an", "the", "in", "for", "of", "to", "with", "and", "or", "not", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "this", "that", "these", "those", "it", "its", "from", "by", "at", "on"]
 TRIM_MARK = "\n\n[... context trimmed to fit token budget ...]"
 
 

@@ -6,16 +6,20 @@ folder at each level, so lineage stays short and a lost executor costs no recomp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or a folder in the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in ``spark.checkpoint.dir``, or in the warehouse where that is unset."""
+    """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -40,21 +44,24 @@ def reach(graph: DataFrame, start: str, depth: int = 3, reverse: bool = False) -
     return seen.where("depth > 0")
 
 
-def simple_cycles(graph: DataFrame, longest: int = 4) -> DataFrame:
-    """``cycle`` (array from its smallest node) of every elementary cycle of up to ``longest`` nodes.
+def simple_cycles(graph: DataFrame, longest: int | None = None) -> DataFrame:
+    """``cycle`` (array from its smallest node) of every elementary cycle, or of those of up to ``longest`` nodes.
 
-    Paths start at their smallest node and only visit larger ones, so each cycle is found once; the number of
-    cycles grows exponentially with the length, which is why it is bounded.
+    Edges between strongly connected components lie on no cycle and go first.  Paths start at their smallest node and only
+    visit larger ones, so each cycle is found once and paths end by themselves.  The number of cycles may grow exponentially
+    with the size of a component; ``cyclic_components`` does not.
     """
-    edges = graph.where("src <> dst").select("src", "dst").distinct()
-    paths = edges.where("dst > src").select(F.array("src", "dst").alias("path"), F.col("src").alias("low"), F.col("dst").alias("tip"))
-    found = None
-    for n in range(2, longest + 1):
+    parts = cyclic_components(graph).select(F.array_min("component").alias("part"), F.explode("component").alias("node"))
+    inside = lambda side: parts.select(F.col("node").alias(side), F.col("part").alias(f"{side}_part"))
+    edges = graph.where("src <> dst").select("src", "dst").distinct().join(inside("src"), "src").join(inside("dst"), "dst")
+    edges = cut(edges.where("src_part = dst_part").select("src", "dst"))
+    paths = cut(edges.where("dst > src").select(F.array("src", "dst").alias("path"), F.col("src").alias("low"), F.col("dst").alias("tip")))
+    found, n = paths.select(F.col("path").alias("cycle")).where("false"), 2
+    while (longest is None or n <= longest) and paths.take(1):
         closed = paths.join(edges, (paths["tip"] == edges["src"]) & (paths["low"] == edges["dst"]), "left_semi").select(F.col("path").alias("cycle"))
-        found = closed if found is None else found.union(closed)
-        if n < longest:
-            step = paths.join(edges, paths["tip"] == edges["src"]).where((F.col("dst") > F.col("low")) & ~F.array_contains("path", F.col("dst")))
-            paths = cut(step.select(F.concat("path", F.array("dst")).alias("path"), "low", F.col("dst").alias("tip")))
+        step = paths.join(edges, paths["tip"] == edges["src"]).where((F.col("dst") > F.col("low")) & ~F.array_contains("path", F.col("dst")))
+        found, n = cut(found.union(closed)), n + 1
+        paths = cut(step.select(F.concat("path", F.array("dst")).alias("path"), "low", F.col("dst").alias("tip")))
     return found.orderBy(F.desc(F.size("cycle")), "cycle")
 
 

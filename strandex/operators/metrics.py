@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 # Names that the reports leave out.
 NOT_HOT = ["print", "error", "console", "render", "stringify"]
 NOT_DEAD = ["main", "__init__", "init", "constructor", "render", "handler", "test", "__main__"]
@@ -96,12 +98,17 @@ def resolution_bands(relations: DataFrame) -> DataFrame:
 
 
 def health_summary(symbols: DataFrame, relations: DataFrame, cycles: DataFrame | None = None, components: DataFrame | None = None) -> DataFrame:
-    """One row: totals, and the top five of each report as arrays.  Metrics are computed once."""
-    m = symbol_metrics(symbols, relations).persist()
+    """One row: totals, and the first five rows of hotspots, longest functions and couplings as arrays of their whole rows.
+
+    Metrics and couplings are computed once and checkpointed."""
+    m, coupling = cut(symbol_metrics(symbols, relations)), cut(module_coupling(symbols, relations))
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    top = lambda df, name, key: df.limit(5).agg(F.array_sort(F.collect_list(F.struct((-F.col(key)).alias("k"), "name", "id"))).alias(name)).select(F.transform(name, lambda x: x["name"]).alias(name))
-    coupling = module_coupling(symbols, relations).persist()
-    parts = [count(m, "total_symbols"), count(dead_code(m), "dead_code_count"), count(god_objects(m), "god_objects_count"), top(hotspots(m, 5), "hotspots_top_5", "fan_in"), top(long_functions(m), "longest_functions_top_5", "line_count"), count(coupling, "coupling_edges_count")]
+
+    def top(df: DataFrame, name: str, key: str, *ties: str) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct((-F.col(key)).alias("k"), F.struct(*ties).alias("t"), F.struct(*df.columns).alias("row"))))
+        return df.limit(5).agg(rows.alias(name)).select(F.transform(name, lambda x: x["row"]).alias(name))
+
+    parts = [count(m, "total_symbols"), count(dead_code(m), "dead_code_count"), count(god_objects(m), "god_objects_count"), top(hotspots(m, 5), "hotspots_top_5", "fan_in", "name", "id"), top(long_functions(m), "longest_functions_top_5", "line_count", "name", "id"), count(coupling, "coupling_edges_count"), top(coupling.orderBy(F.desc("call_count"), "from_module", "to_module"), "coupling_top_5", "call_count", "from_module", "to_module")]
     if cycles is not None:
         parts.append(count(cycles, "circular_deps_count"))
     if components is not None:

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Texts that null join keys are dealt over.
+SPREAD = 4096
+
 
 def resolve(symbols: DataFrame, relations: DataFrame, aliases: DataFrame, by_path: bool = False) -> DataFrame:
     """``relations`` with ``to_symbol_id`` and ``confidence`` set for calls and bases; other rows as they were.
@@ -31,8 +34,11 @@ def resolve(symbols: DataFrame, relations: DataFrame, aliases: DataFrame, by_pat
 
     alias = lambda on, as_: scope.select("file_path", F.col("alias").alias(on), F.col("target").alias(as_))
     fq = lambda on, as_: fqids.select(F.col("fqid").alias(on), F.col("fq_id").alias(as_))
+    # most keys are null; each null becomes one of many texts that name nothing, so no task gets them all
+    spread = lambda c: F.coalesce(c, F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("from_id", "to_name"), F.lit(SPREAD)).cast("string")))
+    rows = rows.withColumn("_obj", spread(F.col("_obj")))
     rows = rows.join(alias("_obj", "_base"), ["file_path", "_obj"], "left").join(alias("to_name", "_plain"), ["file_path", "to_name"], "left")
-    rows = rows.withColumn("_member", F.concat("_base", F.lit("."), "_attr"))
+    rows = rows.withColumns({"_member": spread(F.concat("_base", F.lit("."), "_attr")), "_full": spread(F.col("_full")), "_plain": spread(F.col("_plain"))})
     rows = rows.join(fq("_full", "_id1"), "_full", "left").join(fq("_member", "_id2"), "_member", "left").join(fq("_plain", "_id3"), "_plain", "left")
     rows = rows.join(names.select(F.col("name").alias("to_name"), "name_id", "name_n"), "to_name", "left")
     confidence = F.when(F.col("_id1").isNotNull(), 1.0).when(F.col("_id2").isNotNull(), 0.9).when(F.col("_id3").isNotNull(), 0.8).when(F.col("name_n") == 1, 0.7).when(F.col("name_n") > 1, 0.5).otherwise(0.0)

@@ -1,8 +1,8 @@
-"""Ranked text search: postings, BM25 over phrases with prefixes, re-ranking with an audit trail.
+"""Ranked text search: BM25 over phrases with prefixes, re-ranking with an audit trail.
 
-Text is tokenised once into postings (term, document, column, position).  A query word is a phrase of adjacent
-tokens whose last one matches by prefix; all words must hit.  Postings are filtered by term before anything
-shuffles, phrases join on (document, column, position), and scores meet per document.
+A query word is a phrase of adjacent tokens of one column whose last one matches by prefix; all words must hit.  Text is
+tokenised once and every phrase is counted in the row's own arrays, so no token is shuffled or even exploded: what leaves
+the scan is a length and one count for each phrase.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 # BM25 parameters, the least IDF, weights of the ranking factors and of the impact factors.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"text_relevance": 2.0, "call_frequency": 1.5, "recency": 0.8, "name_match": 0.5, "code_hub_score": 0.3}
@@ -28,49 +30,45 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
 
 
-def postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``doc, col, pos, term`` of every token."""
-    cols = F.array(*[F.struct(F.lit(i).alias("col"), tokens(F.col(c)).alias("terms")) for i, c in enumerate(columns)])
-    rows = docs.select(F.col(key).alias("doc"), F.explode(cols).alias("c"))
-    return rows.select("doc", F.col("c.col").alias("col"), F.posexplode("c.terms").alias("pos", "term"))
+def _hits(terms: Column, phrase: list[str]) -> Column:
+    """How often a phrase occurs in an array of tokens: its words next to each other, the last one as a prefix."""
+    k = len(phrase) - 1
+
+    def ends_here(term: Column, at: Column) -> Column:
+        found = term.startswith(phrase[k])
+        for back, word in enumerate(reversed(phrase[:k]), 1):
+            found = found & (at >= back) & (F.coalesce(F.get(terms, at - back), F.lit("")) == word)
+        return found
 
+    return F.size(F.filter(terms, ends_here))
 
-def lengths(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``doc, len`` without exploding: tokens over all columns."""
-    total = sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0))
-    return docs.select(F.col(key).alias("doc"), total.alias("len"))
+
+def term_counts(docs: DataFrame, key: str, columns: list[str], phrases: list[list[str]]) -> DataFrame:
+    """``doc, len, tf0, tf1, ..``: tokens of each document and occurrences of each phrase, in one pass without a shuffle."""
+    bound = docs.select(F.col(key).alias("doc"), *[F.explode(F.array(tokens(F.col(c)))).alias(f"c{i}") if i == 0 else tokens(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    cols = [F.col(f"c{i}") for i in range(len(columns))]
+    total = lambda parts: sum(parts[1:], parts[0]).cast("long")
+    return bound.select("doc", total([F.size(c) for c in cols]).alias("len"), *[total([_hits(c, p) for c in cols]).alias(f"tf{i}") for i, p in enumerate(phrases)])
 
 
 def bm25(docs: DataFrame, key: str, columns: list[str], query: str) -> DataFrame:
     """``doc, bm25`` (negative, best lowest) of documents that hold every phrase."""
     phrases = query_phrases(query)
-    sizes = lengths(docs, key, columns)
     if not phrases:
-        return sizes.select("doc", F.lit(0.0).alias("bm25")).where("false")
-    heads = sorted({t for p in phrases for t in p[:-1]})
-    ends = sorted({p[-1] for p in phrases})
-    wanted = F.lit(False)
-    if heads:
-        wanted = wanted | F.col("term").isin(heads)
-    for e in ends:
-        wanted = wanted | F.col("term").startswith(e)
-    posts = postings(docs, key, columns).where(wanted)
-    stats = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
-    total = None
-    for i, phrase in enumerate(phrases):
-        last = len(phrase) - 1
-        hits = posts.where(F.col("term").startswith(phrase[last])).select("doc", "col", (F.col("pos") - last).alias("pos"))
-        for k, t in enumerate(phrase[:-1]):
-            hits = hits.join(posts.where(F.col("term") == t).select("doc", "col", (F.col("pos") - k).alias("pos")), ["doc", "col", "pos"])
-        tf = hits.groupBy("doc").agg(F.count(F.lit(1)).alias("tf"))
-        n = tf.agg(F.count(F.lit(1)).alias("n"))
-        odds = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+        return docs.select(F.col(key).alias("doc"), F.lit(0.0).alias("bm25")).where("false")
+    rows, n = cut(term_counts(docs, key, columns, phrases)), len(phrases)
+    stats = rows.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(n)])
+    hits = rows
+    for i in range(n):
+        hits = hits.where(F.col(f"tf{i}") > 0)
+    hits = hits.join(F.broadcast(stats))  # one row
+
+    def part(i: int) -> Column:
+        odds = F.log((F.col("docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
         idf = F.when(odds <= 0, F.lit(LEAST_IDF)).otherwise(odds)
-        scored = tf.join(F.broadcast(n.join(F.broadcast(stats)))).join(sizes, "doc")  # two one-row frames
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-        one = scored.select("doc", part.alias(f"s{i}"))
-        total = one if total is None else total.join(one, "doc")
-    return total.select("doc", (-sum((F.col(f"s{i}") for i in range(1, len(phrases))), F.col("s0"))).alias("bm25"))
+        return idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+
+    return hits.select("doc", (-sum((part(i) for i in range(1, n)), part(0))).alias("bm25"))
 
 
 def search(symbols: DataFrame, query: str, kind: str | None = None, limit: int | None = 20) -> DataFrame:

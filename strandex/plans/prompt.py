@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import token_estimate, trim_to
+from ..operators.order import numbered
 from . import dimensions as d
 
 BLOCK = "struct<role:string,content:string,priority:int,token_estimate:bigint,included:boolean,omit_reason:string,source:string>"
@@ -161,8 +162,8 @@ def merge_by_priority(sources: list[DataFrame], key: str) -> DataFrame:
         part = s.withColumn("_prio", F.lit(i))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     first = Window.partitionBy(key).orderBy("_prio", "rank")
-    kept = rows.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy("_prio", "rank", key))).drop("_prio")
+    kept = rows.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k").withColumnRenamed("rank", "_rank")
+    return numbered(kept, [F.col("_prio"), F.col("_rank"), F.col(key)], "rank").drop("_prio", "_rank")
 
 
 def attempts(query: str) -> list[str]:

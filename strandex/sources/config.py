@@ -10,30 +10,35 @@ from ..plans import dimensions as d
 
 NAMES = (".strandex.toml", "strandex.toml")
 TEMPLATE = """\
-# default_mode = "surgical"
-default_profile = "balanced"
-max_tokens = 8000
-context_depth = 2
-require_tests = true
-no_guessing = true
-follow_existing_patterns = true
-# repo_policy = "..."
-# always_on_constraints = ["no_guessing"]
-# disabled_constraints = ["require_tests"]
+# Every setting is optional; what is not set follows from the task and its mode.
+# default_mode = "safe"               # mode of tasks that name none
+# default_profile = "balanced"        # profile of tasks that name none
+# max_tokens = 8000                   # token budget of every task
+# context_depth = 2                   # steps that retrieval follows calls
+# require_tests = true                # true: always a constraint, false: never one
+# no_guessing = true
+# follow_existing_patterns = true
+# repo_policy = "text for the system block"
+# always_on_constraints = ["minimal_diff"]
+# disabled_constraints = ["require_explanation"]
 # [task_mode_overrides]
-# bugfix = "surgical"
+# feature = "explore"
 """
+#: Settings that are constraints of the same name.
+SWITCHES = ("require_tests", "no_guessing", "follow_existing_patterns")
 
 
 @dataclass
 class Settings:
+    """What files set; None: not set."""
+
     default_mode: str | None = None
-    default_profile: str = "balanced"
-    max_tokens: int = 8000
-    context_depth: int = 2
-    require_tests: bool = True
-    no_guessing: bool = True
-    follow_existing_patterns: bool = True
+    default_profile: str | None = None
+    max_tokens: int | None = None
+    context_depth: int | None = None
+    require_tests: bool | None = None
+    no_guessing: bool | None = None
+    follow_existing_patterns: bool | None = None
     repo_name: str | None = None
     repo_root: str | None = None
     task_mode_overrides: dict[str, str] = field(default_factory=dict)
@@ -46,8 +51,9 @@ class Settings:
         return own if own in d.MODES else self.default_mode or fallback
 
     def constraints(self) -> tuple[list[str], list[str]]:
-        """(always on, disabled), unknown ones left out."""
-        return [c for c in self.always_on_constraints if c in d.CONSTRAINTS], [c for c in self.disabled_constraints if c in d.CONSTRAINTS]
+        """(always on, disabled), unknown ones left out; a switch that is set is one or the other."""
+        on, off = ([*named, *[s for s in SWITCHES if getattr(self, s) is want]] for named, want in ((self.always_on_constraints, True), (self.disabled_constraints, False)))
+        return [c for c in on if c in d.CONSTRAINTS], [c for c in off if c in d.CONSTRAINTS]
 
 
 def _read(path: Path) -> dict:

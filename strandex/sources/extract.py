@@ -1,6 +1,6 @@
 """Source extraction: symbols, relations and import aliases of one file.
 
-Python goes through the standard parser; Go, JavaScript and TypeScript through a small scanner that blanks comments
+Python goes through the standard parser (of a file that does not parse as a whole, the statements that do); Go, JavaScript and TypeScript through a small scanner that blanks comments
 and strings (lengths and line ends stay) and then reads declarations at their brace level.  A file that does not
 parse gives an error instead of failing its task.
 
@@ -11,6 +11,7 @@ call_expression), from ``<module>`` with ordinal -1 at file level; an alias is (
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from dataclasses import dataclass, field
 
@@ -92,10 +93,42 @@ def _python(source: str) -> Extract:
             else:
                 visit([c for c in ast.iter_child_nodes(n) if not isinstance(c, (ast.expr, ast.arguments))], owner)
 
-    visit(ast.parse(source).body, "")
+    body, out.error = _statements(source)
+    visit(body, "")
     return out
 
 
+#: Lines of one broken statement that are given up before it is left out.
+TRIES = 20
+
+
+def _statements(source: str) -> tuple[list[ast.stmt], str | None]:
+    """Top-level statements, and the error of a file that does not parse as a whole.
+
+    Of such a file every top-level block is parsed by itself; in a broken block the line at fault gives way to ``pass``."""
+    try:
+        return ast.parse(source).body, None
+    except (SyntaxError, ValueError) as e:
+        error = f"{type(e).__name__}: {e}"
+    lines, out = source.replace("\x00", " ").split("\n"), []
+    starts = [i for i, x in enumerate(lines) if x[:1].strip() and x[0] not in ")]}#"]
+    for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
+        block = lines[a:b]
+        for _ in range(TRIES):
+            try:
+                tree = ast.parse("\n".join(block))
+            except SyntaxError as e:
+                at = (e.lineno or 0) - 1
+                if not 0 < at < len(block) or block[at].strip() == "pass":
+                    break
+                block[at] = block[at][: len(block[at]) - len(block[at].lstrip())] + "pass"
+                continue
+            ast.increment_lineno(tree, a)
+            out += tree.body
+            break
+    return out, error
+
+
 # Brace languages
 
 _BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
@@ -129,15 +162,33 @@ def _close(text: str, at: int, pair: str = "{}") -> int:
     return len(text)
 
 
-def _line(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1
+class _Lines:
+    """Line numbers of offsets, from 1, by binary search."""
+
+    def __init__(self, text: str):
+        self.ends = [m.start() for m in re.finditer("\n", text)]
+
+    def at(self, offset: int) -> int:
+        return bisect.bisect_left(self.ends, offset) + 1
+
+
+def _before(text: str, at: int) -> int:
+    """Offset after the last character before ``at`` that is not white space."""
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _word_before(text: str, at: int, *words: str) -> bool:
+    """Whether one of the words ends before ``at``, white space aside."""
+    end = _before(text, at)
+    return any(text.endswith(w, 0, end) and not (end > len(w) and (text[end - len(w) - 1].isalnum() or text[end - len(w) - 1] == "_")) for w in words)
 
 
 def _brace_calls(out: Extract, body: str, name: str, ordinal: int, words: set[str]) -> None:
     for m in _CALL.finditer(body):
         callee, parts = m["name"], [p.strip(" ?\t\n") for p in m["chain"].split(".")[:-1]]
-        before = body[: m.start("chain")].rstrip()
-        if callee in words or re.search(r"(?:\bnew|\bfunc|\bfunction)$", before):
+        if callee in words or _word_before(body, m.start("chain"), "new", "func", "function"):
             continue
         chained = m["before"] in (")", "]", ".")
         one = len(parts) == 1 and not chained and parts[0] not in ("this", "super")
@@ -149,12 +200,12 @@ def _body_at(text: str, at: int) -> int:
     while at < len(text):
         c = text[at]
         if c == "{":
-            if not re.search(r"\b(?:interface|struct)\s*$", text[:at]):
+            if not _word_before(text, at, "interface", "struct"):
                 return at
             at = _close(text, at)
         elif c in "([":
             at = _close(text, at, "()" if c == "(" else "[]")
-        elif c in "\n;" and not text[:at].rstrip().endswith((",", "(")):
+        elif c in "\n;" and text[max(0, _before(text, at) - 1)] not in ",(":
             return -1
         else:
             at += 1
@@ -163,10 +214,13 @@ def _body_at(text: str, at: int) -> int:
 
 def _go(source: str) -> Extract:
     out, text, at = Extract(), _blanked(source), 0
+    lines, depth, seen = _Lines(text), 0, 0
     head = re.compile(r"\b(func|type|import)\b")
     while m := head.search(text, at):
         at, start = m.end(), m.start()
-        if text[:start].count("{") != text[:start].count("}"):
+        depth += text.count("{", seen, start) - text.count("}", seen, start)
+        seen = start
+        if depth:
             continue
         if m[1] == "import":
             group = re.compile(r"\s*\(").match(text, at)
@@ -182,7 +236,7 @@ def _go(source: str) -> Extract:
             after = _close(text, f.end() - 1, "()")
             body = _body_at(text, after)
             end = _close(text, body) if body >= 0 else after
-            k = out.add(f[2], "method" if f[1] else "function", _line(text, start), _line(text, end - 1), f[1] or "")
+            k = out.add(f[2], "method" if f[1] else "function", lines.at(start), lines.at(end - 1), f[1] or "")
             if body >= 0:
                 _brace_calls(out, text[body:end], f[2], k, _GO_WORDS)
             at = end
@@ -195,7 +249,7 @@ def _go(source: str) -> Extract:
                     break
                 brace = text.find("{", spec.start(3), spec.end())
                 stop = _close(text, brace) if brace >= 0 else spec.end()
-                out.add(spec[1], "class", _line(text, start if not group else spec.start(1)), _line(text, stop - 1))
+                out.add(spec[1], "class", lines.at(start if not group else spec.start(1)), lines.at(stop - 1))
                 pos = stop
                 if not group:
                     end = stop
@@ -224,6 +278,7 @@ def _js_body(text: str, after: int, typed: bool) -> int:
 
 def _script(source: str, typed: bool = False) -> Extract:
     out, text = Extract(), _blanked(source)
+    lines = _Lines(text)
     head = re.compile(r"\b(?:(import)\b(?!\s*[(.])|(?:async\s+)?(function)\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^>{}()]*>\s*)?\(|(?:abstract\s+)?(class)\s+([A-Za-z_$][\w$]*)" + (r"|(interface)\s+([A-Za-z_$][\w$]*)" if typed else r"|((?!))((?!))") + ")")
     at = 0
     while m := head.search(text, at):
@@ -237,7 +292,7 @@ def _script(source: str, typed: bool = False) -> Extract:
             after = _close(text, m.end() - 1, "()")
             body = _js_body(text, after, typed)
             end = _close(text, body) if body >= 0 else after
-            k = out.add(m[3], "function", _line(text, start), _line(text, end - 1))
+            k = out.add(m[3], "function", lines.at(start), lines.at(end - 1))
             if body >= 0:
                 _brace_calls(out, text[body:end], m[3], k, _JS_WORDS)
             at = end
@@ -245,14 +300,14 @@ def _script(source: str, typed: bool = False) -> Extract:
             name = m[5] or m[7]
             open_ = text.find("{", at)
             end = _close(text, open_) if open_ >= 0 else len(text)
-            out.add(name, "class", _line(text, start), _line(text, end - 1))
+            out.add(name, "class", lines.at(start), lines.at(end - 1))
             if m[4] and open_ >= 0:
-                _class_body(out, text, open_ + 1, end - 1, name, len(out.symbols) - 1, typed)
+                _class_body(out, text, open_ + 1, end - 1, name, len(out.symbols) - 1, typed, lines)
             at = end
     return out
 
 
-def _class_body(out: Extract, text: str, at: int, end: int, owner: str, ordinal: int, typed: bool) -> None:
+def _class_body(out: Extract, text: str, at: int, end: int, owner: str, ordinal: int, typed: bool, lines: _Lines) -> None:
     while at < end:
         method, arrow = _JS_METHOD.search(text, at, end), _JS_FIELD.search(text, at, end)
         found = min((x for x in (method, arrow) if x), key=lambda x: x.start(), default=None)
@@ -274,7 +329,7 @@ def _class_body(out: Extract, text: str, at: int, end: int, owner: str, ordinal:
             at = after
             continue
         stop = _close(text, body)
-        k = out.add(found[2], "method", _line(text, found.start(2)), _line(text, stop - 1), owner)
+        k = out.add(found[2], "method", lines.at(found.start(2)), lines.at(stop - 1), owner)
         _brace_calls(out, text[body:stop], found[2], k, _JS_WORDS)
         at = stop
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder
 from ..functions.scalars import LANGUAGES, SKIP_DIRS, fqid_of, is_indexable, language_of, module_of, span_hash
 
 _OUT = "path string, error string, symbols array<struct<name:string,kind:string,start_line:int,end_line:int,owner:string>>, relations array<struct<from_symbol:string,ordinal:int,relation:string,to_name:string,call_expression:string>>, aliases array<struct<alias:string,source_module:string,source_name:string>>"
@@ -22,34 +25,96 @@ def path_hash() -> Column:
     return F.expr("xxhash64(path) & 1099511627775L")
 
 
-def _unlisted(spark: SparkSession, base, fs, skip: int) -> list[tuple[str, bytearray]]:
-    """Sources below names that Spark's listing leaves out (a leading ``_`` or ``.``, such as ``__init__.py``).
-
-    They are few and small, so the driver reads them through the same file system."""
-    io, out, found = spark._jvm.org.apache.commons.io.IOUtils, [], fs.listFiles(base, True)
-    while found.hasNext():
-        at = found.next().getPath()
-        path = at.toString()[skip:]
-        parts = path.split("/")
-        if any(p[:1] in "_." for p in parts) and not set(parts) & set(SKIP_DIRS) and f".{path.rpartition('.')[2].lower()}" in LANGUAGES:
-            stream = fs.open(at)
-            out.append((path, bytearray(io.toByteArray(stream))))
-            stream.close()
-    return out
+#: Bytes of files that the driver holds at a time, and paths that are read one by one rather than by a scan.
+PIECE_BYTES, MOST_PATHS = 32 << 20, 10_000
+_SUFFIXES = "*.{" + ",".join(sorted({x for e in LANGUAGES for x in (e[1:], e[1:].upper())})) + "}"
+_CONTENT = "path string, content binary"
+
+
+def _hidden(path: str) -> bool:
+    """Whether Spark's listing leaves a path out (a part with a leading ``_`` or ``.``, such as ``__init__.py``)."""
+    return any(p[:1] in "_." for p in path.split("/"))
+
+
+def _wanted(path: str) -> bool:
+    return not set(path.split("/")) & set(SKIP_DIRS) and f".{path.rpartition('.')[2].lower()}" in LANGUAGES
+
+
+class _Tree:
+    """A folder on any Hadoop file system, and paths below it."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, jvm = spark, spark._jvm
+        self.path, self.io = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils
+        self.base = self.path(root)
+        self.fs = self.base.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.top = self.fs.makeQualified(self.base).toString().rstrip("/")
+
+    def hidden(self) -> Iterator[str]:
+        found = self.fs.listFiles(self.base, True)
+        while found.hasNext():
+            path = found.next().getPath().toString()[len(self.top) + 1 :]
+            if _hidden(path) and _wanted(path):
+                yield path
+
+    def is_file(self, path: str) -> bool:
+        at = self.path(f"{self.top}/{path}")
+        return self.fs.exists(at) and self.fs.getFileStatus(at).isFile()
+
+    def read_hidden(self, paths: Iterable[str]) -> DataFrame:
+        """Files that Spark does not list go through the driver, ``PIECE_BYTES`` at a time; pieces beyond the first
+        are written to the shared folder before the next is read.  A file that cannot be read has a null content."""
+        rows, size, folder = [], 0, None
+        for path in paths:
+            try:
+                stream = self.fs.open(self.path(f"{self.top}/{path}"))
+                try:
+                    rows.append((path, bytearray(self.io.toByteArray(stream))))
+                finally:
+                    stream.close()
+            except Py4JJavaError:
+                rows.append((path, None))
+            size += len(rows[-1][1] or b"")
+            if size >= PIECE_BYTES:
+                folder = folder or f"{shared_folder(self.spark)}/hidden-{uuid.uuid4().hex}"
+                self.spark.createDataFrame(rows, _CONTENT).write.mode("append").parquet(folder)
+                rows, size = [], 0
+        last = self.spark.createDataFrame(rows, _CONTENT)
+        return last if folder is None else self.spark.read.schema(_CONTENT).parquet(folder).unionByName(last)
+
+    def listed(self, *paths: str) -> DataFrame:
+        """``path, content`` of files that Spark lists: of the whole tree, or of the given paths.  Files that cannot be read are left out."""
+        reader = self.spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
+        reader = reader if paths else reader.option("recursiveFileLookup", "true").option("pathGlobFilter", _SUFFIXES)
+        files = reader.load([f"{self.top}/{p}" for p in paths] if paths else [self.top])
+        return files.select(F.expr(f"substring(path, {len(self.top) + 2})").alias("path"), "content")
+
+
+def _sources(found: DataFrame) -> DataFrame:
+    rows = found.where("content is not null").select("path", F.col("content").cast("string").alias("source"), F.sha1("content").alias("content_hash"))
+    return rows.where(is_indexable(F.col("path"))).withColumn("language", language_of(F.col("path")))
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """``path`` (below the root), ``source, content_hash, language`` of every file that can be indexed."""
-    glob = "*.{" + ",".join(sorted({x for e in LANGUAGES for x in (e[1:], e[1:].upper())})) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    skip = len(fs.makeQualified(base).toString().rstrip("/")) + 1
-    files = files.select(F.expr(f"substring(path, {skip + 1})").alias("path"), "content")
-    if more := _unlisted(spark, base, fs, skip):
-        files = files.unionByName(spark.createDataFrame(more, "path string, content binary"))
-    rows = files.select("path", F.col("content").cast("string").alias("source"), F.sha1("content").alias("content_hash"))
-    return rows.where(is_indexable(F.col("path"))).withColumn("language", language_of(F.col("path")))
+    """``path`` (below the root), ``source, content_hash, language`` of every file that can be indexed and read."""
+    tree = _Tree(spark, root)
+    return _sources(tree.listed().unionByName(tree.read_hidden(tree.hidden())))
+
+
+def paths_in(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` of every file that can be indexed, whether it can be read or not."""
+    tree = _Tree(spark, root)
+    more = spark.createDataFrame([(p,) for p in tree.hidden()], "path string")
+    return tree.listed().select("path").where(is_indexable(F.col("path"))).unionByName(more)
+
+
+def scan_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """The same as ``scan`` for the given paths alone: nothing else is listed or read.  Paths that are no file are left out."""
+    tree = _Tree(spark, root)
+    there = [p for p in dict.fromkeys(paths) if _wanted(p) and tree.is_file(p)]
+    plain, rest = [p for p in there if not _hidden(p)], [p for p in there if _hidden(p)]
+    found = tree.read_hidden(rest)
+    return _sources(found.unionByName(tree.listed(*plain)) if plain else found)
 
 
 def extract_files(sources: DataFrame) -> DataFrame:

@@ -109,15 +109,21 @@ class Store:
     def _buckets(self, name: str, rows: DataFrame) -> list[int]:
         return sorted(r["b"] for r in rows.select(self.bucket(name).alias("b")).distinct().collect())
 
-    def update(self, sources: DataFrame, branch: str, clock: int, removed: DataFrame | None = None, partial: bool = False, compat: bool = False) -> dict:
+    def update(self, sources: DataFrame, branch: str, clock: int, removed: DataFrame | None = None, partial: bool = False, compat: bool = False, paths: DataFrame | None = None) -> dict:
         """Bring the index to ``sources`` (path, source, content_hash, language); returns the run's counters.
 
         Files of the same hash keep their rows.  ``partial``: sources are a few files, others stay; ``removed``
-        (path) are dropped.  Links into replaced files are cleared; ``resolve`` sets them again.
+        (path) are dropped.  Links into replaced files are cleared; ``resolve`` sets them again.  ``paths``: what should
+        have been read; files that could not be count as errors and keep the rows they have.
         """
         known = self.table("files")
         sources = sources.persist()
         state = incremental.status(sources, known)
+        unread = 0
+        if paths is not None:
+            missing = paths.join(sources.select("path"), "path", "left_anti").select("path", F.lit(True).alias("missing")).persist()
+            unread = missing.count()
+            state = state.join(missing, "path", "left").withColumn("status", F.when(F.col("missing") & (F.col("status") == "orphan"), "unread").otherwise(F.col("status")))
         if partial:
             gone = removed if removed is not None else self.spark.createDataFrame([], "path string")
             state = state.where("status <> 'orphan'").select("path", "status").unionByName(gone.select("path", F.lit("orphan").alias("status")).join(known.select("path"), "path", "left_semi"))
@@ -126,7 +132,7 @@ class Store:
         extracted = source_files.extract_files(fresh).persist()
         new = source_files.tables(fresh, extracted, compat)
         drop = state.where("status in ('changed', 'orphan')").select("path").persist()
-        touched = self._buckets("files", state.where("status <> 'same'"))
+        touched = self._buckets("files", state.where("status not in ('same', 'unread')"))
         old = {n: self.table(n, touched) for n in ("symbols", "import_aliases")}
         dropped_ids = old["symbols"].join(drop.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select(F.col("id").alias("k")).persist()
         # links into replaced files come from any bucket; two columns of all relations find them
@@ -139,7 +145,8 @@ class Store:
         kept_rel = kept_rel.withColumn("to_symbol_id", F.when(F.col("gone").isNull(), F.col("to_symbol_id"))).withColumn("confidence", F.when(F.col("gone").isNull(), F.col("confidence"))).drop("gone", "k")
         current = sources.select("path", "content_hash", F.lit(branch).alias("branch"), "language", F.lit(clock).cast("long").alias("last_indexed_at"))
         stamped = self._buckets("files", state) if partial else None  # a full build stamps every file
-        files = incremental.upsert(incremental.delete_paths(self.table("files", stamped), drop, "path"), current, ["path"]) if partial else current
+        stay = incremental.delete_paths(self.table("files", stamped), drop, "path") if partial else known.join(state.where("status = 'unread'").select("path"), "path", "left_semi")
+        files = incremental.upsert(stay, current, ["path"], ["last_indexed_at"])
         modules = files.where(self.bucket("files").isin(touched)).select(F.xxhash64("path").alias("id"), source_files.module_of(F.col("path")).alias("name"), "path")
         tables = {
             "files": (files, stamped),
@@ -149,7 +156,7 @@ class Store:
             "import_aliases": (incremental.delete_paths(old["import_aliases"], drop, "file_path").unionByName(new["import_aliases"]), touched),
         }
         stats = incremental.run_stats(state).first().asDict()
-        stats["errors"] = extracted.where("error is not null").count()
+        stats["errors"] = unread + extracted.where("error is not null").count()
         stats["symbols_added"], stats["relations_added"] = new["symbols"].count(), new["relations"].count()
         self.write(tables, self.meta() | {"branch": branch, "schema_version": "2", "last_run": json.dumps(stats)})
         for df in (sources, state, extracted, drop, dropped_ids):
@@ -158,12 +165,18 @@ class Store:
 
     def build(self, root: str, branch: str, clock: int, compat: bool = False) -> dict:
         """Full build of a folder; files that are gone are purged."""
-        return self.update(source_files.scan(self.spark, root), branch, clock, compat=compat)
+        return self.update(source_files.scan(self.spark, root), branch, clock, compat=compat, paths=source_files.paths_in(self.spark, root))
 
     def apply(self, root: str, actions: DataFrame, clock: int) -> dict:
-        """Debounced file actions (path, action) of a watch, in one version."""
+        """Debounced file actions (path, action) of a watch, in one version.  Only the named files are looked at; a batch of
+        more than ``MOST_PATHS`` is read by a scan of the folder."""
         todo = actions.groupBy("path").agg(F.max_by("action", F.when(F.col("action") == "index", 1).otherwise(0)).alias("action"))
-        some = source_files.scan(self.spark, root).join(todo.where("action = 'index'"), "path", "left_semi")
+        wanted = todo.where("action = 'index'").select("path")
+        paths = [r["path"] for r in wanted.limit(source_files.MOST_PATHS + 1).collect()]
+        if len(paths) > source_files.MOST_PATHS:
+            some = source_files.scan(self.spark, root).join(wanted, "path", "left_semi")
+        else:
+            some = source_files.scan_paths(self.spark, root, paths)
         return self.update(some, self.meta().get("branch", ""), clock, todo.where("action = 'remove'").select("path"), partial=True)
 
     def resolve(self) -> dict:

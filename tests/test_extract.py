@@ -32,6 +32,22 @@ def test_python_edge_cases():
     assert extract("cobol", "x").symbols == []
 
 
+def test_python_keeps_what_parses():
+    x = extract("python", "import a\n\ndef good():\n    call()\n\ndef bad(:\n    pass\n\nclass Box:\n    def put(self):\n        x = = 1\n        self.log()\n\n    def get(self):\n        pass\n\n)(\nlast = fine()\n")
+    assert x.error.startswith("SyntaxError") and names(x) == {"good": "function", "Box": "class", "put": "method", "get": "method"}
+    assert calls(x) == [("good", "call", "call"), ("put", "log", "self.log")] and pairs(x, "IMPORTS") == [("<module>", "a")]
+    assert {s[0]: s[2:4] for s in x.symbols}["get"] == (14, 15)
+
+
+def test_long_files_take_linear_time():
+    import time
+
+    t = time.time()
+    assert len(extract("go", "func f() { g(1); if a { h() } }\n" * 20_000).symbols) == 20_000
+    assert len(extract("javascript", "function f(a) { return new X(g(a)); }\n" * 20_000).symbols) == 20_000
+    assert time.time() - t < 20
+
+
 def test_go():
     x = extract("go", 'package main\n\nimport "fmt"\nimport (\n    g "github.com/x/gin"\n    "os"\n)\n\ntype User struct {\n    name string // func no()\n}\n\ntype (\n    A struct{}\n    B int\n)\n\nfunc (s *User) Name() (string, error) {\n    s.load("}")\n    return fmt.Sprint(s.a.b()), nil\n}\n\nfunc main() {\n    if ok() { helper() }\n}\n')
     assert names(x) == {"User": "class", "A": "class", "B": "class", "Name": "method", "main": "function"}

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import subprocess
 
 import pytest
 
@@ -146,24 +147,87 @@ def test_cyclic_components_of_any_length(spark):
     assert sorted(r["component"] for r in rows(graph.cyclic_components(g))) == [["a", "b"], [f"m{i}" for i in range(7)]]
 
 
+def test_cycles_have_no_bound(spark):
+    ring = [(f"m{i:02}", f"m{(i + 1) % 12:02}") for i in range(12)] + [("m00", "m06"), ("x", "m00"), ("m03", "y")]
+    got = [r["cycle"] for r in rows(graph.simple_cycles(spark.createDataFrame(ring, "src string, dst string")))]
+    assert sorted(map(len, got)) == [7, 12] and len(got[0]) == 12
+    assert rows(graph.simple_cycles(spark.createDataFrame([("a", "b")], "src string, dst string"))) == []
+
+
+def test_unread_files_keep_their_rows(spark, index, repo, monkeypatch):
+    from strandex.sources import files
+
+    real = files.scan
+    monkeypatch.setattr(files, "scan", lambda s, root: real(s, root).where("path <> 'auth.py'"))  # one file cannot be read
+    stats = index.build(str(repo), clock=2000)
+    assert (stats["errors"], stats["removed"], stats["skipped"]) == (1, 0, 3)
+    assert {r["path"]: r["last_indexed_at"] for r in rows(index._t("files"))}["auth.py"] == 1000
+    assert [r["name"] for r in rows(index.get_owned_symbols("Guard"))] == ["allow", "deny"]
+
+
+def test_hidden_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    from strandex.sources import files
+
+    monkeypatch.setattr(files, "PIECE_BYTES", 10)
+    for k in range(5):
+        (tmp_path / f"_m{k}.py").write_text(f"x = {k}\ndef f{k}(): pass\n")
+    (tmp_path / "plain.py").write_text("y = 1\n")
+    assert sorted(r["path"] for r in files.scan(spark, str(tmp_path)).collect()) == [*[f"_m{k}.py" for k in range(5)], "plain.py"]
+    some = files.scan_paths(spark, str(tmp_path), ["_m1.py", "plain.py", "gone.py", "notes.md"])
+    assert {r["path"]: r["language"] for r in some.collect()} == {"_m1.py": "python", "plain.py": "python"}
+
+
+def test_status_goes_by_presence(spark):
+    from strandex.streaming import incremental
+
+    side = lambda xs: spark.createDataFrame(xs, "path string, content_hash string")
+    got = incremental.status(side([("a", None), ("b", "1"), ("c", "1"), ("d", None)]), side([("a", None), ("b", "1"), ("c", "2"), ("e", None)]))
+    assert {r["path"]: r["status"] for r in got.collect()} == {"a": "changed", "b": "same", "c": "changed", "d": "new", "e": "orphan"}
+
+
 def test_cycles(spark):
     g = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "c"), ("d", "a")], "src string, dst string")
     assert [r["cycle"] for r in rows(graph.simple_cycles(g, 5))] == [["a", "b", "c"], ["a", "b"]]
 
 
-def test_git_and_config(tmp_path):
-    assert git.branch(tmp_path) == "" and git.recent_files(tmp_path) == []
-    (tmp_path / ".git").mkdir()
-    (tmp_path / ".git/HEAD").write_text("ref: refs/heads/topic/x\n")
-    assert git.branch(tmp_path) == "topic/x"
-    (tmp_path / ".git/HEAD").write_text("0123456789abcdef0123\n")
-    assert git.branch(tmp_path) == "0123456789ab"
-    assert git.changed_names("@@ -1 +1 @@ def a(x)\n+class B:\n+    async def c(self):\n-def d():\n@@ -2 +2 @@ def a(x)\n") == ["a", "B", "c"]
+def test_git_and_config(spark, tmp_path):
+    assert git.branch(tmp_path) == "" and git.recent_files(spark, tmp_path) == [] and git.diff_section(spark, tmp_path, ["a"]) == ""
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *a], cwd=tmp_path, check=True, capture_output=True)
+    run("init", "-b", "topic/x")
+    for k in range(4):
+        (tmp_path / f"m{k}.py").write_text(f"def first_{k}(x):\n    return x\n\n\nclass Second{k}:\n    async def third(self):\n        pass\n")
+        (tmp_path / "all.py").write_text("\n".join(f"x{i} = {k}" for i in range(k + 1)) + "\n")
+        run("add", "-A")
+        run("commit", "-m", f"change {k}")
+    assert git.branch(tmp_path) == "topic/x" and git.root_of(tmp_path / "m1.py") is None and git.root_of(tmp_path) == tmp_path.resolve()
+    assert git.recent_files(spark, tmp_path, 2) == ["all.py", "m3.py", "m2.py"]
+    assert git.changed_symbols(spark, tmp_path) == ["first_1", "Second1", "third", "first_2", "Second2", "first_3", "Second3"]
+    said = git.diff_section(spark, tmp_path, ["M2", "nothing"])
+    assert said.startswith("Changed files:\n   m2.py") and "m1.py" not in said and "change 3" in said
+    assert "m1.py" in git.diff_section(spark, tmp_path, ["nothing"])
+    run("checkout", "--detach")
+    assert len(git.branch(tmp_path)) == 12
+    diff = "@@ -1 +1 @@ def a(x)\n+class B:\n+    async def c(self):\n-def d():\n@@ -2 +2 @@ def a(x)\n+define(x)\n+++ b/def.py\n"
+    assert [r["name"] for r in git.changed_names(git.lines(spark, diff)).collect()] == ["a", "B", "c"]
     (tmp_path / ".strandex.toml").write_text('default_mode = "nonsense"\nmax_tokens = 5\nalways_on_constraints = ["no_guessing", "?"]\n[task_mode_overrides]\nbugfix = "deep"\n')
     s = config.load(tmp_path, tmp_path / "none.toml")
     assert s.default_mode is None and s.max_tokens == 5 and s.constraints() == (["no_guessing"], []) and s.mode_for("bugfix") == "deep"
 
 
+def test_settings_act(spark, index):
+    task = lambda s=None, **how: index.plan("fix the login bug", s, **how).first().asDict(recursive=True)
+    plain = task()
+    assert plain["budget"]["max_tokens"] == 6000 and plain["budget"]["retrieval_depth"] == 2 and "require_tests" in plain["constraints"]
+    s = config.Settings(max_tokens=1234, context_depth=3, require_tests=False, no_guessing=True, follow_existing_patterns=False)
+    got = task(s, mode_hint="deep")
+    assert (got["budget"]["max_tokens"], got["budget"]["retrieval_depth"]) == (1234, 3)
+    assert "no_guessing" in got["constraints"] and not {"require_tests", "follow_existing_patterns"} & set(got["constraints"])
+    assert task(s, preset="bugfix/deep")["budget"]["retrieval_depth"] == 4 and task(profile="fast")["budget"]["max_tokens"] == 4000
+    strict = task(config.Settings(default_profile="strict"))
+    assert strict["mode"] == "strict" and strict["budget"]["retrieval_depth"] == 3
+    assert task(config.Settings(default_profile="strict"), profile="fast")["mode"] == "fast"
+
+
 def test_cli(index, repo, tmp_path, spark, capsys):
     assert cli.main(["--index", str(tmp_path / "index"), "--json", "search", "login"], spark) == 0
     assert json.loads(capsys.readouterr().out)[0]["name"] == "login"
