@@ -55,6 +55,26 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(host.alias("file_path"), target.alias("to_name"))
 
 
+def page_imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Symbols and relations of the same: one sentinel for each host that links, numbered by its first page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("file_path"))
+    symbols = pages.groupBy("file_path").agg(F.min("page_id").alias("id"))
+    return symbols, links(spark, sf_dir).join(symbols, "file_path").select(F.col("id").alias("from_id"), F.lit("IMPORTS").alias("relation"), "to_name")
+
+
+def nation_imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Symbols, relations and modules of nations that import each other: by the last part of a path, and by name."""
+    nation = table(spark, sf_dir, "nation")
+    path = F.concat(F.lit("src/"), "n_name", F.lit(".py"))
+    symbols = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.lit("<module>").alias("name"), path.alias("file_path"))
+    modules = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), path.alias("path"))
+    k = F.col("n_nationkey")
+    wanted = nation.select(k.cast("long").alias("from_id"), F.explode(F.array(F.struct(((2 * k + 1) % 25).alias("to"), F.lit("example.com/pkg/").alias("head")), F.struct(((k + 1 + F.col("n_regionkey")) % 25).alias("to"), F.lit("").alias("head")))).alias("w"))
+    names = nation.select(k.alias("to"), F.col("n_name").alias("target"))
+    relations = wanted.select("from_id", "w.*").join(names, "to").select("from_id", F.lit("IMPORTS").alias("relation"), F.concat("head", "target").alias("to_name"))
+    return symbols, relations, modules
+
+
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations rewritten so that every rule of the cascade has work: by remainder of both ends."""
     s = symbols(spark, sf_dir).select(F.col("id").alias("to_symbol_id"), "fqid", "module")

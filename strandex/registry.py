@@ -12,7 +12,7 @@ from .functions import scalars
 from .operators import graph, lookups, metrics, resolve, search
 from .streaming import incremental, watch
 
-NAME, BRAND, QUERY = "red widget", "Brand#4", "red gea"
+NAME, BRAND, QUERY, PHRASES = "red widget", "Brand#4", "red gea", "red-gea brand#4/s"
 
 
 def _metrics(s: SparkSession, d: str) -> DataFrame:
@@ -20,7 +20,13 @@ def _metrics(s: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(s: SparkSession, d: str) -> DataFrame:
-    return graph.call_graph(b.symbols(s, d), b.relations(s, d))
+    """The call graph, made once for a query that walks it level by level."""
+    return graph.cut(graph.call_graph(b.symbols(s, d), b.relations(s, d)))
+
+
+def _reached(s: SparkSession, d: str, depth: int, reverse: bool = False) -> DataFrame:
+    g = _graph(s, d)
+    return graph.reach(g, _start(g), depth, reverse)
 
 
 def _start(g: DataFrame) -> str:
@@ -67,25 +73,47 @@ def _bm25_sql(query: str) -> str:
     return ", ".join(parts)
 
 
-_RANKED = f"""WITH {SYM}, {REL}, {FIL}, {MET}, {_bm25_sql(QUERY)},
-top AS (SELECT * FROM bm JOIN sym USING (id) ORDER BY round(bm25, 9), id LIMIT 40),
+def _ranked_sql(compat: bool = False) -> str:
+    """The ranking of the 80 best matches, cut to 20; ``compat`` scales text scores by the newest time."""
+    scale = "greatest(mt, 1)" if compat else "greatest(mb, 1e-9)"
+    return f"""WITH {SYM}, {REL}, {FIL}, {MET}, {_bm25_sql(QUERY)},
+top AS (SELECT * FROM bm JOIN sym USING (id) ORDER BY bm25, id LIMIT 80),
 en AS (SELECT top.*, coalesce(f.last_indexed_at, 0) AS t, coalesce(c.n, 0) AS callers, h.hub FROM top LEFT JOIN fil f ON f.path = top.file_path
   LEFT JOIN (SELECT to_name, count(*) AS n FROM rel GROUP BY 1) c ON c.to_name = top.name
   LEFT JOIN (SELECT name, arg_min(fan_in, id) AS hub FROM met GROUP BY 1) h ON h.name = top.name),
 mx AS (SELECT max(t) AS mt, max(-bm25) AS mb FROM en),
-sc AS (SELECT id, name, 2.0 * greatest(0, -bm25) / greatest(mb, 1e-9) AS f1, 1.5 * ln(1 + callers) AS f2, 0.8 * t / greatest(mt, 1) AS f3,
+sc AS (SELECT id, name, 2.0 * greatest(0, -bm25) / {scale} AS f1, 1.5 * ln(1 + callers) AS f2, 0.8 * t / greatest(mt, 1) AS f3,
   0.5 * 0.5 * least(3, len(list_filter(['red', 'gea'], lambda w: list_contains(string_split(lower(name), '_'), w)))) AS f4, 0.3 * ln(1 + hub) / 3.0 AS f5 FROM en CROSS JOIN mx)
 """
 
 
-def _rank(s: SparkSession, d: str) -> DataFrame:
-    rows = search.candidates(b.symbols(s, d), b.relations(s, d), b.files(s, d), QUERY, None, 20)
-    return search.rank(rows, _metrics(s, d), QUERY, 20)
+_RANKED = _ranked_sql()
+_POSITIONS = "SELECT id, name, round(f1 + f2 + f3 + f4 + f5, 6) AS composite_score, row_number() OVER (ORDER BY f1 + f2 + f3 + f4 + f5 DESC, name, id)::INTEGER AS rank_position FROM sc QUALIFY rank_position <= 20"
+
+
+def _rank(s: SparkSession, d: str, compat: bool = False) -> DataFrame:
+    return search.retrieve(b.symbols(s, d), b.relations(s, d), b.files(s, d), _metrics(s, d), QUERY, None, 20, compat)
+
+
+def _phrase_sql(query: str) -> str:
+    """BM25 of phrases: adjacent tokens of one column, the last one a prefix."""
+    phrases, cols = search.query_phrases(query), ("name", "kind", "file_path")
+    toks = lambda c: f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
+    hit = lambda c, p: f"len(list_filter(range(1, len({toks(c)}) + 1), lambda i: " + " AND ".join([f"starts_with({toks(c)}[i], '{p[-1]}')"] + [f"coalesce(CASE WHEN i > {k} THEN {toks(c)}[i - {k}] END = '{w}', false)" for k, w in enumerate(reversed(p[:-1]), 1)]) + "))"
+    tfs = ", ".join(" + ".join(hit(c, p) for c in cols) + f" AS tf{i}" for i, p in enumerate(phrases))
+    idf = lambda i: f"CASE WHEN n <= 2 * n{i} THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END"
+    part = lambda i: f"({idf(i)}) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / mean))"
+    n = range(len(phrases))
+    return f"""WITH {SYM}, t AS (SELECT id, {' + '.join(f'len({toks(c)})' for c in cols)} AS dl, {tfs} FROM sym), s AS (SELECT count(*) AS n, avg(dl) AS mean, {', '.join(f'count(*) FILTER (WHERE tf{i} > 0) AS n{i}' for i in n)} FROM t)
+SELECT id, round(-({' + '.join(part(i) for i in n)}), 6) AS bm25 FROM t CROSS JOIN s WHERE {' AND '.join(f'tf{i} > 0' for i in n)}"""
 
 
-def _import_edges(s: SparkSession, d: str) -> DataFrame:
-    c = metrics.module_coupling(b.symbols(s, d), b.relations(s, d)).where("call_count > 1")
-    return c.select(F.col("from_module").alias("src"), F.col("to_module").alias("dst"))
+def _imports(s: SparkSession, d: str) -> DataFrame:
+    return graph.import_graph(*b.nation_imports(s, d))
+
+
+#: Imports between nations, as in the binding.
+_IMP = """imp AS (SELECT DISTINCT n.n_name AS src, m.n_name AS dst FROM nation n JOIN nation m ON m.n_nationkey IN ((2 * n.n_nationkey + 1) % 25, (n.n_nationkey + 1 + n.n_regionkey) % 25) WHERE n.n_name <> m.n_name)"""
 
 
 def _old_new(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -105,6 +133,15 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
+def _health(s: SparkSession, d: str) -> DataFrame:
+    """The whole report, its rows as texts."""
+    imports = _imports(s, d)
+    out = metrics.health_summary(b.symbols(s, d), b.relations(s, d), graph.simple_cycles(imports), graph.cyclic_components(imports))
+    told = lambda c, *fields: F.array_join(F.transform(c, lambda r: F.concat_ws("/", *[r[f].cast("string") for f in fields])), ",").alias(c)
+    rows = {"hotspots_top_5": ("name", "id", "fan_in", "module"), "longest_functions_top_5": ("name", "id", "line_count", "module"), "coupling_top_5": ("from_module", "to_module", "call_count")}
+    return out.select(*[told(c, *rows[c]) if c in rows else F.col(c) for c in out.columns])
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "symbol_metrics": (_metrics, M + "SELECT * FROM met"),
     "hotspots": (lambda s, d: metrics.hotspots(_metrics(s, d)), M + "SELECT * FROM met WHERE name NOT IN ('print', 'error', 'console', 'render', 'stringify') AND module <> '' ORDER BY fan_in DESC, name, id LIMIT 10"),
@@ -113,18 +150,23 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "long_symbols": (lambda s, d: metrics.long_functions(_metrics(s, d)), M + "SELECT * FROM met WHERE kind IN ('function', 'method') AND line_count >= 50"),
     "function_listing": (lambda s, d: metrics.functions(_metrics(s, d), "callers", 20), M + "SELECT * FROM met WHERE kind IN ('function', 'method') ORDER BY fan_in DESC, name, id LIMIT 20"),
     "module_coupling": (lambda s, d: metrics.module_coupling(b.symbols(s, d), b.relations(s, d)), f"WITH {SYM}, {REL} SELECT x.module AS from_module, y.module AS to_module, count(*) AS call_count FROM rel JOIN sym x ON x.id = from_id JOIN sym y ON y.id = to_symbol_id WHERE x.module <> y.module GROUP BY 1, 2"),
-    "health_summary": (lambda s, d: metrics.health_summary(b.symbols(s, d), b.relations(s, d)).withColumns({c: F.array_join(c, ",") for c in ("hotspots_top_5", "longest_functions_top_5")}), M + """SELECT (SELECT count(*) FROM met) AS total_symbols,
+    "health_summary": (_health, f"""WITH RECURSIVE {SYM}, {REL}, {MET}, {_IMP}, pth AS (SELECT [src, dst] AS path, src AS low, dst AS tip FROM imp WHERE dst > src UNION ALL SELECT list_append(path, dst), low, dst FROM pth JOIN imp ON tip = src WHERE dst > low AND NOT list_contains(path, dst)),
+cyc AS (SELECT path FROM pth JOIN imp ON tip = src AND low = dst), rea AS (SELECT src, dst FROM imp UNION SELECT rea.src, imp.dst FROM rea JOIN imp ON imp.src = rea.dst),
+comp AS (SELECT DISTINCT list_sort(list(DISTINCT a.dst)) AS component FROM rea a JOIN rea z ON z.src = a.dst AND z.dst = a.src GROUP BY a.src HAVING count(DISTINCT a.dst) > 1)
+SELECT (SELECT count(*) FROM met) AS total_symbols,
 (SELECT count(*) FROM met WHERE fan_in = 0 AND kind IN ('function', 'method') AND name NOT IN ('main', '__init__', 'init', 'constructor', 'render', 'handler', 'test', '__main__') AND NOT regexp_matches(name, '(Handler|handler|Test|test)$')) AS dead_code_count,
 (SELECT count(*) FROM met WHERE kind = 'class' AND method_count >= 10) AS god_objects_count,
-(SELECT string_agg(name, ',' ORDER BY fan_in DESC, name, id) FROM (SELECT * FROM met WHERE name NOT IN ('print', 'error', 'console', 'render', 'stringify') ORDER BY fan_in DESC, name, id LIMIT 5)) AS hotspots_top_5,
-(SELECT string_agg(name, ',' ORDER BY line_count DESC, name, id) FROM (SELECT * FROM met WHERE kind IN ('function', 'method') AND line_count >= 50 ORDER BY line_count DESC, name, id LIMIT 5)) AS longest_functions_top_5,
-(SELECT count(*) FROM (SELECT DISTINCT x.module AS a, y.module AS c FROM rel JOIN sym x ON x.id = from_id JOIN sym y ON y.id = to_symbol_id WHERE x.module <> y.module)) AS coupling_edges_count"""),
+(SELECT string_agg(name || '/' || id || '/' || fan_in || '/' || module, ',' ORDER BY fan_in DESC, name, id) FROM (SELECT * FROM met WHERE module <> '' AND name NOT IN ('print', 'error', 'console', 'render', 'stringify') ORDER BY fan_in DESC, name, id LIMIT 5)) AS hotspots_top_5,
+(SELECT string_agg(name || '/' || id || '/' || line_count || '/' || module, ',' ORDER BY line_count DESC, name, id) FROM (SELECT * FROM met WHERE kind IN ('function', 'method') AND line_count >= 50 ORDER BY line_count DESC, name, id LIMIT 5)) AS longest_functions_top_5,
+(SELECT count(*) FROM (SELECT DISTINCT x.module AS a, y.module AS c FROM rel JOIN sym x ON x.id = from_id JOIN sym y ON y.id = to_symbol_id WHERE x.module <> y.module)) AS coupling_edges_count,
+(SELECT string_agg(a || '/' || c || '/' || n, ',' ORDER BY n DESC, a, c) FROM (SELECT x.module AS a, y.module AS c, count(*) AS n FROM rel JOIN sym x ON x.id = from_id JOIN sym y ON y.id = to_symbol_id WHERE x.module <> y.module GROUP BY 1, 2 ORDER BY n DESC, a, c LIMIT 5)) AS coupling_top_5,
+(SELECT count(*) FROM cyc) AS circular_deps_count, (SELECT count(*) FROM comp) AS cyclic_components_count"""),
     "index_stats": (lambda s, d: metrics.index_stats(b.files(s, d), b.symbols(s, d), b.relations(s, d)), f"WITH {SYM}, {REL}, {FIL} SELECT 'files' AS measure, '' AS key, count(*) AS n FROM fil UNION ALL SELECT 'symbols', '', count(*) FROM sym UNION ALL SELECT 'relations', '', count(*) FROM every UNION ALL SELECT 'kind', kind, count(*) FROM sym GROUP BY kind UNION ALL SELECT 'language', language, count(*) FROM fil GROUP BY language"),
     "branch_stats": (lambda s, d: metrics.branch_stats(b.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("source").alias("branch")), b.table(s, d, "labels").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("file_path"))), "SELECT source AS branch, count(DISTINCT d.doc_id) AS files, count(l.doc_id) AS symbols FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY source"),
     "symbol_lookup": (lambda s, d: lookups.symbol(b.symbols(s, d), b.files(s, d), NAME), f"WITH {SYM}, {FIL} SELECT id, name, kind, file_path, start_line, end_line, branch FROM sym JOIN fil ON path = file_path WHERE name = '{NAME}'"),
     "fqid_lookup": (lambda s, d: lookups.by_fqid(b.symbols(s, d), f"{BRAND}.{NAME}").select("id", "name", "fqid"), f"WITH {SYM} SELECT id, name, fqid FROM sym WHERE fqid = '{BRAND}.{NAME}' ORDER BY id LIMIT 1"),
     "callers": (lambda s, d: lookups.callers(b.symbols(s, d), b.relations(s, d), NAME), f"WITH {SYM}, {REL} SELECT name, kind, file_path, start_line, to_name FROM rel JOIN sym ON sym.id = from_id WHERE to_name = '{NAME}'"),
-    "imports_of_file": (lambda s, d: b.links(s, d).where(F.col("file_path") == b.links(s, d).agg(F.min("file_path")).first()[0]).orderBy("to_name"), """WITH l AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS file_path, unnest(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1)) AS to_name FROM pages) SELECT * FROM l WHERE file_path = (SELECT min(file_path) FROM l)"""),
+    "imports_of_file": (lambda s, d: _imports_of_first(s, d), """WITH l AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS file_path, unnest(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1)) AS to_name FROM pages) SELECT * FROM l WHERE file_path = (SELECT min(file_path) FROM l)"""),
     "owned_symbols": (lambda s, d: lookups.owned(b.symbols(s, d), _class_name(s, d)), f"WITH {SYM}, o AS (SELECT min(id) AS k FROM sym WHERE kind = 'class' AND name = (SELECT min(name) FROM sym WHERE kind = 'class')) SELECT id, name, kind, file_path, start_line, end_line, owner_symbol_id FROM sym WHERE owner_symbol_id = (SELECT k FROM o)"),
     "module_symbols": (lambda s, d: lookups.in_module(b.symbols(s, d), BRAND).select("id", "name", "kind"), f"WITH {SYM} SELECT id, name, kind FROM sym WHERE module = '{BRAND}'"),
     "file_list": (lambda s, d: lookups.file_list(b.files(s, d)), f"WITH {FIL} SELECT path, content_hash, branch, language FROM fil"),
@@ -138,19 +180,25 @@ f AS (SELECT doc_id, len(w) AS dl, len(list_filter(w, lambda x: starts_with(x, '
 g AS (SELECT count(*) AS n, avg(dl) AS mean, count(*) FILTER (WHERE a > 0) AS na, count(*) FILTER (WHERE b > 0) AS nb FROM f),
 i AS (SELECT n, mean, greatest(1e-6, ln((n - na + 0.5) / (na + 0.5))) AS ia, greatest(1e-6, ln((n - nb + 0.5) / (nb + 0.5))) AS ib FROM g)
 SELECT doc_id, round(-(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / mean)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS bm25 FROM f CROSS JOIN i WHERE a > 0 AND b > 0"""),
-    "search_ranked": (lambda s, d: _rounded(_rank(s, d).select("id", "name", "composite_score", "rank_position"), "composite_score"), _RANKED + "SELECT id, name, round(f1 + f2 + f3 + f4 + f5, 6) AS composite_score, row_number() OVER (ORDER BY f1 + f2 + f3 + f4 + f5 DESC, name, id)::INTEGER AS rank_position FROM sc QUALIFY rank_position <= 20"),
+    "fts_phrase": (lambda s, d: _rounded(search.bm25(b.symbols(s, d), "id", ["name", "kind", "file_path"], PHRASES).withColumnRenamed("doc", "id"), "bm25"), _phrase_sql(PHRASES)),
+    "search_ranked": (lambda s, d: _rounded(_rank(s, d).select("id", "name", "composite_score", "rank_position"), "composite_score"), _RANKED + _POSITIONS),
+    "search_compat": (lambda s, d: _rounded(_rank(s, d, True).select("id", "name", "composite_score", "rank_position"), "composite_score"), _ranked_sql(True) + _POSITIONS),
+    "search_explained": (lambda s, d: _rank(s, d).select("id", search.explanation().alias("said")).select("id", F.substring_index("said", "=", 1).alias("head"), (F.size(F.split("said", "\n")) - 1).alias("factors")), _RANKED + ", r AS (SELECT *, row_number() OVER (ORDER BY f1 + f2 + f3 + f4 + f5 DESC, name, id) AS k FROM sc QUALIFY k <= 20) SELECT id, name || ' (rank #' || k || ', score' AS head, 5 AS factors FROM r"),
     "search_audit": (lambda s, d: _rank(s, d).select("id", F.explode("factors").alias("f")).select("id", F.col("f.name").alias("factor"), F.round("f.contribution", 6).alias("contribution")), _RANKED + ", r AS (SELECT *, row_number() OVER (ORDER BY f1 + f2 + f3 + f4 + f5 DESC, name, id) AS k FROM sc QUALIFY k <= 20) SELECT id, unnest(['text_relevance', 'call_frequency', 'recency', 'name_match', 'code_hub_score']) AS factor, unnest([round(f1, 6), round(f2, 6), round(f3, 6), round(f4, 6), round(f5, 6)]) AS contribution FROM r"),
     "call_graph": (_graph, f"WITH {G} SELECT * FROM gra"),
-    "reach_forward": (lambda s, d: graph.reach(_graph(s, d), _start(_graph(s, d)), 3), f"WITH RECURSIVE {G}, {_reach_sql('src', 'dst', 3)} SELECT name, depth FROM rch"),
-    "reach_reverse": (lambda s, d: graph.reach(_graph(s, d), _start(_graph(s, d)), 2, True), f"WITH RECURSIVE {G}, {_reach_sql('dst', 'src', 2)} SELECT name, depth FROM rch"),
-    "impact_score": (lambda s, d: _rounded(search.impact(graph.reach(_graph(s, d), _start(_graph(s, d)), 2, True), _metrics(s, d)), "impact_score"), f"WITH RECURSIVE {G}, {MET}, {_reach_sql('dst', 'src', 2)}, m1 AS (SELECT name, arg_min(module, id) AS module FROM met GROUP BY name) SELECT count(rch.name) AS impact_count, count(DISTINCT module) AS modules, round(2.0 * ln(1 + count(rch.name)) + CASE WHEN count(rch.name) > 0 THEN ln(1 + count(DISTINCT module)) ELSE 0 END, 6) AS impact_score FROM rch LEFT JOIN m1 ON m1.name = rch.name"),
+    "reach_forward": (lambda s, d: _reached(s, d, 3), f"WITH RECURSIVE {G}, {_reach_sql('src', 'dst', 3)} SELECT name, depth FROM rch"),
+    "reach_reverse": (lambda s, d: _reached(s, d, 2, True), f"WITH RECURSIVE {G}, {_reach_sql('dst', 'src', 2)} SELECT name, depth FROM rch"),
+    "impact_score": (lambda s, d: _rounded(search.impact(_reached(s, d, 2, True), _metrics(s, d)), "impact_score"), f"WITH RECURSIVE {G}, {MET}, {_reach_sql('dst', 'src', 2)}, m1 AS (SELECT name, arg_min(module, id) AS module FROM met GROUP BY name) SELECT count(rch.name) AS impact_count, count(DISTINCT module) AS modules, round(2.0 * ln(1 + count(rch.name)) + CASE WHEN count(rch.name) > 0 THEN ln(1 + count(DISTINCT module)) ELSE 0 END, 6) AS impact_score FROM rch LEFT JOIN m1 ON m1.name = rch.name"),
     "symbol_context": (lambda s, d: _context(s, d), f"""WITH RECURSIVE {G}, {_reach_sql('src', 'dst', 2)}, bk AS (SELECT x AS name, 0 AS depth FROM st UNION SELECT g.src, b.depth + 1 FROM bk b JOIN gra g ON g.dst = b.name WHERE b.depth < 2)
 SELECT name, kind, file_path, (SELECT string_agg(DISTINCT dst, ',' ORDER BY dst) FROM gra WHERE src = (SELECT x FROM st)) AS calls, (SELECT coalesce(string_agg(DISTINCT src, ',' ORDER BY src), '') FROM gra WHERE dst = (SELECT x FROM st)) AS called_by,
 (SELECT string_agg(name, ',' ORDER BY name) FROM rch) AS callgraph, (SELECT coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') FROM bk WHERE name <> (SELECT x FROM st)) AS impact
 FROM sym WHERE name = (SELECT x FROM st) ORDER BY file_path, start_line, id LIMIT 1"""),
-    "import_cycles": (lambda s, d: graph.simple_cycles(_import_edges(s, d), 4).select(F.array_join("cycle", ",").alias("cycle"), F.size("cycle").alias("n")), f"""WITH RECURSIVE {SYM}, {REL}, e AS (SELECT x.module AS src, y.module AS dst FROM rel JOIN sym x ON x.id = from_id JOIN sym y ON y.id = to_symbol_id WHERE x.module <> y.module GROUP BY 1, 2 HAVING count(*) > 1),
-p AS (SELECT [src, dst] AS path, src AS low, dst AS tip FROM e WHERE dst > src UNION ALL SELECT list_append(path, dst), low, dst FROM p JOIN e ON tip = src WHERE dst > low AND NOT list_contains(path, dst) AND len(path) < 4)
-SELECT array_to_string(path, ',') AS cycle, len(path)::INTEGER AS n FROM p JOIN e ON tip = src AND low = dst"""),
+    "import_graph": (_imports, f"WITH {_IMP} SELECT src, dst FROM imp"),
+    "import_cycles": (lambda s, d: graph.simple_cycles(_imports(s, d)).select(F.array_join("cycle", ",").alias("cycle"), F.size("cycle").alias("n")), f"""WITH RECURSIVE {_IMP},
+p AS (SELECT [src, dst] AS path, src AS low, dst AS tip FROM imp WHERE dst > src UNION ALL SELECT list_append(path, dst), low, dst FROM p JOIN imp ON tip = src WHERE dst > low AND NOT list_contains(path, dst))
+SELECT array_to_string(path, ',') AS cycle, len(path)::INTEGER AS n FROM p JOIN imp ON tip = src AND low = dst"""),
+    "import_components": (lambda s, d: graph.cyclic_components(_imports(s, d)).select(F.array_join("component", ",").alias("component")), f"""WITH RECURSIVE {_IMP}, r AS (SELECT src, dst FROM imp UNION SELECT r.src, imp.dst FROM r JOIN imp ON imp.src = r.dst),
+c AS (SELECT a.src, list_sort(list(DISTINCT a.dst)) AS component FROM r a JOIN r z ON z.src = a.dst AND z.dst = a.src GROUP BY a.src) SELECT DISTINCT array_to_string(component, ',') AS component FROM c WHERE len(component) > 1"""),
     "incremental_status": (lambda s, d: incremental.status(*reversed(_old_new(s, d))).select("path", "status"), """WITH o AS (SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE sha1(text) END AS h FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id::VARCHAR AS path, sha1(text) AS h FROM documents WHERE doc_id % 10 <> 1)
 SELECT path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'orphan' WHEN o.h = n.h THEN 'same' ELSE 'changed' END AS status FROM o FULL JOIN n USING (path)"""),
     "orphan_purge": (lambda s, d: incremental.without(_old_new(s, d)[0], _old_new(s, d)[1]).select("path"), "SELECT doc_id::VARCHAR AS path FROM documents WHERE doc_id % 10 NOT IN (0, 1)"),
@@ -167,6 +215,12 @@ SELECT doc_id, sha1(CASE WHEN length(text) <= 400 THEN text ELSE CASE WHEN conta
 }
 
 
+def _imports_of_first(s: SparkSession, d: str) -> DataFrame:
+    symbols, relations = b.page_imports(s, d)
+    first = symbols.join(relations.select(F.col("from_id").alias("id")), "id", "left_semi").agg(F.min("file_path").alias("x")).first()["x"]
+    return lookups.imports_of(symbols, relations, first if first is not None else "")
+
+
 def _class_name(s: SparkSession, d: str) -> str:
     got = b.symbols(s, d).where("kind = 'class'").agg(F.min("name").alias("x")).first()["x"]
     return got if got is not None else ""

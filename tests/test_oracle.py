@@ -7,11 +7,11 @@ import os
 import duckdb
 import pytest
 
-from strandex import registry, registry_plans
+from strandex import registry, registry_plans, registry_sources
 
 SF = "/root/testdata/sf0.001"
-SQL = registry.oracle_sql() | registry_plans.oracle_sql()
-QUERIES = registry.queries() | registry_plans.queries()
+SQL = registry.oracle_sql() | registry_plans.oracle_sql() | registry_sources.oracle_sql()
+QUERIES = registry.queries() | registry_plans.queries() | registry_sources.queries()
 
 
 def norm(v):
