@@ -6,6 +6,8 @@ shuffle, inside code generation.  The same expressions serve a table of a billio
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,22 @@ def _by(key: Column, table: dict, value, default) -> Column:
     return out.otherwise(default)
 
 
+def needle(pattern: str) -> str:
+    """The plain text that every match of a keyword pattern starts with."""
+    head = re.match(r"(?:\\b)?([a-z0-9 ]*)(.?)", pattern)
+    return head[1][:-1] if head[2] in "?*" and head[2] else head[1]
+
+
+def _has(low: Column, pattern: str) -> Column:
+    """Whether a pattern matches: a plain search for its first letters decides for most texts, and only others meet the regex."""
+    return F.contains(low, F.lit(needle(pattern))) & low.rlike(pattern)
+
+
 def task_scores(text: Column, keywords: dict | None = None) -> Column:
     """array<struct<task_type, raw, score>>, best first, ties in table order; score is relative to the best."""
     table = keywords or d.TASK_KEYWORDS
     low = F.lower(F.coalesce(text, F.lit("")))
-    raw = [F.struct(F.lit(i).alias("i"), F.lit(t).alias("task_type"), sum((F.when(low.rlike(p), F.lit(w)).otherwise(F.lit(0.0)) for p, w in rows), F.lit(0.0)).alias("raw")) for i, (t, rows) in enumerate(table.items())]
+    raw = [F.struct(F.lit(i).alias("i"), F.lit(t).alias("task_type"), sum((F.when(_has(low, p), F.lit(w)).otherwise(F.lit(0.0)) for p, w in rows), F.lit(0.0)).alias("raw")) for i, (t, rows) in enumerate(table.items())]
     hit = F.filter(F.array(*raw), lambda x: x["raw"] > 0)
 
     def order(xs: Column) -> Column:
@@ -47,7 +60,7 @@ def evidence(text: Column, task_type: Column, keywords: dict | None = None) -> C
     low = F.lower(F.coalesce(text, F.lit("")))
 
     def lines(rows) -> Column:
-        said = [F.when(low.rlike(p), F.lit("'" + p.replace(r"\b", "").replace(r"\w*", "…") + f"' → {w:.1f}")) for p, w in rows]
+        said = [F.when(_has(low, p), F.lit("'" + p.replace(r"\b", "").replace(r"\w*", "…") + f"' → {w:.1f}")) for p, w in rows]
         return F.array_compact(F.array(*said))
 
     return _by(task_type, keywords or d.TASK_KEYWORDS, lines, F.array().cast("array<string>"))
@@ -56,7 +69,7 @@ def evidence(text: Column, task_type: Column, keywords: dict | None = None) -> C
 def _heaviest(low: Column, rows: list[tuple[str, str, float]]) -> Column:
     """The value of the heaviest pattern that matches, the earliest of equal ones; null without a match."""
     order = sorted(range(len(rows)), key=lambda i: (-rows[i][2], i))
-    return F.coalesce(*[F.when(low.rlike(rows[i][0]), F.lit(rows[i][1])) for i in order], F.lit(None).cast("string"))
+    return F.coalesce(*[F.when(_has(low, rows[i][0]), F.lit(rows[i][1])) for i in order], F.lit(None).cast("string"))
 
 
 def subtype(text: Column, task_type: Column) -> Column:

@@ -26,6 +26,19 @@ def test_classification(spark):
     assert plan(spark, "docs for the api", extra=["no_guessing"])["mode"] == "minimal"
 
 
+def test_needles_start_every_match():
+    import re
+
+    from strandex.plans import dimensions as d
+
+    patterns = [p for rows in [*d.TASK_KEYWORDS.values(), *d.SUBTYPE_KEYWORDS.values(), d.MODE_KEYWORDS] for p, *_ in rows]
+    words = re.findall(r"[a-z0-9]+(?: [a-z0-9]+)?", " ".join(patterns)) + ["fail", "flaky", "flake", "clean", "cleanup", "clean up", "migrations", "smallest fix", "small diff", "faster", "broad", "doc", "docs", "document", "test", "write test"]
+    for p in patterns:
+        n = intent.needle(p)
+        assert len(n) >= 3 or n in ("", "ad", "ne"), (p, n)
+        assert all(m.group().startswith(n) for w in words for m in [re.search(p, w)] if m), p
+
+
 def test_greedy_skips_and_goes_on(spark):
     df = spark.createDataFrame([([50, 60, 30, 20, 1],)], "t array<int>")
     assert df.select(prompt.greedy(F.col("t"), F.lit(100))).first()[0] == [0, 2, 3]
