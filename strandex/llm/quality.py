@@ -4,7 +4,7 @@ Base statistics of every whole text come from one native pass.  Location and sca
 are estimated by MCD, the ``KEEP_SHARE`` of rows whose covariance has the smallest determinant, for three nested groups:
 a language's source, the language, all rows.  Each group has three deterministic robust starts (spreads, spatial signs,
 hyperbolic tangents); concentration steps refit on the rows nearest by Mahalanobis distance, after ``SCREEN`` steps the
-start with the smallest determinant goes on until no determinant changes.  A source's estimate is shrunk towards its
+start with the smallest determinant goes on until the determinants fall no more.  A source's estimate is shrunk towards its
 language's and that towards the one of all rows, by the weight n / (n + ``PRIOR``), so small groups are judged by the same
 formula as large ones.  A document goes when its transformed statistic vector lies beyond ``CUTOFF``, where the scatter is
 the group's plus the sampling noise of that text: its counts vary like Poisson counts, so a long text is judged more sharply
@@ -22,6 +22,8 @@ whatever their names.  An empty table, or one without a row that passes the base
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,9 @@ from .common import GAP, col, cut, fresh, join_small, stored, words
 
 #: Base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Share of a group's rows that a concentration step keeps, steps for all starts, and the most steps (a guard: steps never
-#: raise a determinant, so they end by themselves).
-KEEP_SHARE, SCREEN, MOST_STEPS = 0.75, 2, 40
+#: Share of a group's rows that a concentration step keeps, steps for all starts, the fall of all log determinants together
+#: below which steps end, and the most steps (a guard: steps never raise a determinant, so they end by themselves).
+KEEP_SHARE, SCREEN, CONVERGED, MOST_STEPS = 0.75, 2, 1e-3, 40
 #: Squared-distance limit (0.999 quantile of chi-square with five degrees of freedom), and the factor that
 #: makes the scatter of the nearest 75 % consistent for normal data.
 CUTOFF, CONSISTENCY = 20.52, 1.41
@@ -203,13 +205,13 @@ def mcd(members: DataFrame) -> tuple[DataFrame, int]:
         estimates = _step(members, estimates, 3 * n)
     names = [c for c in estimates.columns if c != "g"]
     best = estimates.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("logdet", "s")).alias("e"))
-    estimates, mark = cut(best.select("g", "e.*")), None
+    estimates, before = cut(best.select("g", "e.*")), math.inf
     for _ in range(MOST_STEPS):
         estimates = _step(members, estimates, n)
-        now = estimates.agg(F.sum(F.round(F.col("logdet") * 1e6).cast("decimal(38,0)"))).first()[0]
-        if now == mark:
+        now = estimates.agg(F.sum("logdet")).first()[0] or 0.0
+        if before - now < CONVERGED:
             break
-        mark = now
+        before = now
     return quartiles.select("g", "n").join(estimates.select("g", "s", *[f"m{i}" for i in range(_P)], *[f"c{i}{j}" for i, j in _LOWER], "logdet"), "g"), n
 
 
