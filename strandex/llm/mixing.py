@@ -141,8 +141,9 @@ def _no_map(t: T.DataType) -> bool:
     return not isinstance(t, (T.MapType, T.VariantType)) and all(_no_map(f.dataType) for f in getattr(t, "fields", [])) and (not isinstance(t, T.ArrayType) or _no_map(t.elementType))
 
 
-def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: rows of ``df`` as often as they are taken, all columns as they were, in order of finish time.
+def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", ordered: bool = True) -> DataFrame:
+    """The mix itself: rows of ``df`` as often as they are taken, all columns as they were, in order of finish time
+    (``ordered`` false: the same rows as they lie, for a reader that sorts them anyway, with one shuffle of texts less).
 
     Repeated rows (equal id, source and text) follow each other by a hash of the whole row (its maps left out).
     """
@@ -152,4 +153,5 @@ def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     rows = df.select(*[col(c).alias(r) for c, r in zip(df.columns, names, strict=True)], *_narrow(df, doc_id, text, source), tie.alias("tie")).where("size > 0")
     queue = _queue(_bucketed(rows), starts, n, "tie")
     queue = queue.withColumns({f"f{p}": F.when(_taken(p, stop, queue), F.col(f"f{p}")) for p in range(PASSES)})
-    return _turns(queue, *names).orderBy(*ORDER).select(*names).toDF(*df.columns)
+    turns = _turns(queue, *names)
+    return (turns.orderBy(*ORDER) if ordered else turns).select(*names).toDF(*df.columns)

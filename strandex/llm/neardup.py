@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, cut, in_arrow, map_arrow
+from .common import col, cut, in_arrow, map_arrow, stored
 from .components import components
 from .hashing import _mixed, mix, window_hashes
 
@@ -302,7 +302,7 @@ def _components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     part = F.xxhash64("key", F.expr(f"substring(rot, {DEPTH + 1}, deeper)"))
     ordered = regions.withColumn("deeper", deeper).select(part.alias("part"), "node", "n", F.col("node").alias("comp"), "rot")
     ordered = ordered.repartitionByRange("part", "rot", "node").sortWithinPartitions("part", "rot", "node")
-    near = cut(in_arrow(ordered, _ranged, "node long, other long, agree long, part long, n long, rot binary"))
+    near = stored(in_arrow(ordered, _ranged, "node long, other long, agree long, part long, n long, rot binary"))
     # first and last rows of the ranges: two for each of them
     ends = near.where("other is null").select("part", "node", "n", F.col("node").alias("comp"), "rot").distinct().repartition(1).sortWithinPartitions("part", "rot", "node")
     near = near.where("other is not null").select("node", "other", "agree").unionByName(in_arrow(ends, _neighbours, "node long, other long, agree long"))

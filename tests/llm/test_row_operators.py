@@ -345,6 +345,7 @@ def test_mix_against_brute_force(spark, monkeypatch, edge):
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns
     assert [r["doc_id"] for r in mixed.collect()] == order  # emitted in order of finish
+    assert sorted(r["doc_id"] for r in mixing.mixed_rows(docs, ordered=False).collect()) == sorted(order)
     assert brute.Counter(order) == {k: x // s for k, (s, _, x) in got.items() if x}
 
 
