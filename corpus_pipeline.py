@@ -30,8 +30,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as they are taken."""
-    return mixing.mixed_rows(docs)
+    """The mix: documents as often as they are taken (not in order of finish, as the next stage sorts by shard and id)."""
+    return mixing.mixed_rows(docs, ordered=False)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
