@@ -114,6 +114,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """``df`` in as few partitions as about ``rows`` rows need, so that small steps of a loop leave few files behind,
+    whatever the session's number of partitions; large ones stay as they are."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], rows: int, most: int, how: str = "left") -> DataFrame:
     """Join a table of ``rows`` counted rows: broadcast up to ``most`` rows, a shuffled join beyond."""
     return left.join(F.broadcast(right) if rows <= most else right, on, how)

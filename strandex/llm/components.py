@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sized
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -21,13 +21,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = _mark(edges)
     while mark[0]:
-        both = edges.union(edges.select("v", "u"))
+        n = 2 * mark[0]  # a step has at most as many rows as both directions of the edges
+        both = sized(edges, n).union(sized(edges, n).select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = sized(sized(large, n).distinct(), n)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(low, "u")
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
+        edges = cut(sized(sized(small.where("u <> v"), n).distinct(), n))
         now = _mark(edges)
         if now == mark:
             break

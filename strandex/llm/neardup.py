@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, cut, in_arrow, map_arrow, stored
+from .common import col, cut, in_arrow, map_arrow, sized, stored
 from .components import components
 from .hashing import _mixed, mix, window_hashes
 
@@ -309,6 +309,7 @@ def _components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     best = near.groupBy("node").agg(F.max_by("other", F.struct(F.col("agree"), -F.col("other"))).alias("x"), F.min(F.when(F.col("agree") * 100 >= VALUES * PERCENT, F.col("other"))).alias("y"))
     pairs = best.select("node", F.explode(F.array("x", "y")).alias("other")).where("other is not null")
     tested = cut(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    tested = sized(tested, tested.count())
     sets = _sets_of(docs, classes, tested.select(F.col("a").alias("node")).union(tested.select(F.col("b").alias("node"))).distinct())
     links = cut(_linked(tested, sets))
     comp = cut(components(links))
@@ -317,7 +318,7 @@ def _components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     labelled = regions.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     counts = cut(labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")))
     mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("rows"), F.max(F.struct("n", "comp")).alias("big")).where("comps > 1")
-    mixed = cut(mixed.select("key", F.col("rows").alias("all"), F.col("big.n").alias("big_rows"), F.col("big.comp").alias("big")))
+    mixed = cut(sized(mixed, counts.count()).select("key", F.col("rows").alias("all"), F.col("big.n").alias("big_rows"), F.col("big.comp").alias("big")))
     apart = labelled.join(mixed, "key")
     apart = cut(regions.drop("rows").join(apart, ["key", "node"]))
     by_part = lambda x: x.repartition("part").sortWithinPartitions("part", "side", "node")

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, col, cut, fresh, join_small, stored, words
+from .common import GAP, col, cut, fresh, join_small, sized, stored, words
 
 #: Base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -186,12 +186,12 @@ def _step(members: DataFrame, estimates: DataFrame, n: int) -> DataFrame:
     """One concentration step for every group and start: mean and covariance of the nearest rows."""
     bins = F.least(F.floor(1024 * F.log1p(1000 * _distance())), F.lit(1 << 16)).cast("long")
     near = join_small(members, estimates, ["g"], n, BROADCAST_GROUPS, "inner").select("g", "s", *DIMS, bins.alias("bin"))
-    limit = cut(near.groupBy("g", "s").agg(F.expr(f"percentile_disc({KEEP_SHARE}) within group (order by bin)").alias("limit")))
+    limit = cut(sized(near.groupBy("g", "s").agg(F.expr(f"percentile_disc({KEEP_SHARE}) within group (order by bin)").alias("limit")), n))
     kept = join_small(near, limit, ["g", "s"], n, BROADCAST_GROUPS, "inner").where(F.col("bin") <= F.col("limit"))
     sums = kept.groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"sum({d}) as s{i}") for i, d in enumerate(DIMS)], *[F.expr(f"sum({DIMS[i]} * {DIMS[j]}) as p{i}{j}") for i, j in _LOWER])
     cov = {(i, j): f"(p{i}{j} / n - (s{i} / n) * (s{j} / n)) / {SCALE**2}D" for i, j in _LOWER}
     moments = sums.selectExpr("g", "s", *[f"s{i} / n / {SCALE}D as m{i}" for i in range(_P)], *[f"{f'greatest(0D, {c}) + {SCALE**-2.0!r}D' if i == j else c} as c{i}{j}" for (i, j), c in cov.items()])
-    return cut(_inverted(moments))
+    return cut(_inverted(sized(moments, n)))
 
 
 def mcd(members: DataFrame) -> tuple[DataFrame, int]:
@@ -205,7 +205,7 @@ def mcd(members: DataFrame) -> tuple[DataFrame, int]:
         estimates = _step(members, estimates, 3 * n)
     names = [c for c in estimates.columns if c != "g"]
     best = estimates.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("logdet", "s")).alias("e"))
-    estimates, before = cut(best.select("g", "e.*")), math.inf
+    estimates, before = cut(sized(best, n).select("g", "e.*")), math.inf
     for _ in range(MOST_STEPS):
         estimates = _step(members, estimates, n)
         now = estimates.agg(F.sum("logdet")).first()[0] or 0.0
@@ -229,14 +229,14 @@ def fit(rows: DataFrame) -> tuple[DataFrame, int]:
     ``gl, gs, base_failed`` and the vector."""
     good = rows.where(~F.col("base_failed"))
     members = good.select(F.explode(F.array(*_groups())).alias("g"), *DIMS)
-    estimates, _ = mcd(members)
+    estimates, n = mcd(members)
     pairs = cut(rows.select("gl", "gs").distinct().select("gl", "gs", *[g.alias(f"g{k}") for k, g in enumerate(_groups())]))
     consistent = [(CONSISTENCY * (F.col(f"c{i}{j}") - (SCALE**-2.0 if i == j else 0.0)) + (SCALE**-2.0 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _LOWER]
-    table = cut(estimates.select("g", F.struct("n", *[f"m{i}" for i in range(_P)], *consistent).alias("e")))
+    table = cut(sized(estimates, n).select("g", F.struct("n", *[f"m{i}" for i in range(_P)], *consistent).alias("e")))
     for k in range(3):
         pairs = pairs.join(table.select(F.col("g").alias(f"g{k}"), F.col("e").alias(f"e{k}")), f"g{k}", "left")
     pairs = pairs.where("e2 is not null").withColumn("e1", F.struct(*_shrunk("e1", "e2")))
-    out = cut(pairs.select("gl", "gs", *_shrunk("e0", "e1")))
+    out = cut(sized(pairs, n).select("gl", "gs", *_shrunk("e0", "e1")))
     return out, out.count()
 
 
