@@ -12,7 +12,7 @@ of several actions of one rule the last by code point, so block before allow.
 Scale: both sweeps are dealt by split points of the sorted keys; an interval that crosses split points re-opens at
 each.  So a host with a third of all urls, or of all rules, is spread like any other, and no row ever holds the rules of
 a host.  Urls meet their verdict by a shuffled join whose large partitions AQE splits.  Split points spread work,
-results do not depend on them.
+results do not depend on them; they come from a sample of bounded size (at most 32 keys of 256 bytes for each range).
 
 Nulls: a null url, or one without ``://``, has empty host and path and gets the default.  Rules without a
 host fit nothing; a null rule path counts as empty.  Repeated rows are judged alike, empty tables work, extra
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import col, cut, fresh
 
-#: Points aimed at in each range of a sweep, the most ranges, and sampled keys for each of them.
-RANGE_POINTS, MOST_RANGES, SAMPLED = 64, 200, 16
+#: Points aimed at in each range of a sweep, the most ranges, sampled keys for each of them, and bytes of a sampled key.
+RANGE_POINTS, MOST_RANGES, SAMPLED, KEY_BYTES = 64, 4096, 16, 256
+#: Split points of a block: a key finds its block first, then its range in it.
+BLOCK = 64
 #: Bytes that occur in no UTF-8 text: between host and path, and above every continuation of a prefix.
 _BETWEEN, _ABOVE = b"\xfe", b"\xff"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,9 +57,15 @@ def path_key(host: Column, path: Column) -> Column:
 
 
 def _range_of(key: Column, cuts: list[bytes]) -> Column:
+    """Number of split points up to ``key``: those of whole blocks, then those in the block; hexadecimal text sorts as bytes do."""
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= key))
+    text = lambda some: F.split(F.lit(",".join(c.hex().upper() for c in some)), ",")  # noqa: E731  one constant, whatever its length
+    upto = lambda some: F.size(F.filter(some, lambda c: c <= F.hex(key)))
+    if len(cuts) <= BLOCK:
+        return upto(text(cuts))
+    blocks = upto(text(cuts[BLOCK - 1 :: BLOCK]))
+    return blocks * BLOCK + upto(F.slice(text(cuts), blocks * BLOCK + 1, F.lit(BLOCK)))
 
 
 def _events(points: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -65,8 +73,8 @@ def _events(points: DataFrame, intervals: DataFrame) -> DataFrame:
     n = points.agg(F.approx_count_distinct("key")).first()[0]
     ranges, cuts = max(1, min(MOST_RANGES, n // RANGE_POINTS)), []
     if ranges > 1:
-        some = points.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // (SAMPLED * ranges)))) == 0).select("key")
-        keys = sorted(bytes(r["key"]) for r in some.limit(2 * SAMPLED * MOST_RANGES).collect())
+        some = points.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // (SAMPLED * ranges)))) == 0).select(F.substring("key", 1, KEY_BYTES).alias("key"))
+        keys = sorted(bytes(r["key"]) for r in some.limit(2 * SAMPLED * ranges).collect())
         cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
     kinds = {f.name: f.dataType for f in [*points.schema, *intervals.schema]}
     none = {c: F.lit(None).cast(kinds[c]).alias(c) for c in ("at", "tag")}
