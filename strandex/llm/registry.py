@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, langid, mixing, neardup, quality, sharding, tokencount, toxicity, urlrules, warc
+from .common import stored
 
 #: The rules of the URL query as (action, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -74,8 +75,10 @@ def sample_edits(text: str = "text"):
 
 
 def op10_edit_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", sample_edits().alias("edits"))
-    return tokencount.count_edits(docs, "text", "edits")
+    """Counts every text once and keeps its tree, then applies three edits to the kept trees."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = stored(tokencount.count_edits(docs, "text", with_state=True).select("doc_id", F.col("new_text").alias("text"), "leaf_chars", "leaf_tokens"))
+    return tokencount.count_edits(kept.withColumn("edits", sample_edits()), "text", "edits", state=("leaf_chars", "leaf_tokens"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
