@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import col, cut, fresh
 
 #: Points aimed at in each range of a sweep, the most ranges, sampled keys for each of them, and bytes of a sampled key.
-RANGE_POINTS, MOST_RANGES, SAMPLED, KEY_BYTES = 64, 4096, 16, 256
+RANGE_POINTS, MOST_RANGES, SAMPLED, KEY_BYTES = 1024, 4096, 16, 256
 #: Split points of a block: a key finds its block first, then its range in it.
 BLOCK = 64
 #: Bytes that occur in no UTF-8 text: between host and path, and above every continuation of a prefix.
