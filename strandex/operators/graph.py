@@ -6,9 +6,16 @@ folder at each level, so lineage stays short and a lost executor costs no recomp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain, islice
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges of cyclic components that may go to every task.
+SEARCHED_EDGES = 100_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or a folder in the warehouse where that is unset."""
@@ -48,13 +55,66 @@ def simple_cycles(graph: DataFrame, longest: int | None = None) -> DataFrame:
     """``cycle`` (array from its smallest node) of every elementary cycle, or of those of up to ``longest`` nodes.
 
     Edges between strongly connected components lie on no cycle and go first.  Paths start at their smallest node and only
-    visit larger ones, so each cycle is found once and paths end by themselves.  The number of cycles may grow exponentially
-    with the size of a component; ``cyclic_components`` does not.
+    visit larger ones, so each cycle is found once.  Up to ``SEARCHED_EDGES`` remaining edges (counted) go to every task, and
+    tasks search from one first edge each, along nodes that still lead back; more edges are joined level by level.  The number
+    of cycles may grow exponentially with the size of a component; ``cyclic_components`` does not.
     """
-    parts = cyclic_components(graph).select(F.array_min("component").alias("part"), F.explode("component").alias("node"))
+    parts = cut(cyclic_components(graph)).select(F.array_min("component").alias("part"), F.explode("component").alias("node"))
     inside = lambda side: parts.select(F.col("node").alias(side), F.col("part").alias(f"{side}_part"))
     edges = graph.where("src <> dst").select("src", "dst").distinct().join(inside("src"), "src").join(inside("dst"), "dst")
     edges = cut(edges.where("src_part = dst_part").select("src", "dst"))
+    n = edges.count()
+    found = _searched_cycles(edges, n, longest) if n <= SEARCHED_EDGES else _joined_cycles(edges, longest)
+    return found.orderBy(F.desc(F.size("cycle")), "cycle")
+
+
+def _searched_cycles(edges: DataFrame, n: int, longest: int | None) -> DataFrame:
+    """Depth first from each edge to a larger node; every extension leads to a cycle, so no step is lost."""
+    spark = edges.sparkSession
+    into: dict[str, list[str]] = {}
+    out: dict[str, list[str]] = {}
+    for src, dst in edges.collect():  # at most SEARCHED_EDGES
+        into.setdefault(dst, []).append(src)
+        out.setdefault(src, []).append(dst)
+    shared = spark.sparkContext.broadcast((into, out))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        into, out = shared.value
+
+        def ahead(path: list[str]) -> list[str]:
+            """Where the path can go on: nodes from which its start is within reach around it."""
+            low, taken, steps, queue = path[0], set(path), {path[0]: 0}, [path[0]]
+            for v in queue:  # grows while it is read
+                for u in into[v]:
+                    if u > low and u not in taken and u not in steps:
+                        steps[u] = steps[v] + 1
+                        queue.append(u)
+            return [u for u in out[path[-1]] if u in steps and (longest is None or len(path) + steps[u] <= longest)]
+
+        def cycles(low: str, first: str) -> Iterator[list[str]]:
+            path, open_ = [low, first], [iter(ahead([low, first]))]
+            while open_:
+                u = next(open_[-1], None)
+                if u is None:
+                    open_.pop()
+                    path.pop()
+                elif u == low:
+                    yield list(path)
+                else:
+                    path.append(u)
+                    open_.append(iter(ahead(path)))
+
+        for b in batches:
+            every = chain.from_iterable(cycles(*edge) for edge in zip(b["src"], b["dst"], strict=True))
+            while some := list(islice(every, 1000)):
+                yield pd.DataFrame({"cycle": some})
+
+    seeds = edges.where("dst > src").repartition(max(1, min(n, spark.sparkContext.defaultParallelism)))
+    return cut(seeds.mapInPandas(search, "cycle array<string>"))
+
+
+def _joined_cycles(edges: DataFrame, longest: int | None) -> DataFrame:
+    """All paths grow by one join for each level, until none is left."""
     paths = cut(edges.where("dst > src").select(F.array("src", "dst").alias("path"), F.col("src").alias("low"), F.col("dst").alias("tip")))
     found, n = paths.select(F.col("path").alias("cycle")).where("false"), 2
     while (longest is None or n <= longest) and paths.take(1):
@@ -62,7 +122,7 @@ def simple_cycles(graph: DataFrame, longest: int | None = None) -> DataFrame:
         step = paths.join(edges, paths["tip"] == edges["src"]).where((F.col("dst") > F.col("low")) & ~F.array_contains("path", F.col("dst")))
         found, n = cut(found.union(closed)), n + 1
         paths = cut(step.select(F.concat("path", F.array("dst")).alias("path"), "low", F.col("dst").alias("tip")))
-    return found.orderBy(F.desc(F.size("cycle")), "cycle")
+    return found
 
 
 def cyclic_components(graph: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 import subprocess
 
 import pytest
@@ -154,6 +155,16 @@ def test_cycles_have_no_bound(spark):
     assert rows(graph.simple_cycles(spark.createDataFrame([("a", "b")], "src string, dst string"))) == []
 
 
+def test_cycles_by_search_and_by_joins(spark, monkeypatch):
+    rng = random.Random(6)
+    g = spark.createDataFrame([(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(26)], "src string, dst string").cache()
+    for longest in (None, 4):
+        monkeypatch.setattr(graph, "SEARCHED_EDGES", 100)
+        searched = [r["cycle"] for r in rows(graph.simple_cycles(g, longest))]
+        monkeypatch.setattr(graph, "SEARCHED_EDGES", 0)
+        assert searched and searched == [r["cycle"] for r in rows(graph.simple_cycles(g, longest))]
+
+
 def test_unread_files_keep_their_rows(spark, index, repo, monkeypatch):
     from strandex.sources import files
 
