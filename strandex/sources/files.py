@@ -7,11 +7,13 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared_folder
 from ..functions.scalars import LANGUAGES, SKIP_DIRS, fqid_of, is_indexable, language_of, module_of, span_hash
+from . import extract
 
 _OUT = "path string, error string, symbols array<struct<name:string,kind:string,start_line:int,end_line:int,owner:string>>, relations array<struct<from_symbol:string,ordinal:int,relation:string,to_name:string,call_expression:string>>, aliases array<struct<alias:string,source_module:string,source_name:string>>"
 
@@ -118,15 +120,17 @@ def scan_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
 
 
 def extract_files(sources: DataFrame) -> DataFrame:
-    """``path, source, language`` to one row of nested symbols, relations and aliases for each file."""
+    """``path, source, language`` to one row of nested symbols, relations and aliases for each file.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from strandex.sources.extract import extract
+    The extractors travel with the function, so workers need no package."""
+    cloudpickle.register_pickle_by_value(extract)
+    one = extract.extract
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, source, language in zip(b["path"], b["source"], b["language"], strict=True):
-                x = extract(language, source or "")
+                x = one(language, source or "")
                 rows.append((path, x.error, x.symbols, x.relations, x.aliases))
             yield pd.DataFrame(rows, columns=["path", "error", "symbols", "relations", "aliases"])
 
