@@ -144,7 +144,8 @@ def tables(sources: DataFrame, extracted: DataFrame, compat: bool = False) -> di
     bind to their symbol by ordinal; ``compat`` binds by name, the last of a file winning.
     """
     key = F.shiftleft(path_hash(), ORDINAL_BITS)
-    known = extracted.join(sources.select("path", "source", "language"), "path").withColumn("module", module_of(F.col("path")))
+    # texts are larger than Spark estimates from their columns' types: they are sorted by path, never broadcast
+    known = extracted.join(sources.select("path", "source", "language").hint("merge"), "path").withColumn("module", module_of(F.col("path")))
     s = known.select("path", "source", "language", "module", F.posexplode("symbols").alias("ordinal", "s")).select("path", "source", "language", "module", "ordinal", "s.*")
     s = s.withColumn("id", key + F.col("ordinal") + 1).withColumn("fqid", fqid_of(F.col("module"), F.col("name"), F.col("owner")))
     classes = s.where("fqid <> ''").groupBy("path", F.col("fqid").alias("owner_fqid")).agg(F.max("id").alias("owner_symbol_id"))
