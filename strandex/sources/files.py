@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared_folder
@@ -18,8 +18,8 @@ from . import extract
 _OUT = "path string, error string, symbols array<struct<name:string,kind:string,start_line:int,end_line:int,owner:string>>, relations array<struct<from_symbol:string,ordinal:int,relation:string,to_name:string,call_expression:string>>, aliases array<struct<alias:string,source_module:string,source_name:string>>"
 
 
-#: Bits of an id below its path's hash.
-ORDINAL_BITS = 22
+#: Bits of an id below its path's hash, bits of the hash, and paths that may share one hash: the two bits above it tell them apart.
+ORDINAL_BITS, HASH_BITS, TURNS = 22, 40, 4
 
 
 def path_hash() -> Column:
@@ -27,6 +27,30 @@ def path_hash() -> Column:
     return F.expr("xxhash64(path) & 1099511627775L")
 
 
+def hash_in(id: Column) -> Column:
+    """The path's hash that an id holds."""
+    return F.shiftright(id, ORDINAL_BITS).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+
+
+def turn_in(id: Column) -> Column:
+    """The turn of the path among paths of its hash that an id holds."""
+    return F.shiftrightunsigned(id, ORDINAL_BITS + HASH_BITS).cast("int")
+
+
+def turns(paths: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """``path, turn`` of the paths whose hash another path has too: by path, the turns that ``held`` (path, turn) leaves free.
+
+    More than ``TURNS`` paths of one hash are an error."""
+    rows = paths.select("path", F.lit(None).cast("int").alias("turn"))
+    rows = rows.unionByName(held.select("path", "turn")) if held is not None else rows
+    alike = Window.partitionBy("hash")
+    few = rows.withColumn("hash", path_hash()).withColumn("n", F.count(F.lit(1)).over(alike)).where("n > 1")
+    groups = few.groupBy("hash").agg(F.sort_array(F.collect_set(F.when(F.col("turn").isNull(), F.col("path")))).alias("wait"), F.collect_set("turn").alias("taken"))
+    free = F.array_except(F.array(*[F.lit(t) for t in range(TURNS)]), F.col("taken"))
+    dealt = groups.select(free.alias("free"), F.posexplode("wait").alias("at", "path"))
+    return dealt.select("path", F.coalesce(F.get("free", F.col("at")), F.raise_error(F.concat(F.lit("no id is free for "), F.col("path"))).cast("int")).alias("turn"))
+
+
 #: Bytes of files that the driver holds at a time, and paths that are read one by one rather than by a scan.
 PIECE_BYTES, MOST_PATHS = 32 << 20, 10_000
 _SUFFIXES = "*.{" + ",".join(sorted({x for e in LANGUAGES for x in (e[1:], e[1:].upper())})) + "}"
@@ -140,13 +164,15 @@ def extract_files(sources: DataFrame) -> DataFrame:
 def tables(sources: DataFrame, extracted: DataFrame, compat: bool = False) -> dict[str, DataFrame]:
     """Symbols (module sentinels included), relations and aliases with ids.
 
-    An id is 40 bits of the path's hash and the symbol's ordinal, so files do not move each other's ids.  Relations
-    bind to their symbol by ordinal; ``compat`` binds by name, the last of a file winning.
+    An id is 40 bits of the path's hash and the symbol's ordinal, so files do not move each other's ids; paths of equal hashes
+    are told apart by two bits above it.  Relations bind to their symbol by ordinal; ``compat`` binds by name, the last of a file winning.
     """
-    key = F.shiftleft(path_hash(), ORDINAL_BITS)
+    turn = F.shiftleft(F.coalesce(F.col("turn"), F.lit(0)).cast("long"), ORDINAL_BITS + HASH_BITS)
+    key = F.col("key")
     # texts are larger than Spark estimates from their columns' types: they are sorted by path, never broadcast
     known = extracted.join(sources.select("path", "source", "language").hint("merge"), "path").withColumn("module", module_of(F.col("path")))
-    s = known.select("path", "source", "language", "module", F.posexplode("symbols").alias("ordinal", "s")).select("path", "source", "language", "module", "ordinal", "s.*")
+    known = known.join(turns(sources).hint("merge"), "path", "left").withColumn("key", F.shiftleft(path_hash(), ORDINAL_BITS).bitwiseOR(turn))
+    s = known.select("path", "key", "source", "language", "module", F.posexplode("symbols").alias("ordinal", "s")).select("path", "key", "source", "language", "module", "ordinal", "s.*")
     s = s.withColumn("id", key + F.col("ordinal") + 1).withColumn("fqid", fqid_of(F.col("module"), F.col("name"), F.col("owner")))
     classes = s.where("fqid <> ''").groupBy("path", F.col("fqid").alias("owner_fqid")).agg(F.max("id").alias("owner_symbol_id"))
     owner = F.when((F.col("owner") != "") & (F.col("fqid") != ""), F.regexp_replace("fqid", r"\.[^.]*$", ""))
@@ -154,13 +180,13 @@ def tables(sources: DataFrame, extracted: DataFrame, compat: bool = False) -> di
     symbols = s.select("id", "name", "kind", F.col("path").alias("file_path"), "start_line", "end_line", span_hash(F.col("source"), F.col("start_line"), F.col("end_line")).alias("hash"), "language", "fqid", "module", "owner_symbol_id")
     top = known.where(F.exists("relations", lambda r: r["from_symbol"] == "<module>"))
     sentinel = top.select(key.alias("id"), F.lit("<module>").alias("name"), F.lit("module").alias("kind"), F.col("path").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit("").alias("hash"), "language", F.col("module").alias("fqid"), "module", F.lit(None).cast("long").alias("owner_symbol_id"))
-    r = known.select("path", F.posexplode("relations").alias("rpos", "r")).select("path", "rpos", "r.*")
+    r = known.select("path", "key", F.posexplode("relations").alias("rpos", "r")).select("path", "key", "rpos", "r.*")
     if compat:
         last = s.groupBy("path", F.col("name").alias("from_symbol")).agg(F.max("id").alias("named"))
         r = r.join(last, ["path", "from_symbol"], "left").withColumn("from_id", F.when(F.col("ordinal") < 0, key).otherwise(F.col("named")))
     else:
         r = r.withColumn("from_id", key + F.col("ordinal") + 1)
     relations = r.where("from_id is not null").select((key + F.col("rpos")).alias("id"), "from_id", "relation", "to_name", F.lit(None).cast("long").alias("to_symbol_id"), F.lit(None).cast("double").alias("confidence"), "call_expression", F.col("path").alias("file_path"))
-    a = known.select("path", F.posexplode("aliases").alias("apos", "a")).select("path", "apos", "a.*")
+    a = known.select("path", "key", F.posexplode("aliases").alias("apos", "a")).select("path", "key", "apos", "a.*")
     aliases = a.select((key + F.col("apos")).alias("id"), F.col("path").alias("file_path"), "alias", "source_module", "source_name", F.concat_ws(".", "source_module", F.nullif("source_name", F.lit(""))).alias("resolved_fqid"))
     return {"symbols": symbols.unionByName(sentinel), "relations": relations, "import_aliases": aliases}

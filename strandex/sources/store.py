@@ -51,7 +51,7 @@ class Store:
 
     def bucket(self, name: str) -> Column:
         """The bucket of a row of a table: by its path's hash, which ids hold above their ordinals."""
-        path_hash = source_files.path_hash() if name in ("files", "modules") else F.shiftright("id", source_files.ORDINAL_BITS)
+        path_hash = source_files.path_hash() if name in ("files", "modules") else source_files.hash_in(F.col("id"))
         return (path_hash % self.buckets).cast("int")
 
     def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:

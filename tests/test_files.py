@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandex.sources import files
@@ -14,3 +15,36 @@ def test_long_texts_are_not_broadcast(spark):
     plan = symbols._jdf.queryExecution().sparkPlan().toString()  # before anything is counted, by Spark's estimates alone
     assert re.search(r"SortMergeJoin \[path#\d+\]", plan) and not re.search(r"BroadcastHashJoin \[path#\d+\]", plan)
     assert [tuple(r) for r in symbols.groupBy("name", "start_line", "end_line").count().collect()] == [("main", 4001, 4003, 300)]
+
+
+#: Two paths whose hashes have equal last 40 bits.
+ALIKE = ("src/p244055.py", "src/p783238.py")
+
+
+def test_paths_of_equal_hashes_have_ids_of_their_own(spark):
+    text = "import os\n\nclass A:\n    def run(self):\n        os.go()\n"
+    rows = [(p, text) for p in (*ALIKE, "src/p1.py")]
+    sources = spark.createDataFrame(rows, "path string, source string").withColumn("language", F.lit("python"))
+    assert sources.select(files.path_hash()).distinct().count() == 2
+    t = files.tables(sources, files.extract_files(sources))
+    symbols = t["symbols"].collect()
+    assert len({r["id"] for r in symbols}) == len(symbols) == 9
+    names = {r["id"]: (r["file_path"], r["name"]) for r in symbols}
+    assert all(names[r["owner_symbol_id"]] == (r["file_path"], "A") for r in symbols if r["name"] == "run")
+    assert sorted(names[r["from_id"]] for r in t["relations"].where("relation = 'CALLS'").collect()) == sorted((p, "run") for p, _ in rows)
+    assert t["import_aliases"].select("id").distinct().count() == 3
+    assert t["symbols"].where(files.hash_in(F.col("id")) != F.expr("xxhash64(file_path) & 1099511627775L")).count() == 0
+
+
+def test_turns_of_many_equal_hashes(spark, monkeypatch):
+    monkeypatch.setattr(files, "path_hash", lambda: F.lit(7).cast("long"))
+    paths = spark.createDataFrame([(p,) for p in "abcd"], "path string")
+    assert {r["path"]: r["turn"] for r in files.turns(paths).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
+    sources = paths.select("path", F.lit("def f():\n    g()\n").alias("source"), F.lit("python").alias("language"))
+    t = files.tables(sources, files.extract_files(sources))
+    ids = t["symbols"].select("id", files.turn_in(F.col("id")).alias("turn"), files.hash_in(F.col("id")).alias("hash")).collect()
+    assert len({r["id"] for r in ids}) == 4 and sorted(r["turn"] for r in ids) == [0, 1, 2, 3] and {r["hash"] for r in ids} == {7}
+    held = spark.createDataFrame([("x", 0), ("y", 2)], "path string, turn int")
+    assert {r["path"]: r["turn"] for r in files.turns(paths.limit(2), held).collect()} == {"a": 1, "b": 3}
+    with pytest.raises(Exception, match="no id is free for"):
+        files.turns(paths, held).collect()
