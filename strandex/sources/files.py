@@ -161,17 +161,18 @@ def extract_files(sources: DataFrame) -> DataFrame:
     return sources.select("path", "source", "language").mapInPandas(run, _OUT)
 
 
-def tables(sources: DataFrame, extracted: DataFrame, compat: bool = False) -> dict[str, DataFrame]:
+def tables(sources: DataFrame, extracted: DataFrame, compat: bool = False, held: DataFrame | None = None) -> dict[str, DataFrame]:
     """Symbols (module sentinels included), relations and aliases with ids.
 
     An id is 40 bits of the path's hash and the symbol's ordinal, so files do not move each other's ids; paths of equal hashes
-    are told apart by two bits above it.  Relations bind to their symbol by ordinal; ``compat`` binds by name, the last of a file winning.
+    are told apart by two bits above it (``held``: path and turn of those that have ids already).  Relations bind to their symbol
+    by ordinal; ``compat`` binds by name, the last of a file winning.
     """
     turn = F.shiftleft(F.coalesce(F.col("turn"), F.lit(0)).cast("long"), ORDINAL_BITS + HASH_BITS)
     key = F.col("key")
     # texts are larger than Spark estimates from their columns' types: they are sorted by path, never broadcast
     known = extracted.join(sources.select("path", "source", "language").hint("merge"), "path").withColumn("module", module_of(F.col("path")))
-    known = known.join(turns(sources).hint("merge"), "path", "left").withColumn("key", F.shiftleft(path_hash(), ORDINAL_BITS).bitwiseOR(turn))
+    known = known.join(turns(sources, held).hint("merge"), "path", "left").withColumn("key", F.shiftleft(path_hash(), ORDINAL_BITS).bitwiseOR(turn))
     s = known.select("path", "key", "source", "language", "module", F.posexplode("symbols").alias("ordinal", "s")).select("path", "key", "source", "language", "module", "ordinal", "s.*")
     s = s.withColumn("id", key + F.col("ordinal") + 1).withColumn("fqid", fqid_of(F.col("module"), F.col("name"), F.col("owner")))
     classes = s.where("fqid <> ''").groupBy("path", F.col("fqid").alias("owner_fqid")).agg(F.max("id").alias("owner_symbol_id"))

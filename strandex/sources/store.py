@@ -130,10 +130,14 @@ class Store:
         state = state.select("path", "status").persist()
         fresh = sources.join(state.where("status in ('new', 'changed')").select("path"), "path", "left_semi")
         extracted = source_files.extract_files(fresh).persist()
-        new = source_files.tables(fresh, extracted, compat)
         drop = state.where("status in ('changed', 'orphan')").select("path").persist()
         touched = self._buckets("files", state.where("status not in ('same', 'unread')"))
         old = {n: self.table(n, touched) for n in ("symbols", "import_aliases")}
+        # paths that stay and whose hash a fresh path has too keep their ids; they lie in the fresh path's bucket
+        alike = incremental.delete_paths(self.table("files", touched), drop, "path").select("path", source_files.path_hash().alias("hash"))
+        alike = alike.join(fresh.select(source_files.path_hash().alias("hash")), "hash", "left_semi").select("path")
+        held = old["symbols"].select(F.col("file_path").alias("path"), source_files.turn_in(F.col("id")).alias("turn")).join(alike, "path", "left_semi").distinct().persist()
+        new = source_files.tables(fresh, extracted, compat, held)
         dropped_ids = old["symbols"].join(drop.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select(F.col("id").alias("k")).persist()
         # links into replaced files come from any bucket; two columns of all relations find them
         into = self.table("relations").select("id", F.col("to_symbol_id").alias("k")).join(dropped_ids, "k", "left_semi")
@@ -159,7 +163,7 @@ class Store:
         stats["errors"] = unread + extracted.where("error is not null").count()
         stats["symbols_added"], stats["relations_added"] = new["symbols"].count(), new["relations"].count()
         self.write(tables, self.meta() | {"branch": branch, "schema_version": "2", "last_run": json.dumps(stats)})
-        for df in (sources, state, extracted, drop, dropped_ids):
+        for df in (sources, state, extracted, drop, dropped_ids, held):
             df.unpersist()
         return stats | {"branch": branch}
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandex.sources import files
+from strandex.sources.store import Store
 
 
 def test_long_texts_are_not_broadcast(spark):
@@ -48,3 +49,36 @@ def test_turns_of_many_equal_hashes(spark, monkeypatch):
     assert {r["path"]: r["turn"] for r in files.turns(paths.limit(2), held).collect()} == {"a": 1, "b": 3}
     with pytest.raises(Exception, match="no id is free for"):
         files.turns(paths, held).collect()
+
+
+def test_store_keeps_paths_of_equal_hashes_apart(spark, tmp_path):
+    store, one = Store(spark, str(tmp_path / "index")), "import os\n\ndef f():\n    g()\n"
+
+    def held():
+        """What the store holds of each path: names in the order of their ids, and links of its calls."""
+        store.resolve()
+        symbols, relations = store.table("symbols").collect(), store.table("relations").collect()
+        at = {r["id"]: (r["file_path"], r["name"]) for r in symbols}
+        assert len(at) == len(symbols) and all(r["from_id"] in at for r in relations)
+        links = sorted((*at[r["from_id"]], r["to_name"], at.get(r["to_symbol_id"])) for r in relations if r["relation"] == "CALLS")
+        return sorted(at.values()), links
+
+    def update(clock, partial=False, removed=None, **texts):
+        rows = [(ALIKE[int(k[1])], text) for k, text in texts.items()]
+        sources = spark.createDataFrame(rows, "path string, source string").select("path", "source", F.sha1(F.col("source").cast("binary")).alias("content_hash"), F.lit("python").alias("language"))
+        gone = None if removed is None else spark.createDataFrame([(removed,)], "path string")
+        return store.update(sources, "main", clock, gone, partial)
+
+    def of(*which, more=()):
+        return sorted((ALIKE[i], n) for i in which for n in ("<module>", "f", *(["g"] if i in more else [])))
+
+    update(1, p1=one)
+    stats = update(2, True, p0=one)  # its hash is held
+    assert (stats["symbols_added"], stats["relations_added"]) == (2, 2)
+    assert held() == (of(0, 1), [(ALIKE[0], "f", "g", None), (ALIKE[1], "f", "g", None)])
+    ids = {r["id"] for r in store.table("symbols").where(F.col("file_path") == ALIKE[0]).collect()}
+    update(3, p0=one, p1=one + "\ndef g():\n    pass\n")  # the first holder changes, the other stays
+    assert held() == (of(0, 1, more=(1,)), [(ALIKE[0], "f", "g", (ALIKE[1], "g")), (ALIKE[1], "f", "g", (ALIKE[1], "g"))])
+    assert ids == {r["id"] for r in store.table("symbols").where(F.col("file_path") == ALIKE[0]).collect()}
+    update(4, True, ALIKE[1])
+    assert held() == (of(0), [(ALIKE[0], "f", "g", None)])
